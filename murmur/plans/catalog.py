@@ -1,4 +1,666 @@
-"""The registered queries of the core library and their SQL."""
+"""The registered queries of the core library and their SQL. Every query runs over its whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from murmur.functions import normalize as N
+from murmur.functions import vectors as V
+from murmur.operators import community, evaluate, experiments, features, graph, sampling
+from murmur.plans import bindings as B
+from murmur.plans.bindings import longs, rounded, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+K = 10
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- scalar functions ----------------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+select event_id, case when regexp_matches('U' || user_id, '^[uU]?[0-9]+$') then 'u' || user_id end as canonical_id,
+    coalesce(trunc(try_cast(replace(props->>'$.k', ',', '') as double))::bigint, 0) as k, greatest(coalesce(try_cast(props->>'$.k' as bigint), 0), 0) as k_count,
+    case when event_type = 'error' then 'bot' else 'human' end as label, case when event_id % 3 = 0 then 'valid' when event_id % 3 = 1 then 'train' else 'missing' end as split,
+    case when event_id % 3 = 0 then 'true' when event_id % 3 = 1 then 'false' else 'missing' end as verified,
+    replace(replace(regexp_replace(regexp_replace(printf('%.6f', value), '0+$', ''), '\\.$', ''), '-', 'neg'), '.', 'p') as slug,
+    epoch_us(date_trunc('second', ts)) as seconds_us, round(ln(1 + greatest(value, 0)), 6) as log_value
+from events""")
+def scalar_normalizers(spark: SparkSession, d: str) -> DataFrame:
+    """Ids, integers, labels, splits, flags, slugs, timestamps from text, and logarithms of every event."""
+    e = table(spark, d, "events")
+    third = F.col("event_id") % 3
+    label = N.label(F.when(F.col("event_type") == "error", " BOT ").otherwise("0"))
+    split = N.split(F.when(third == 0, "dev").when(third == 1, "Train"))
+    verified = N.verified_bucket(F.when(third == 0, "Yes").when(third == 1, "0"))
+    parsed = N.parse_timestamp(F.date_format("ts", "EEE MMM dd HH:mm:ss +0000 yyyy"))
+    return rounded(
+        e.select(
+            "event_id", N.canonical_user_id(F.concat(F.lit("U"), F.col("user_id"))).alias("canonical_id"), N.to_int(N.nested("props", "$.k")).alias("k"), N.to_count(N.nested("props", "$.k")).alias("k_count"),
+            label.alias("label"), split.alias("split"), verified.alias("verified"), N.slugify_float("value").alias("slug"), F.unix_micros(parsed).alias("seconds_us"), N.log1p_count("value").alias("log_value"),
+        ), "log_value",
+    )
+
+
+@query("select event_id, coalesce(props->>'$.none', props->>'$.k') as k from events")
+def nested_alias(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", N.nested("props", "$.none", "$.k").alias("k"))
+
+
+@query("""
+select page_id, lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]+)', 1)) as host,
+    lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]+)', 1)) not in ('', 'twitter.com', 'www.twitter.com', 'x.com', 'www.x.com', 'pic.twitter.com', 't.co') as external from pages""")
+def external_url(spark: SparkSession, d: str) -> DataFrame:
+    entry = F.array(F.struct(F.col("url").alias("expanded_url"), F.lit(None).cast("string").alias("display_url"), F.lit(None).cast("string").alias("url")))
+    return table(spark, d, "pages").select("page_id", N.host(F.col("url")).alias("host"), N.has_external_url(entry).alias("external"))
+
+
+@query("""
+select conv_id, turn, case when role = 'user' and turn = 0 then 'retweet' when turn > 0 and turn % 2 = 1 then 'comment_reply' when turn > 0 and turn % 4 = 0 then 'comment_reply' when turn % 4 = 2 then 'link_share' end as coarse,
+    case when role = 'user' and turn = 0 then 'retweet' when turn > 0 and turn % 2 = 1 then 'reply' when turn > 0 and turn % 4 = 0 then 'quote_comment' when turn % 4 = 2 then 'link_share' end as detail,
+    case when role = 'user' and turn = 0 then 0.99::double when turn > 0 and turn % 2 = 1 then 0.99::double when turn > 0 and turn % 4 = 0 then 0.95::double when turn % 4 = 2 then 0.9::double end as confidence
+from conversations""")
+def post_type_heuristic(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as posts: the first of a user is marked RT, odd ones reply, every fourth quotes, and the others that are even have a link."""
+    c = table(spark, d, "conversations")
+    kind = F.when((F.col("turn") > 0) & (F.col("turn") % 2 == 1), "replied_to").when((F.col("turn") > 0) & (F.col("turn") % 4 == 0), "quoted")
+    refs = F.when(kind.isNotNull(), F.array(F.struct(F.lit("1").alias("id"), kind.alias("type")))).otherwise(F.array().cast("array<struct<id:string,type:string>>"))
+    link = F.when(F.col("turn") % 4 == 2, "https://a.example.org/x").otherwise("https://t.co/x")
+    urls = F.array(F.struct(link.alias("expanded_url"), F.lit("").alias("display_url"), F.lit("").alias("url")))
+    text = F.when((F.col("role") == "user") & (F.col("turn") == 0), "RT @someone: x").otherwise(F.lit("x"))
+    p = N.post_type(text, refs, urls)
+    return c.select("conv_id", "turn", p.alias("p")).select("conv_id", "turn", "p.coarse", "p.detail", "p.confidence")
+
+
+@query("""
+select event_id, case when event_id % 4 in (1, 2) then 'u' || (event_id % 7) when event_id % 4 = 0 then 'u' || user_id end as source,
+    case when event_id % 4 in (1, 2) then 'u' || user_id when event_id % 4 = 0 then 'u' || (event_id % 7) end as target,
+    case event_id % 4 when 0 then null when 1 then null when 2 then null else 'retweet' end as tweet_relation
+from events""")
+def edge_canonical(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    relation = F.element_at(F.array(F.lit("Following"), F.lit(" follower"), F.lit("followed"), F.lit("retweeted")), (F.col("event_id") % 4 + 1).cast("int"))
+    name = lambda c: F.concat(F.lit("u"), c.cast("string"))
+    rows = e.select("event_id", name(F.col("user_id")).alias("s"), name(F.col("event_id") % 7).alias("t"), relation.alias("r"))
+    edge = N.follow_edge("s", "t", "r")
+    return rows.select("event_id", edge["source"].alias("source"), edge["target"].alias("target"), N.tweet_relation("r").alias("tweet_relation"))
+
+
+# --- sampling ------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+with {B.POSTS} select user_id, tweet_id, place from (select user_id, tweet_id, row_number() over (partition by user_id order by sha1('42|sample|' || user_id || '|' || tweet_id), tweet_id) as place from posts) where place <= 5""")
+def hash_rank_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.top_by_hash(B.posts(spark, d), "user_id", "tweet_id", 5, 42, "sample").select("user_id", "tweet_id", F.col("place").cast("long").alias("place"))
+
+
+QUOTA = """g as (select kind, n, 1000 * (n::double / sum(n) over ()) as raw from (select event_type as kind, count(*) as n from events group by 1)),
+q as (select kind, n, floor(raw) as f, row_number() over (order by raw - floor(raw) desc, kind) as r, 1000 - sum(floor(raw)) over () as lft from g)"""
+
+
+@query(f"with {QUOTA} select kind, n, (f + case when r <= lft then 1 else 0 end)::bigint as quota from q")
+def largest_remainder_quota(spark: SparkSession, d: str) -> DataFrame:
+    groups = B.posts(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.largest_remainder(groups, "kind", "n", 1000).select("kind", "n", F.col("quota").cast("long").alias("quota"))
+
+
+@query("""
+with c as (select 'u' || c_custkey as user_id, c_mktsegment as stratum from customer),
+s as (select stratum, count(*) as n from c group by 1), g as (select stratum, 200 * (n::double / sum(n) over ()) as raw from s),
+q as (select stratum, floor(raw) + case when row_number() over (order by raw - floor(raw) desc, stratum) <= 200 - sum(floor(raw)) over () then 1 else 0 end as quota from g),
+r as (select c.*, quota, row_number() over (partition by stratum order by sha1('42|pick|' || stratum || '|' || user_id), user_id) as n from c join q using (stratum))
+select user_id, stratum from r where n <= quota""")
+def stratified_pick(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), F.col("c_mktsegment").alias("stratum"))
+    return sampling.stratified_pick(c, 200, 42, "pick").select("user_id", "stratum")
+
+
+@query("""
+with e as (select round_even(quantile_cont(c_acctbal, 0.25), 0) as a, round_even(quantile_cont(c_acctbal, 0.5), 0) as b, round_even(quantile_cont(c_acctbal, 0.75), 0) as c from customer)
+select c_custkey, case when c_acctbal <= a then 'q1' when c_acctbal <= b then 'q2' when c_acctbal <= c then 'q3' else 'q4' end as bucket from customer, e""")
+def quartile_bucket(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    edges = c.agg(N.quantile_edges("c_acctbal").alias("e"))  # one row
+    return c.join(F.broadcast(edges)).select("c_custkey", N.bucket("c_acctbal", F.col("e")).alias("bucket"))
+
+
+@query(f"""
+with {B.POSTS}, n as (select user_id, tweet_id, row_number() over (partition by user_id order by ts, tweet_id) - 1 as t, count(*) over (partition by user_id) as n from posts)
+select user_id, tweet_id from n where n <= 7 or list_contains(list_transform(range(0, 7), lambda i: round_even(i * (n - 1) / 6.0::double, 0)::bigint), t)""")
+def even_spacing_pick(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.finalize_tweets(B.posts(spark, d).select("user_id", "tweet_id", "ts"), 7).select("user_id", "tweet_id")
+
+
+@query(f"""
+with {B.FOLLOWS}, seeds as (select distinct 'u' || user_id as user_id from events where user_id % 10 = 0),
+degrees as (select user_id, count(*) as degree from (select source as user_id from follows union all select target from follows) group by 1),
+raw_links as (select source as seed_id, target as candidate_id, true as f, false as b from follows where source in (select user_id from seeds) union all select target, source, false, true from follows where target in (select user_id from seeds)),
+links as (select seed_id, candidate_id, bool_or(f) as f, bool_or(b) as b from raw_links where candidate_id not in (select user_id from seeds) group by 1, 2),
+per as (select candidate_id, count(*) as n_seeds, coalesce(max(degree), 0) as degree from links left join degrees on candidate_id = user_id group by 1),
+cut as (select round_even(quantile_cont(degree, 0.95), 0) as cutoff from per),
+rows_ as (select l.seed_id, l.candidate_id, case when f and b then 'mutual' when b then 'follower' else 'following' end as category, (f::int + b::int)::bigint as links, degree from links l join per using (candidate_id), cut where not (n_seeds = 1 and degree > cutoff)),
+ranked as (select *, row_number() over (partition by seed_id, category order by links desc, degree, sha1('42|context|' || seed_id || '|' || category || '|' || candidate_id), candidate_id) as place from rows_)
+select seed_id, candidate_id, category, links, degree, place from ranked where place <= case category when 'mutual' then 10 else 5 end""")
+def context_topk(spark: SparkSession, d: str) -> DataFrame:
+    f = B.follows(spark, d)
+    degree = f.select(F.explode(F.array("source", "target")).alias("user_id")).groupBy("user_id").agg(F.count(F.lit(1)).alias("degree"))
+    seeds = B.users(spark, d).where(F.substring("user_id", 2, 20).cast("long") % 10 == 0)
+    return longs(sampling.context_topk(f, seeds, degree), "place", "links")
+
+
+CLOSURE = """kept_users as (select distinct 'u' || user_id as id from events where user_id % 2 = 0), kept_posts as (select event_id::varchar as id from events where event_id % 3 <> 0),
+edges as (select distinct 'u' || user_id as source_id, event_id::varchar as target_id, 'post' as relation from events union select source, target, 'following' from follows)"""
+
+
+@query(f"""with {B.FOLLOWS}, {CLOSURE} select source_id, target_id, relation from edges where source_id in (select id from kept_users)
+and ((relation = 'post' and target_id in (select id from kept_posts)) or (relation = 'following' and target_id in (select id from kept_users)))""")
+def edge_closure_semi(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.close_edges(_edges(spark, d), *_kept(spark, d))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    made = B.posts(spark, d).select(F.col("user_id").alias("source_id"), F.col("tweet_id").alias("target_id"), F.lit("post").alias("relation"))
+    return made.unionByName(B.follows(spark, d).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("following").alias("relation")))
+
+
+def _kept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return B.users(spark, d).where(F.substring("user_id", 2, 20).cast("long") % 2 == 0), B.posts(spark, d).where("event_id % 3 <> 0").select("tweet_id")
+
+
+@query(f"""with {B.FOLLOWS}, {CLOSURE} select relation, count(*) - count(case when source_id in (select id from kept_users) and ((relation = 'post' and target_id in (select id from kept_posts))
+or (relation = 'following' and target_id in (select id from kept_users))) then 1 end) as errors from edges group by relation""")
+def endpoint_errors(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.endpoint_errors(_edges(spark, d), *_kept(spark, d))
+
+
+@query("select e.event_id, e.event_type from events e where e.user_id not in (select user_id from events where event_type = 'signup')")
+def anti_resume(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.join(e.where("event_type = 'signup'").select("user_id").distinct(), "user_id", "left_anti").select("event_id", "event_type")
+
+
+@query("""
+with t as (select conv_id || '-' || turn as tweet_id, conv_id || '-' || (turn - 1) as ref, turn from conversations), s as (select distinct tweet_id, ref from t where turn % 3 = 2)
+select tweet_id, false as added from (select distinct tweet_id from s) union all
+select ref, true from (select distinct ref from s) where ref in (select tweet_id from t) and ref not in (select tweet_id from s)""")
+def reference_closure(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    name = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
+    t = c.select(name(F.col("turn")).alias("tweet_id"), F.array(name(F.col("turn") - 1)).alias("references"), "turn")
+    return sampling.reference_closure(t.where("turn % 3 = 2"), t)
+
+
+@query("""
+with a as (select source as k, count(*) / (select count(*) from documents)::double as s from documents group by 1), b as (select source as k, count(*) / (select count(*) from documents where lang = 'en')::double as s from documents where lang = 'en' group by 1)
+select round(max(abs(coalesce(a.s, 0) - coalesce(b.s, 0))), 6) as delta from a full join b on a.k = b.k""")
+def ratio_delta(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    n = lambda df: df.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(sampling.ratio_delta(n(docs), n(docs.where("lang = 'en'")), "source"), "delta")
+
+
+@query()
+def seed_selection(spark: SparkSession, d: str) -> DataFrame:
+    """300 seed users of the customers by split, label, pool and stratum."""
+    return sampling.select_seeds(_profile(spark, d), 300).select("user_id", "split", "label", "stratum", "seed_order")
+
+
+@query()
+def downsample_selection(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.downsample_users(_profile(spark, d), 200).select("user_id", "split", "label", "stratum")
+
+
+def _profile(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("tweets"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    c = table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").na.fill(0, ["tweets", "finished"])
+    return c.select(
+        F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("user_id"), B.split_of("c_custkey").alias("split"), F.when(F.col("c_mktsegment") == "MACHINERY", "bot").otherwise("human").alias("label"),
+        F.lit("missing").alias("verified_bucket"), F.col("finished").alias("followers_count"), F.greatest(F.col("c_acctbal").cast("long"), F.lit(0)).alias("following_count"), F.col("tweets").alias("tweet_count_hint"),
+        (N.pool("tweets") == "primary").alias("primary_pool"), (N.pool("tweets") == "sparse").alias("sparse_pool"),
+    )
+
+
+# --- features ------------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+with {B.FOLLOWS}, u as (select distinct 'u' || user_id as user_id from events where user_id % 5 <> 0),
+t as (select 'u' || user_id as user_id, count(*) as tweets, count(case when value > 10 then 1 end) as tweets_text, count(case when hour(ts) >= 6 then 1 end) as tweets_dated from events group by 1),
+g as (select user_id, sum(o)::bigint as o, sum(i)::bigint as i from (select source as user_id, 1 as o, 0 as i from follows union all select target, 0, 1 from follows) group by 1)
+select user_id, coalesce(tweets, 0) as tweets, coalesce(tweets_text, 0) as tweets_text, coalesce(tweets_dated, 0) as tweets_dated, coalesce(o, 0) as out_degree, coalesce(i, 0) as in_degree,
+    u.user_id is not null as in_users, (coalesce(tweets_text, 0) >= 8)::int as can_text, (coalesce(tweets_dated, 0) >= 8)::int as can_time, (coalesce(tweets, 0) >= 1)::int as can_behaviour, (coalesce(o, 0) + coalesce(i, 0) > 0)::int as can_network
+from u full join t using (user_id) left join g using (user_id)""")
+def user_audit(spark: SparkSession, d: str) -> DataFrame:
+    p = B.posts(spark, d)
+    users = B.users(spark, d).where(F.substring("user_id", 2, 20).cast("long") % 5 != 0)
+    return features.user_audit(users, p, B.follows(spark, d), {"text": F.col("value") > 10, "dated": F.hour("ts") >= 6})
+
+
+@query(f"""
+with t as (select user_id, count(*) as tweets, (count(case when value > 10 then 1 end) >= 8)::int as can_text from events group by 1)
+select can_text, count(*) as users, sum(tweets)::bigint as tweets, round(avg(tweets), 4) as average_tweets from t group by 1""")
+def audit_summary(spark: SparkSession, d: str) -> DataFrame:
+    p = B.posts(spark, d)
+    a = features.user_audit(B.users(spark, d), p, B.follows(spark, d), {"text": F.col("value") > 10, "dated": F.lit(True)})
+    return features.audit_summary(a, ["can_text"]).select("can_text", "users", "tweets", "average_tweets")
+
+
+@query("select lang, count(*) as n from documents group by 1 order by n desc, lang limit 10")
+def language_top10(spark: SparkSession, d: str) -> DataFrame:
+    return features.top_values(table(spark, d, "documents"), "lang")
+
+
+@query(f"""
+with {B.POSTS} select user_id, count(*) as tweets, {", ".join(f"count(case when kind = '{k}' then 1 end) as n_{k}" for k in B.EVENT_TYPES)},
+    {", ".join(f"round(count(case when kind = '{k}' then 1 end) / greatest(count(*), 1)::double, 6) as ratio_{k}" for k in B.EVENT_TYPES)} from posts group by 1""")
+def type_distribution(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(features.type_distribution(B.posts(spark, d), B.EVENT_TYPES), *[f"ratio_{k}" for k in B.EVENT_TYPES])
+
+
+@query("select conv_id, count(*) as parts, md5(string_agg(text, chr(10) order by turn)) as document_md5, sum(length(text))::bigint + count(*) - 1 as chars from conversations group by 1")
+def user_document(spark: SparkSession, d: str) -> DataFrame:
+    out = features.user_documents(table(spark, d, "conversations"), "turn", "text", "conv_id")
+    return out.select("conv_id", "parts", F.md5("document").alias("document_md5"), F.length("document").cast("long").alias("chars"))
+
+
+@query("""
+select 'u' || user_id as user_id, count(*) as dated, array_to_string(list_transform(range(0, 24), lambda h: len(list_filter(list(hour(ts)), lambda x: x = h))), ',') as hours, (count(*) >= 8)::int as ready from events group by 1""")
+def hour_histogram(spark: SparkSession, d: str) -> DataFrame:
+    out = features.hour_histogram(B.posts(spark, d))
+    return out.select("user_id", "dated", F.array_join(F.transform("hours", lambda x: x.cast("string")), ",").alias("hours"), "ready")
+
+
+@query("""
+with u as (select user_id, count(*) as n, avg(value) as v from events group by 1), s as (select avg(n) as mn, stddev_pop(n) as sn, avg(v) as mv, stddev_pop(v) as sv from u),
+z as (select user_id, (n - mn) / sn as a, (v - mv) / sv as b from u, s)
+select 'u' || user_id as user_id, round(a, 6) as z_posts, round(b, 6) as z_value, round(a / sqrt(a * a + b * b), 6) as unit_posts, round(b / sqrt(a * a + b * b), 6) as unit_value from z""")
+def zscore_vectors(spark: SparkSession, d: str) -> DataFrame:
+    u = B.posts(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
+    out = features.behaviour_vectors(u, ["n", "v"])
+    return rounded(out.select("user_id", *[F.col(c)[k].alias(f"{p}_{n}") for c, p in (("z", "z"), ("behaviour", "unit")) for k, n in enumerate(("posts", "value"))]), "z_posts", "z_value", "unit_posts", "unit_value")
+
+
+@query("""
+with e as (select user_id, event_id from events where event_type in ('click', 'view', 'error')), s as (select event_id from events where event_type = 'click'), b as (select user_id, event_id from events where event_type = 'error')
+select 'u' || u.user_id as user_id, (select count(*) from e where e.user_id = u.user_id) as expected, (select count(*) from e where e.user_id = u.user_id and e.event_id in (select event_id from s)) as resolved,
+    (select count(*) from b where b.user_id = u.user_id and b.event_id not in (select event_id from s)) as unresolved from (select distinct user_id from e) u""")
+def task_resolution(spark: SparkSession, d: str) -> DataFrame:
+    p = B.posts(spark, d)
+    part = lambda *kinds: p.where(F.col("kind").isin(*kinds)).select("user_id", "tweet_id")
+    return features.resolution(part("click", "view", "error"), part("click"), part("error")).drop("incomplete")
+
+
+@query(f"""
+with {B.POSTS}, {B.FOLLOWS}, u as (select distinct user_id from posts), c as (select user_id, count(*) as posts, round(avg(value), 6) as mean_value from posts where kind = 'purchase' group by 1), o as (select source as user_id, count(*) as out_degree from follows group by 1)
+select u.user_id, coalesce(posts, 0) as posts, coalesce(mean_value, 0.0) as mean_value, coalesce(out_degree, 0) as out_degree from u left join c on u.user_id = c.user_id left join o on u.user_id = o.user_id""")
+def feature_table(spark: SparkSession, d: str) -> DataFrame:
+    bought = B.posts(spark, d).where("kind = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("posts"), F.round(F.avg("value"), 6).alias("mean_value"))
+    out = B.follows(spark, d).groupBy(F.col("source").alias("user_id")).agg(F.count(F.lit(1)).alias("out_degree"))
+    return features.feature_table(B.users(spark, d), bought, out)
+
+
+# --- similarities and graphs ---------------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def _knn(spark: SparkSession, d: str, k: int = K) -> DataFrame:
+    return graph.cosine_topk(_vectors(spark, d), k)
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("community"))
+
+
+@query(f"with {B.KNN.format(k=K)} select source, target, rank, round(weight, 6) as weight from knn")
+def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(longs(_knn(spark, d).select("source", "target", "rank", "weight"), "rank"), "weight")
+
+
+@query(f"with {B.KNN.format(k=K)}, {B.EDGES} select a, b, round(weight, 6) as weight, support from edges")
+def symmetrize_union_max(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(graph.symmetrize(_knn(spark, d)), "weight")
+
+
+@query(f"with {B.KNN.format(k=K)}, {B.EDGES} select a, b, round(weight * 1.1, 6) as weight, support from edges where support >= 2")
+def symmetrize_mutual(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(graph.mutual_bonus(graph.symmetrize(_knn(spark, d), "mutual_max")), "weight")
+
+
+@query(f"""
+with {B.KNN.format(k=K)}, {B.EDGES}, deg as (select vec_id, (select count(*) from edges where a = vec_id or b = vec_id) as n from vecs)
+select count(*) as nodes, (select count(*) from edges) as edges, round(avg(n), 6) as average_degree, max(n) as max_degree, count(case when n = 0 then 1 end) as isolated from deg""")
+def degree_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(graph.degree_summary(_vectors(spark, d), graph.symmetrize(_knn(spark, d))), "average_degree")
+
+
+@query("""
+with s as (select l_suppkey as k, list_distinct(list(l_partkey % 50)) as parts from lineitem group by 1), n as (select s.k, parts, s_nationkey as nation from s join supplier on k = s_suppkey)
+select a.k as a, b.k as b, round(len(list_intersect(a.parts, b.parts)) / len(list_distinct(list_concat(a.parts, b.parts)))::double, 6) as jaccard from n a join n b on a.nation = b.nation and a.k < b.k""")
+def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.collect_set(F.col("l_partkey") % 50).alias("parts"))
+    n = s.join(table(spark, d, "supplier"), F.col("k") == F.col("s_suppkey")).select("k", "parts", F.col("s_nationkey").alias("nation"))
+    pairs = n.selectExpr("k as a", "parts as x", "nation").join(n.selectExpr("k as b", "parts as y", "nation"), "nation").where("a < b")
+    return rounded(pairs.select("a", "b", V.jaccard(F.col("x"), F.col("y")).alias("jaccard")), "jaccard")
+
+
+MIX = f"mix as (select 'u' || user_id as user_id, [{', '.join(f"count(case when event_type = '{k}' then 1 end)::double" for k in B.EVENT_TYPES)}] as m, count(*) as n from events group by 1)"
+PAIRS = "pairs as (select distinct least(source, target) as a, greatest(source, target) as b from follows)"
+
+
+def _mix(spark: SparkSession, d: str) -> DataFrame:
+    t = features.type_distribution(B.posts(spark, d), B.EVENT_TYPES)
+    return t.select("user_id", F.array(*[F.col(f"n_{k}").cast("double") for k in B.EVENT_TYPES]).alias("m"), F.col("tweets").alias("n"))
+
+
+def _follow_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return B.follows(spark, d).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+
+
+JS = "greatest(0, least(1, list_sum(list_transform(list_zip(p, q), lambda z: (case when z[1] > 0 then 0.5 * z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) else 0 end) + (case when z[2] > 0 then 0.5 * z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) else 0 end)))))"
+
+
+@query(f"""
+with {B.FOLLOWS}, {MIX}, {PAIRS}, j as (select a, b, list_transform(x.m, lambda v: v / list_sum(x.m)) as p, list_transform(y.m, lambda v: v / list_sum(y.m)) as q from pairs join mix x on a = x.user_id join mix y on b = y.user_id)
+select a, b, round(1 - {JS}, 6) as similarity from j""")
+def js_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    m = _mix(spark, d)
+    rows = _follow_pairs(spark, d).join(m.selectExpr("user_id as a", "m as x"), "a").join(m.selectExpr("user_id as b", "m as y"), "b")
+    return rounded(rows.select("a", "b", V.js_similarity("x", "y").alias("similarity")), "similarity")
+
+
+@query(f"""
+with {B.FOLLOWS}, {MIX}, {PAIRS}, j as (select a, b, x.m as p, y.m as q, x.n as nx, y.n as ny from pairs join mix x on a = x.user_id join mix y on b = y.user_id),
+c as (select a, b, (list_cosine_similarity(p, q) + 1) / 2 as s1, case when (nx + ny) % 2 = 0 then 1 / (1 + abs(nx - ny)) end as s2, case when (nx + ny) % 3 = 0 then 0.5 end as s3 from j)
+select a, b, round((0.5 * s1 + 0.25 * coalesce(s2, 0) + 0.25 * coalesce(s3, 0)) / (0.5 + case when s2 is null then 0 else 0.25 end + case when s3 is null then 0 else 0.25 end), 6) as weight,
+    round((0.5 + case when s2 is null then 0 else 0.25 end + case when s3 is null then 0 else 0.25 end)::double, 6) as available_weight from c""")
+def fused_weight(spark: SparkSession, d: str) -> DataFrame:
+    """A weighted mean of three channels, two of which some pairs lack."""
+    m = _mix(spark, d)
+    rows = _follow_pairs(spark, d).join(m.selectExpr("user_id as a", "m as x", "n as nx"), "a").join(m.selectExpr("user_id as b", "m as y", "n as ny"), "b")
+    total = F.col("nx") + F.col("ny")
+    rows = rows.select("a", "b", V.unit_cosine("x", "y").alias("s1"), F.when(total % 2 == 0, 1 / (1 + F.abs(F.col("nx") - F.col("ny")))).alias("s2"), F.when(total % 3 == 0, 0.5).alias("s3"))
+    fused, mass = V.weighted_available([("s1", 0.5), ("s2", 0.25), ("s3", 0.25)])
+    return rounded(rows.select("a", "b", fused.alias("weight"), mass.alias("available_weight")), "weight", "available_weight")
+
+
+@query()
+def dtw_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Average warping distance of the hour profiles of users that follow each other."""
+    h = features.hour_histogram(B.posts(spark, d)).select("user_id", "distribution")
+    rows = _follow_pairs(spark, d).join(h.selectExpr("user_id as a", "distribution as x"), "a").join(h.selectExpr("user_id as b", "distribution as y"), "b")
+    return rounded(rows.select("a", "b", V.dtw_average_distance("x", "y").alias("distance")), "distance")
+
+
+def _bundles(spark: SparkSession, d: str) -> DataFrame:
+    """The channels' inputs per user. Users' content vectors are those of the embeddings with their number; others have none."""
+    p = B.posts(spark, d)
+    stats = p.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
+    behaviour = features.behaviour_vectors(stats, ["n", "v"]).select("user_id", F.when(V.has_signal("z"), F.col("behaviour")).alias("behaviour"))
+    hours = features.hour_histogram(p).select("user_id", F.when(F.col("ready") == 1, F.col("distribution")).alias("hours"))
+    net = features.network_vectors(B.follows(spark, d), B.users(spark, d)).select("user_id", F.coalesce("followed", F.array().cast("array<string>")).alias("followed"), F.when(V.has_signal("degrees"), F.col("degrees_unit")).alias("degrees_unit"))
+    content = table(spark, d, "embeddings").select(F.concat(F.lit("u"), F.col("vec_id").cast("string")).alias("user_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    out = B.users(spark, d)
+    for part in (content, behaviour, _mix(spark, d).select("user_id", F.col("m").alias("type_mix")), hours, net):
+        out = out.join(part, "user_id", "left")
+    return out
+
+
+@query()
+def late_fusion_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The four-channel graph of the users: candidates, scored pairs, top k, undirected edges with their channels."""
+    out = graph.late_fusion(_bundles(spark, d), B.follows(spark, d).distinct(), k=5, candidate_k=20)["edges"]
+    return rounded(out, "weight", "available_weight", *graph.CHANNELS)
+
+
+# --- partitions ----------------------------------------------------------------------------------------------------------------------------
+
+STATS = """w as (select sum(weight) as w from edges), adj as (select a as x, b as y, weight from edges union all select b, a, weight from edges),
+vol as (select label as c, count(*) as size, sum(coalesce(s, 0)) as v from vecs left join (select x, sum(weight) as s from adj group by 1) on vec_id = x group by 1),
+inn as (select va.label as c, sum(weight) as i, count(*) as ni from edges join vecs va on a = va.vec_id join vecs vb on b = vb.vec_id where va.label = vb.label group by 1),
+st as (select vol.c, size, v, coalesce(i, 0) as i, coalesce(ni, 0) as ni, w, greatest(v - 2 * coalesce(i, 0), 0) as cut from vol left join inn using (c), w)"""
+ENTROPY = "sum(case when v > 0 then -(cut / (2 * w)) * log2(v / (2 * w)) + (v / (2 * w)) * log2(v) else 0 end)"
+CLUSTER = """deg as (select x, va.label as c, list(y) as near from adj join vecs va on x = va.vec_id join vecs vb on y = vb.vec_id where va.label = vb.label group by 1, 2),
+pairs_ as (select d.x, d.c, u.y as p, t.y as q from deg d, unnest(d.near) u(y), unnest(d.near) t(y) where u.y < t.y),
+loc as (select x, c, count(e.a) / count(*)::double as k from pairs_ left join edges e on e.a = p and e.b = q group by 1, 2),
+clu as (select label as c, avg(coalesce(k, 0)) as clustering from vecs left join loc on vec_id = x group by 1)"""
+
+
+@query(f"with {B.KNN.format(k=K)}, {B.EDGES}, {STATS} select count(*) as communities, round({ENTROPY}, 6) as entropy from st")
+def partition_entropy(spark: SparkSession, d: str) -> DataFrame:
+    edges = graph.symmetrize(_knn(spark, d)).select("a", "b", "weight")
+    return rounded(community.partition_entropy(edges, _labels(spark, d)), "entropy")
+
+
+@query(f"""
+with {B.KNN.format(k=K)}, {B.EDGES}, {STATS} select c as community, size, ni as internal_edges, round(v, 6) as volume, round(i, 6) as internal from st""")
+def community_volumes(spark: SparkSession, d: str) -> DataFrame:
+    edges = graph.symmetrize(_knn(spark, d)).select("a", "b", "weight")
+    return rounded(community.community_stats(edges, _labels(spark, d)).select("community", "size", "internal_edges", "volume", "internal"), "volume", "internal")
+
+
+@query(f"""
+with {B.KNN.format(k=K)}, {B.EDGES}, {STATS}, {CLUSTER}, d as (select st.*, clustering, case when size > 1 then 2.0 * ni / (size * (size - 1)) else 0 end as dens, case when least(v, 2 * w - v) > 0 then cut / least(v, 2 * w - v) else 0 end as cond from st join clu using (c))
+select count(*) as communities, max(size) as largest, quantile_cont(size, 0.5)::double as median, round({ENTROPY}, 6) as entropy, round(sum(i / w - (v / (2 * w)) ** 2), 6) as modularity,
+    round(sum(dens * size) / sum(size), 6) as density, round(sum(clustering * size) / sum(size), 6) as clustering, round(sum(cond * size) / sum(size), 6) as conductance from d""")
+def modularity_conductance(spark: SparkSession, d: str) -> DataFrame:
+    edges = graph.symmetrize(_knn(spark, d)).select("a", "b", "weight")
+    return rounded(community.partition_quality(edges, _labels(spark, d)), "median", "entropy", "modularity", "density", "clustering", "conductance")
+
+
+@query(f"with {B.KNN.format(k=K)}, {B.EDGES}, {STATS}, {CLUSTER} select c as community, round(clustering, 6) as clustering from clu")
+def clustering_coefficient(spark: SparkSession, d: str) -> DataFrame:
+    edges = graph.symmetrize(_knn(spark, d)).select("a", "b", "weight")
+    return rounded(community.clustering(edges, _labels(spark, d)), "clustering")
+
+
+@query(f"""
+with {B.KNN.format(k=K)}, {B.EDGES} select least(va.label, vb.label) as c1, greatest(va.label, vb.label) as c2, count(*) as edges, round(avg(weight), 6) as mean_weight
+from edges join vecs va on a = va.vec_id join vecs vb on b = vb.vec_id where va.label <> vb.label group by 1, 2""")
+def community_links(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(experiments.community_links(graph.symmetrize(_knn(spark, d)), _labels(spark, d)), "mean_weight")
+
+
+@query("""
+with m as (select c_custkey, c_nationkey as community_id, c_acctbal, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r from customer)
+select community_id, array_to_string(list(c_custkey order by r), ',') as members from m where r <= 6 group by 1""")
+def top_members(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("community_id"), F.col("c_acctbal").alias("followers_count"), F.lit(0).alias("tweets"))
+    return experiments.top_members(c).select("community_id", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+def _communities(spark: SparkSession, d: str, algorithm: str, least: int = 1) -> DataFrame:
+    edges = graph.mutual_bonus(graph.symmetrize(_knn(spark, d, 5))).select("a", "b", "weight")
+    return community.community_ids(community.detect(edges, _vectors(spark, d), algorithm, least=least)).select("node", "community_id", "size")
+
+
+@query()
+def structural_entropy_communities(spark: SparkSession, d: str) -> DataFrame:
+    return _communities(spark, d, "structural_entropy")
+
+
+@query()
+def mutual_best_communities(spark: SparkSession, d: str) -> DataFrame:
+    """The approximate agglomeration in joins."""
+    return _communities(spark, d, "mutual_best")
+
+
+@query()
+def weighted_lpa(spark: SparkSession, d: str) -> DataFrame:
+    return _communities(spark, d, "label_propagation")
+
+
+@query()
+def small_merge(spark: SparkSession, d: str) -> DataFrame:
+    return _communities(spark, d, "label_propagation", 5)
+
+
+@query()
+def encoding_tree(spark: SparkSession, d: str) -> DataFrame:
+    edges = graph.mutual_bonus(graph.symmetrize(_knn(spark, d, 5))).select("a", "b", "weight")
+    return rounded(community.encoding_tree(edges), "merge_gain", "objective_after")
+
+
+# --- evaluation ----------------------------------------------------------------------------------------------------------------------------
+
+PRIOR = "prior as (select coalesce(count(case when split = 'train' and label = 'bot' then 1 end) / nullif(count(case when split = 'train' and label in ('bot', 'human') then 1 end), 0)::double, 0.5) as prior from members)"
+PROFILES = """cnt as (select community_id, count(*) as community_size, count(case when split = 'train' and label = 'human' then 1 end) as th, count(case when split = 'train' and label = 'bot' then 1 end) as tb,
+    count(case when label = 'human' then 1 end) as ah, count(case when label = 'bot' then 1 end) as ab from members group by 1),
+prof as (select *, case when th + tb > 0 then (tb + prior) / (th + tb + 1) else prior end as bot_score from cnt, prior),
+profiles as (select *, case when bot_score >= 0.12 then 'bot' else 'human' end as predicted_label, greatest(ah, ab) / community_size::double as purity,
+    coalesce(ab / nullif(ah + ab, 0)::double, 0) as bot_ratio, case when tb > th then 'bot' when tb < th then 'human' when bot_score >= 0.12 then 'bot' else 'human' end as majority_label from prof)"""
+PREDICTED = "pred as (select m.user_id, m.split, m.label, community_id, bot_score, predicted_label from members m join profiles using (community_id))"
+AUC = "(select coalesce(sum(case when x.bot_score > y.bot_score then 1.0 when x.bot_score = y.bot_score then 0.5 else 0 end) / nullif(count(*), 0), 0) from u x join u y on x.split = y.split and x.label = 'bot' and y.label = 'human' where x.split = {s})"
+CUT = 0.12
+
+
+def _profiles(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.community_profiles(B.members(spark, d), CUT)
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.project(B.members(spark, d), _profiles(spark, d))
+
+
+@query(f"with {B.MEMBERS}, {PRIOR}, {PROFILES} select community_id, community_size, th as train_human, tb as train_bot, round(bot_score, 6) as bot_score, predicted_label from profiles")
+def community_score(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_profiles(spark, d).select("community_id", "community_size", "train_human", "train_bot", "bot_score", "predicted_label"), "bot_score")
+
+
+@query(f"""with {B.MEMBERS}, {PRIOR}, {PROFILES} select community_id, round(purity, 6) as purity, round(bot_ratio, 6) as bot_ratio, majority_label,
+round((select sum(community_size * purity) / sum(community_size) from profiles), 6) as global_purity from profiles""")
+def community_purity(spark: SparkSession, d: str) -> DataFrame:
+    p = _profiles(spark, d)
+    return rounded(p.select("community_id", "purity", "bot_ratio", "majority_label").join(F.broadcast(evaluate.global_purity(p))), "purity", "bot_ratio", "global_purity")
+
+
+@query(f"""
+with {B.MEMBERS}, {PRIOR}, {PROFILES}, {PREDICTED}, u as (select s.split, label, bot_score, predicted_label from pred, unnest([pred.split, 'all']) s(split) where label in ('bot', 'human')),
+c as (select split, count(*) as labeled, count(case when predicted_label = 'bot' and label = 'bot' then 1 end) as tp, count(case when predicted_label = 'bot' and label = 'human' then 1 end) as fp,
+    count(case when predicted_label = 'human' and label = 'human' then 1 end) as tn, count(case when predicted_label = 'human' and label = 'bot' then 1 end) as fn from u group by 1)
+select split, labeled, tp, fp, tn, fn, round((tp + tn) / labeled::double, 6) as accuracy, round(coalesce(tp / nullif(tp + fp, 0)::double, 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0)::double, 0), 6) as recall,
+    round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 0), 6) as f1, round((tp + fp) / labeled::double, 6) as predicted_bot_rate, round({AUC.format(s="c.split")}::double, 6) as auc from c""")
+def binary_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.binary_metrics(_predictions(spark, d)), "accuracy", "precision", "recall", "f1", "predicted_bot_rate", "auc")
+
+
+@query("""
+with u as (select quality, n_chars as s from documents join (select doc_id, max(quality) as quality from labels group by 1) using (doc_id))
+select round(coalesce(sum(case when x.s > y.s then 1.0 when x.s = y.s then 0.5 else 0 end) / nullif(count(*), 0), 0)::double, 6) as auc from u x join u y on x.quality = 1 and y.quality = 0""")
+def auc(spark: SparkSession, d: str) -> DataFrame:
+    """How well a document's length alone tells good from bad ones, ties counted half."""
+    q = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = table(spark, d, "documents").join(q, "doc_id").select(F.when(F.col("quality") == 1, "bot").otherwise("human").alias("label"), F.col("n_chars").cast("double").alias("bot_score"))
+    return rounded(evaluate.auc(rows), "auc")
+
+
+SHAPES = "shapes as (select community_id, community_size, bot_ratio, purity, round(community_size / 40.0, 6) as density, round(community_size / 10.0, 6) as average_degree from profiles)"
+ARCH = "case when community_size >= 75 and purity >= 0.85 and bot_ratio <= 0.15 then 'Pure human macro-communities' when community_size <= 80 and purity >= 0.7 and bot_ratio >= 0.55 then 'Compact bot communities' when community_size <= 20 and (density < 0.25 or average_degree < 3.5) then 'Sparse peripheral communities' else 'Mixed transitional communities' end"
+
+
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    p = _profiles(spark, d)
+    rows = p.select("community_id", "community_size", "bot_ratio", "purity", F.round(F.col("community_size") / 40, 6).alias("density"), F.round(F.col("community_size") / 10, 6).alias("average_degree"))
+    return rows.withColumn("archetype", evaluate.archetype(*[F.col(c) for c in ("community_size", "bot_ratio", "purity", "density", "average_degree")]))
+
+
+@query(f"with {B.MEMBERS}, {PRIOR}, {PROFILES}, {SHAPES} select community_id, {ARCH} as archetype from shapes")
+def archetype(spark: SparkSession, d: str) -> DataFrame:
+    return _shapes(spark, d).select("community_id", "archetype")
+
+
+@query(f"""
+with {B.MEMBERS}, {PRIOR}, {PROFILES}, {SHAPES}, a as (select *, {ARCH} as archetype from shapes),
+r as (select archetype, community_id, row_number() over (partition by archetype order by case archetype when 'Pure human macro-communities' then -community_size when 'Compact bot communities' then -bot_ratio when 'Sparse peripheral communities' then density else abs(bot_ratio - 0.5) end,
+    case archetype when 'Pure human macro-communities' then -purity when 'Compact bot communities' then -purity when 'Sparse peripheral communities' then average_degree else purity end,
+    case archetype when 'Pure human macro-communities' then 0 when 'Compact bot communities' then -density when 'Sparse peripheral communities' then community_size else -community_size end, community_id) as selection_rank from a)
+select archetype, community_id, selection_rank from r where selection_rank <= 3""")
+def representatives(spark: SparkSession, d: str) -> DataFrame:
+    return longs(evaluate.representatives(_shapes(spark, d)).select("archetype", "community_id", "selection_rank"), "selection_rank")
+
+
+@query(f"""
+with {B.MEMBERS}, {PRIOR}, {PROFILES}, {PREDICTED}, v as (select * from pred where label in ('bot', 'human') and split = 'valid'), u as (select 'v' as split, label, bot_score from v),
+c as (select t as threshold, count(case when bot_score >= t and label = 'bot' then 1 end) as tp, count(case when bot_score >= t and label = 'human' then 1 end) as fp, count(case when bot_score < t and label = 'bot' then 1 end) as fn from v, unnest([0.05, 0.1, 0.12, 0.15, 0.2]::double[]) s(t) group by 1),
+m as (select threshold, coalesce(tp / nullif(tp + fp, 0)::double, 0) as precision, coalesce(tp / nullif(tp + fn, 0)::double, 0) as recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0)::double, 0) as f1 from c)
+select threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, round({AUC.format(s="'v'")}::double, 6) as auc, row_number() over (order by f1 desc, abs(threshold - 0.5), threshold) as place from m""")
+def threshold_search(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(longs(experiments.threshold_search(_predictions(spark, d), [0.05, 0.1, 0.12, 0.15, 0.2]), "place"), "precision", "recall", "f1", "auc")
+
+
+@query(f"""
+with {B.MEMBERS}, {PRIOR}, {PROFILES}, {PREDICTED}, b as (select user_id, label, community_id, predicted_label as before, case when bot_score >= 0.15 then 'bot' else 'human' end as after from pred where label in ('bot', 'human')),
+o as (select *, case when before <> label and after = label then 'fixed' when before = label and after <> label then 'regressed' when before <> label then 'unchanged_wrong' else 'unchanged_right' end as outcome from b),
+s as (select community_id, count(*) as rows, count(case when outcome = 'fixed' then 1 end) as fixed, count(case when outcome = 'regressed' then 1 end) as regressed, count(case when outcome = 'unchanged_wrong' then 1 end) as unchanged_wrong from o group by 1)
+select *, fixed - regressed as net_gain, round((fixed + unchanged_wrong) / rows::double, 6) as error_rate_before, round((regressed + unchanged_wrong) / rows::double, 6) as error_rate_after from s""")
+def changed_predictions(spark: SparkSession, d: str) -> DataFrame:
+    p = _predictions(spark, d)
+    after = p.select("user_id", F.when(F.col("bot_score") >= 0.15, "bot").otherwise("human").alias("predicted_label"))
+    return rounded(experiments.change_summary(experiments.changed_predictions(p, after)), "error_rate_before", "error_rate_after")
+
+
+@query(f"""
+with {B.MEMBERS}, {PRIOR}, {PROFILES}, {PREDICTED} select community_id, count(*) as rows, count(case when predicted_label = 'bot' and label = 'human' then 1 end) as fp, count(case when predicted_label = 'human' and label = 'bot' then 1 end) as fn
+from pred where split = 'test' and label in ('bot', 'human') group by 1""")
+def error_rollup(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("user_id"), F.col("n_chars").cast("double").alias("n_chars"))
+    return experiments.error_analysis(_predictions(spark, d), t, ["n_chars"])["communities"]
+
+
+@query(f"""
+with {B.MEMBERS}, {PRIOR}, {PROFILES}, {PREDICTED}, e as (select case when predicted_label = 'bot' and label = 'human' then 'FP' when predicted_label = 'human' and label = 'bot' then 'FN' end as error_type, n_chars from pred join documents d on d.doc_id::varchar = user_id where split = 'test' and label in ('bot', 'human'))
+select error_type, count(*) as rows, round(avg(n_chars), 6) as mean_n_chars from e where error_type is not null group by 1""")
+def error_signals(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("user_id"), F.col("n_chars").cast("double").alias("n_chars"))
+    return rounded(experiments.error_analysis(_predictions(spark, d), t, ["n_chars"])["signals"], "mean_n_chars")
+
+
+# --- models --------------------------------------------------------------------------------------------------------------------------------
+
+
+def _table(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("user_id"), N.log1p_count("n_chars").alias("log_chars"), (F.length("text") - F.length(F.regexp_replace("text", "[#*$%&|<>!]", ""))).cast("double").alias("symbols"), (F.col("lang") == "en").cast("double").alias("english"))
+    return _predictions(spark, d).drop("predicted_label", "score_source").join(docs, "user_id").withColumnRenamed("bot_score", "community_bot_score")
+
+
+@query()
+def logistic_reranker(spark: SparkSession, d: str) -> DataFrame:
+    out = experiments.rerank(_table(spark, d), ["community_bot_score", "log_chars", "symbols", "english"], thresholds=(0.05, 0.1, 0.15, 0.2, 0.3, 0.5), epochs=15, rate=0.5)
+    return rounded(out["predictions"].select("user_id", "split", "label", "community_id", "bot_score", "predicted_label"), "bot_score")
+
+
+@query()
+def kmeans_groups(spark: SparkSession, d: str) -> DataFrame:
+    data = experiments.matrix(_table(spark, d), ["community_bot_score", "log_chars", "symbols", "english"])
+    return experiments.kmeans_groups(data, 16, starts=2)
+
+
+@query()
+def deepwalk(spark: SparkSession, d: str) -> DataFrame:
+    """Ten uniform walks of twenty steps from each user over the follow graph."""
+    near = experiments.walk_graph(B.follows(spark, d), B.users(spark, d))
+    return experiments.walks(near, 10, 20).select("node", "nth", F.array_join("walk", " ").alias("walk"))
+
+
+@query()
+def node2vec_walks(spark: SparkSession, d: str) -> DataFrame:
+    near = experiments.walk_graph(B.follows(spark, d), B.users(spark, d))
+    return experiments.walks(near, 2, 10, p=0.5, q=2.0).select("node", "nth", F.array_join("walk", " ").alias("walk"))
+
 
-QUERIES: dict = {}
-ORACLES: dict = {}
