@@ -33,8 +33,9 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 
 
 def unit_cosine(a: str | Column, b: str | Column) -> Column:
-    """(cosine + 1) / 2 within 0 and 1."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine(a, b) + 1) / 2))
+    """(cosine + 1) / 2 within 0 and 1; null where the cosine is."""
+    value = (cosine(a, b) + 1) / 2
+    return F.when(value < 0, 0.0).when(value > 1, 1.0).otherwise(value)  # greatest and least would skip nulls
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
@@ -58,7 +59,7 @@ def js_divergence(a: str | Column, b: str | Column) -> Column:
 
 
 def js_similarity(a: str | Column, b: str | Column) -> Column:
-    return F.greatest(F.lit(0.0), 1 - js_divergence(a, b))
+    return 1 - js_divergence(a, b)
 
 
 def _warp(x: np.ndarray, y: np.ndarray) -> np.ndarray:
