@@ -1,46 +1,20 @@
-"""Reading tables, shared-folder tables and chunking, used by all operators of this subpackage."""
+"""Reading tables and chunking Arrow batches, used by all operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from murmur.sources.shared import drop_written, shared_dir, written
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="murmur-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+__all__ = ["drop_written", "partitions", "pieces", "raw", "shared_dir", "table", "written"]
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/murmur/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes the table behind a DataFrame of written() once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,11 +3,12 @@
 Each document is the set of its distinct word shingles. In each of TREES independent trees, a document follows the path of its minwise
 tokens, one a level: a node's documents are those that share a path so far. Small nodes are compared exhaustively, larger ones branch by
 the next token, so that two documents of similarity s meet with probability s**depth in a tree; trees repeat to a target recall.
-Comparisons use a sketch (64 minwise tokens of 8 bits) and set sizes, and whatever may be similar enough is then confirmed on the full sets.
 
-Only components are wanted, so pairs within a group of copies need not all be named: a first round proposes, in each node of a few trees, the
-links of a maximum spanning forest, which are confirmed and joined to components; a second round proposes, in all trees, every pair
-of different components that the sketch cannot rule out. Equal sets are one vertex from the start.
+Nodes compare sketches (64 minwise tokens of 8 bits) and set sizes, and name a spanning forest of the pairs that may be similar enough.
+Those forests make families, which hold every pair that met and may be linked, and which are a few documents each or a large group
+of near copies. Links are decided on full sets: a small family's texts meet in one task, which links exhaustively but for pairs that are
+connected already. In a large family the forest's pairs are confirmed first, and then what is still apart from the family's main
+component is compared with all of it, in blocks. Equal sets are one vertex from the start. So no pairs of a group of copies are listed.
 """
 
 from __future__ import annotations
@@ -22,19 +23,18 @@ from pyspark.sql import functions as F
 
 from murmur.llm import kernels as K
 from murmur.llm.base import partitions, pieces, raw, table, written
-from murmur.llm.components import components
+from murmur.operators.components import components
 
 TREES, LEVELS = 10, 6
-FIRST_TREES = 3
 HASHES = 64
 #: Nodes of at most so many documents are compared exhaustively before the last level.
 SMALL = 48
-#: Nodes of more documents than this branch further before they reach a task.
-LARGE = 2048
-#: Levels at which documents may be dealt to tasks.
-DEALT = (1, 3, 6)
-#: Deviations of the sketch's estimate below the threshold that are still confirmed.
+#: Documents are dealt to tasks by their node at level DEALT; nodes of more than LARGE documents by the last level.
+DEALT, LARGE = 3, 2048
+#: Deviations of the sketch's estimate below the threshold that are still compared.
 SLACK = 4.4
+#: A family of at most so many documents and shingles meets in one task (16 MB of hashes); larger ones are compared in blocks of about half.
+FAMILY, FAMILY_SHINGLES = 4096, 2_000_000
 #: Confirmations of one document in one task.
 FAN = 64
 FILTER_BITS = 1 << 24
@@ -96,8 +96,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig binary")
 
 
-def branches(vertices: DataFrame, trees: int, by: int) -> DataFrame:
-    """A row for each vertex (id, n, sig, comp) and tree: its path, and `key`, the node at level `by` of the tree."""
+def branches(vertices: DataFrame, trees: int) -> DataFrame:
+    """A row for each vertex (id, n, sig) and tree: its nodes at level DEALT and the last one, and its path and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,13 +110,13 @@ def branches(vertices: DataFrame, trees: int, by: int) -> DataFrame:
             sketch = sig[:, 3::4]
             for t in range(trees):
                 path = tokens[:, t * LEVELS : (t + 1) * LEVELS]
-                key = np.full(n, np.uint64(t + 1))
-                for level in range(by):
-                    key = K.mix(key * np.uint64(0x2545F4914F6CDD1D) + path[:, level] + np.uint64(1))
+                keys = [np.full(n, np.uint64(t + 1))]
+                for level in range(LEVELS):
+                    keys.append(K.mix(keys[-1] * np.uint64(0x2545F4914F6CDD1D) + path[:, level] + np.uint64(1)))
                 body = np.concatenate([sig[:, t * LEVELS * 4 : (t + 1) * LEVELS * 4], sketch], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("id"), batch.column("n"), batch.column("comp"), pa.array([x.tobytes() for x in body], pa.binary())], names=["key", "id", "n", "comp", "body"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[DEALT].view(np.int64)), pa.array(keys[LEVELS].view(np.int64)), batch.column("id"), batch.column("n"), pa.array([x.tobytes() for x in body], pa.binary())], names=["key", "leaf", "id", "n", "body"])
 
-    return vertices.select("id", "n", "comp", "sig").mapInArrow(run, "key long, id long, n long, comp long, body binary")
+    return vertices.select("id", "n", "sig").mapInArrow(run, "key long, leaf long, id long, n long, body binary")
 
 
 def least_matches(percent: int) -> int:
@@ -125,55 +125,35 @@ def least_matches(percent: int) -> int:
     return max(1, int(np.floor(HASHES * p - SLACK * np.sqrt(HASHES * p * (1 - p)))))
 
 
-def proposals(nodes: DataFrame, percent: int, forest: bool, first_level: int) -> DataFrame:
-    """Pairs (a, b) to confirm, from rows in the order of key and path. forest: only a spanning forest of each node's likely links; else all of different comp."""
+def forests(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): a spanning forest of each node's pairs that may be linked, from rows in the order of key and path."""
     least = least_matches(percent)
 
-    def matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(y)), np.uint8)
-        for k in range(HASHES):
-            out += x[:, k][:, None] == y[None, :, k]
-        return out
-
-    def likely(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sketch: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Matches of rows lo..hi with all rows, 0 where sizes, comps or the sketch rule a link out."""
-        m = matches(sketch[lo:hi], sketch) if len(ids) > SMALL else (sketch[lo:hi, None, :] == sketch[None, :, :]).sum(axis=2, dtype=np.uint8)
-        ok = (m >= least) & (100 * np.minimum(n[lo:hi, None], n) >= percent * np.maximum(n[lo:hi, None], n)) & (comp[lo:hi, None] != comp)
-        return np.where(ok, m, 0)
-
-    def compare(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if (comp == comp[0]).all():
-            return
-        if not forest:
-            for lo in range(0, len(ids), 256):
-                i, j = np.nonzero(np.triu(likely(ids, n, comp, sketch, lo, min(len(ids), lo + 256)), lo + 1))
-                yield ids[i + lo], ids[j]
-            return
-        # a maximum spanning forest, a vertex at a time; of equal links the one to the smallest id
+    def tree(ids: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest links first, a vertex at a time; of equal links the one to the smallest id."""
         order = np.argsort(ids, kind="stable")
-        ids, n, comp, sketch = ids[order], n[order], comp[order], sketch[order]
+        ids, n, sketch = ids[order], n[order], sketch[order]
         best, by, left = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
         a, b = [], []
         v = 0
-        for _ in range(len(ids)):
+        for _ in range(len(ids) - 1):
             left[v] = False
-            m = likely(ids, n, comp, sketch, v, v + 1)[0].astype(np.int64)
+            m = (sketch == sketch[v]).sum(axis=1)
+            m[(m < least) | (100 * np.minimum(n[v], n) < percent * np.maximum(n[v], n))] = 0
             better = left & (m > best)
             best[better], by[better] = m[better], v
-            if not left.any():
-                break
             v = int(np.argmax(np.where(left, best, -1)))
             if best[v] > 0:
                 a.append(ids[by[v]])
                 b.append(ids[v])
-        yield np.array(a, np.int64), np.array(b, np.int64)
+        return np.array(a, np.int64), np.array(b, np.int64)
 
     def branch(level: int, *rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, n, comp, path, sketch = rows
-        if len(ids) < 2 or (comp == comp[0]).all():
+        ids, n, path, sketch = rows
+        if len(ids) < 2:
             return
         if len(ids) <= SMALL or level >= LEVELS:
-            yield from compare(ids, n, comp, sketch)
+            yield tree(ids, n, sketch)
             return
         cut = [0, *(np.flatnonzero(path[1:, level] != path[:-1, level]) + 1).tolist(), len(ids)]
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
@@ -187,21 +167,22 @@ def proposals(nodes: DataFrame, percent: int, forest: bool, first_level: int) ->
             rows = whole.combine_chunks()
             if not len(rows):
                 return
-            key, ids, n, comp = (rows[c].to_numpy() for c in ("key", "id", "n", "comp"))
+            key, ids, n = (rows[c].to_numpy() for c in ("key", "id", "n"))
             body = raw(rows["body"])[0].reshape(len(ids), LEVELS * 4 + HASHES)
             path, sketch = np.ascontiguousarray(body[:, : LEVELS * 4]).view(">u4"), body[:, LEVELS * 4 :]
             cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            found = []
-            for g in np.flatnonzero(np.diff(cut) > 1):
+            size = np.diff(cut)
+            # nodes of two, all at once
+            two = cut[:-1][size == 2]
+            ok = ((sketch[two] == sketch[two + 1]).sum(axis=1) >= least) & (100 * np.minimum(n[two], n[two + 1]) >= percent * np.maximum(n[two], n[two + 1]))
+            found = [(ids[two[ok]], ids[two[ok] + 1])]
+            for g in np.flatnonzero(size > 2):
                 s = slice(cut[g], cut[g + 1])
-                found += branch(first_level, ids[s], n[s], comp[s], path[s], sketch[s])
-            if found:
-                a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-                a, b = np.minimum(a, b), np.maximum(a, b)
-                if len(a):
-                    pair = np.unique(np.stack([a, b], axis=1), axis=0)
-                    pair = pair[pair[:, 0] != pair[:, 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+                found += branch(DEALT, ids[s], n[s], path[s], sketch[s])
+            a, b = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            pair = pair[pair[:, 0] != pair[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -216,100 +197,203 @@ def proposals(nodes: DataFrame, percent: int, forest: bool, first_level: int) ->
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    return nodes.mapInArrow(run, "a long, b long")
+    return nodes.select("key", "id", "n", "body").mapInArrow(run, "a long, b long")
 
 
-def star(nodes: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """Proposals of nodes that stay large at the last level: links to the node's smallest id, or, later, of those outside its component."""
+def star(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of last-level nodes that stay large: links of the node's smallest id. A row at a time, in a join that can be split."""
     least = least_matches(percent)
-    pivot = nodes.groupBy("key").agg(F.min("id").alias("_pivot"))
-    one = nodes.join(pivot, "key").where("id = _pivot").drop("_pivot").dropDuplicates(["key"])
-    left = one if forest else nodes.join(one.selectExpr("key", "comp as _comp"), "key").where("comp <> _comp").drop("_comp")
-    both = left.selectExpr("key", "id as a", "n as na", "comp as ca", "body as ba").join(nodes.selectExpr("key", "id as b", "n as nb", "comp as cb", "body as bb"), "key")
-    both = both.where(f"a <> b and ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "ba", "bb")
+    pivot = nodes.groupBy("key").agg(F.min("id").alias("id"))
+    one = nodes.join(pivot, ["key", "id"], "left_semi").dropDuplicates(["key"]).selectExpr("key", "id as a", "n as na", "body as ba")
+    both = nodes.join(one, "key").where(f"a <> id and 100 * least(na, n) >= {percent} * greatest(na, n)").select("a", "id", "ba", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (raw(batch.column(c))[0].reshape(batch.num_rows, LEVELS * 4 + HASHES)[:, LEVELS * 4 :] for c in ("ba", "bb"))
+                x, y = (raw(batch.column(c))[0].reshape(batch.num_rows, LEVELS * 4 + HASHES)[:, LEVELS * 4 :] for c in ("ba", "body"))
                 ok = (x == y).sum(axis=1) >= least
-                a, b = (batch.column(c).to_numpy()[ok] for c in ("a", "b"))
+                a, b = (batch.column(c).to_numpy()[ok] for c in ("a", "id"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def propose(vertices: DataFrame, trees: int, percent: int, forest: bool) -> DataFrame:
-    """All proposals of the given trees. Nodes that are large at a level of DEALT are dealt by a later one, so no node of many documents reaches one task."""
-    spark = vertices.sparkSession
-    parts = partitions(spark)
-    out = None
-    hot = None
-    for k, level in enumerate(DEALT):
-        rows = branches(vertices, trees, level)
-        if hot is not None:  # only what was in a large node of the level before
-            rows = rows.join(hot, ["id"], "left_semi")
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
-        large = written(sizes.where(F.col("_n") > LARGE).select("key"), "large")
-        any_large = not large.isEmpty()
-        small = rows.join(large, "key", "left_anti") if any_large else rows
-        dealt = small.repartition(parts, "key").sortWithinPartitions("key", "body")
-        found = proposals(dealt, percent, forest, level)
-        out = found if out is None else out.unionByName(found)
-        if not any_large:
-            break
-        within = rows.join(large, "key", "left_semi")
-        if k == len(DEALT) - 1:
-            out = out.unionByName(star(within, percent, forest))
-        else:
-            hot = written(within.select("id").distinct(), "large-ids")
-    return out.distinct()
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Texts of involved documents only are moved, compressed."""
-    spark = pairs.sparkSession
+def propose(vertices: DataFrame, trees: int, percent: int) -> DataFrame:
+    """The forests of all trees. No node of many documents reaches one task: large ones are dealt by their last level, and what is large there is a star."""
+    parts = partitions(vertices.sparkSession)
+    rows = branches(vertices, trees)
+    large = lambda df: written(df.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE).select("key"), "large")
+    dealt = lambda df: forests(df.repartition(parts, "key").sortWithinPartitions("key", "body"), percent)
+    hot = large(rows.select("key"))
+    if hot.isEmpty():
+        return dealt(rows).distinct()
+    deep = written(rows.join(hot, "key", "left_semi").withColumn("key", F.col("leaf")), "deep")
+    out = dealt(rows.join(hot, "key", "left_anti"))
+    hot = large(deep.select("key"))
+    out = out.unionByName(dealt(deep.join(hot, "key", "left_anti")))
+    return out.unionByName(star(deep.join(hot, "key", "left_semi"), percent)).distinct()
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, z): compressed texts of the given ids, and of few others: a filter of FILTER_BITS bits leaves most of the rest where they are."""
     place = F.expr(f"pmod(xxhash64(id), {FILTER_BITS}L)")
-    marks = pairs.selectExpr("explode(array(a, b)) as id").select((place + 1).alias("h"))  # bitmap positions count from 1
+    marks = ids.select((place + 1).alias("h"))  # bitmap positions count from 1
     marks = marks.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    # a filter of fixed size: FILTER_BITS bits
     bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
     for r in marks:
         bits[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
     packed = zstandard.compress(bits.tobytes(), 3)
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(np.frombuffer(zstandard.decompress(packed), np.uint8), bitorder="little").view(bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.frombuffer(zstandard.decompress(packed), np.uint8)
         zip_ = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            part = batch.filter(pa.array(flags[batch.column("h").to_numpy()]))
+            h = batch.column("h").to_numpy()
+            part = batch.filter(pa.array((flags[h >> 3] >> (h & 7).astype(np.uint8)) & 1 > 0))
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([zip_(t.as_buffer()) for t in part.column("text")], pa.binary())], names=["id", "z"])
 
     rows = docs.selectExpr("cast(doc_id as long) id", "cast(text as string) text").where("id is not null and text is not null")
-    rows = rows.withColumn("h", place).mapInArrow(texts, "id long, z binary")
+    return rows.withColumn("h", place).mapInArrow(run, "id long, z binary")
+
+
+class Index:
+    """Postings of some sets, for intersection sizes."""
+
+    def __init__(self, sets: list[np.ndarray], members: np.ndarray):
+        self.members = members
+        every = np.concatenate([sets[m] for m in members])
+        owner = np.repeat(members, [len(sets[m]) for m in members])
+        order = np.argsort(every, kind="stable")
+        every, self.owner = every[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        self.values, self.first = every[first], np.append(first, len(every))
+
+    def common(self, s: np.ndarray, total: int) -> np.ndarray:
+        """The size of the intersection of s with each set, by member."""
+        at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        at = at[self.values[at] == s]
+        size = self.first[at + 1] - self.first[at]
+        start = self.first[at]
+        places = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.bincount(self.owner[places], minlength=total)
+
+
+def linked(common: np.ndarray, size: int, sizes: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * common >= percent * (size + sizes - common)
+
+
+def clusters(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that span the components of a family. Documents already reached are not compared again."""
+    if len(ids) == 2:
+        return [(int(ids[0]), int(ids[1]))] if similar(sets[0], sets[1], percent) else []
+    sizes = np.array([len(s) for s in sets])
+    left = np.ones(len(ids), bool)
+    index = Index(sets, np.arange(len(ids)))
+    out = []
+    for root in range(len(ids)):
+        if not left[root]:
+            continue
+        left[root] = False
+        queue = [root]
+        while queue and left.any():
+            x = queue.pop()
+            if 2 * left.sum() < len(index.members):
+                index = Index(sets, np.flatnonzero(left))
+            hit = np.flatnonzero(left & linked(index.common(sets[x], len(ids)), sizes[x], sizes, percent) & (sizes > 0))
+            left[hit] = False
+            queue += hit.tolist()
+            out += [(int(ids[x]), int(ids[y])) for y in hit]
+    return out
+
+
+def _by_key(columns: tuple[str, ...]):
+    """Rows of (key columns..., id, ..., z) as lists, a key at a time."""
+
+    def groups_(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+        at, held = None, []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                key = row[: len(columns)]
+                if key != at and held:
+                    yield at, held
+                    held = []
+                at = key
+                held.append(row[len(columns) :])
+        if held:
+            yield at, held
+
+    return groups_
+
+
+def _set(z: bytes, words: int) -> np.ndarray:
+    data = np.frombuffer(zstandard.decompress(z), np.uint8)
+    return shingles(data, np.array([0, len(data)]), words)[0]
+
+
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.int64())], names=["a", "b"])
+
+
+def link_small(families: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): the smallest document b that each other document a of a family (family, id) reaches; a family meets in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_key(("family",))(batches):
+            # rows are in the order of id, so links go from the smaller document on
+            least: dict[int, int] = {}
+            for a, b in clusters(np.array([r[0] for r in rows]), [_set(r[1], words) for r in rows], percent):
+                least[b] = least.get(a, a)
+            if least:
+                yield _pairs([(a, b) for a, b in least.items() if a != b])
+
+    rows = families.join(texts, "id").select("family", "id", "z")
+    return rows.repartition(partitions(families.sparkSession), "family").sortWithinPartitions("family", "id").mapInArrow(run, "a long, b long")
+
+
+def link_blocks(apart: DataFrame, families: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links of documents that are apart (family, id, comp) with any of their family (family, id, comp), in pairs of blocks; one for each other component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_key(("family", "i", "j"))(batches):
+            sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
+            if not all(sides):
+                continue
+            sets = [_set(r[3], words) for r in sides[1]]
+            sizes, comp = np.array([len(s) for s in sets]), np.array([r[2] for r in sides[1]])
+            index, found = Index(sets, np.arange(len(sets))), []
+            for _, id_, own, z in sides[0]:
+                s = _set(z, words)
+                hit = np.flatnonzero(linked(index.common(s, len(sets)), len(s), sizes, percent) & (comp != own) & (sizes > 0))
+                _, first = np.unique(comp[hit], return_index=True)
+                found += [(id_, sides[1][k][1]) for k in hit[first]]
+            if found:
+                yield _pairs(found)
+
+    blocks = lambda df, name: df.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (FAMILY // 2)), F.ceil(F.sum("n") / (FAMILY_SHINGLES // 2))).cast("int").alias(name))
+    number = blocks(apart, "_l").join(blocks(families, "_r"), "family")
+    own = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")
+    other = lambda n: F.expr(f"explode(sequence(0, {n} - 1))")
+    left = apart.join(number, "family").select("family", own("_l").alias("i"), other("_r").alias("j"), F.lit(0).alias("side"), "id", "comp")
+    right = families.join(number, "family").select("family", other("_l").alias("i"), own("_r").alias("j"), F.lit(1).alias("side"), "id", "comp")
+    rows = left.unionByName(right).join(texts, "id").select("family", "i", "j", "side", "id", "comp", "z")
+    return rows.repartition(partitions(families.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "id").mapInArrow(run, "a long, b long")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Partners of one document are spread over tasks, FAN to each."""
     fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
-    dealt = pairs.join(fan, "a").selectExpr("a", "b", f"pmod(xxhash64(b), _n div {FAN} + 1) as salt")
+    dealt = pairs.join(fan, "a").selectExpr("a", f"pmod(xxhash64(b), _n div {FAN} + 1) as salt", "b")
     ends = dealt.selectExpr("a", "salt", "b as id").unionByName(dealt.selectExpr("a", "salt", "a as id").distinct())
-    ends = ends.join(rows, "id").selectExpr("a", "salt", "id", "id <> a as other", "z")
+    ends = ends.join(texts, "id").selectExpr("a", "salt", "id <> a as other", "id", "z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip = zstandard.ZstdDecompressor().decompress
-        at, own = None, []
-        for batch in batches:
-            a, b = [], []
-            for x, salt, id_, other, z in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "id", "other", "z")), strict=True):
-                if (x, salt) != at:
-                    at, own = (x, salt), []
-                data = np.frombuffer(unzip(z), np.uint8)
-                s = shingles(data, np.array([0, len(data)]), words)[0]
-                if not other:
-                    own.append(s)
-                elif any(similar(s, o, percent) for o in own):
-                    a.append(x)
-                    b.append(id_)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return ends.repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(run, "a long, b long").distinct()
+        for (a, _), rows in _by_key(("a", "salt"))(batches):
+            own = [_set(z, words) for other, _, z in rows if not other]
+            found = [(a, id_) for other, id_, z in rows if other and any(similar(_set(z, words), o, percent) for o in own)]
+            if found:
+                yield _pairs(found)
+
+    return ends.repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -323,25 +407,39 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         raise ValueError("percent must be 50 to 100")
     sets = written(signatures(docs, words), "signatures")
     full = sets.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"))
-    member = written(full.drop("sig").join(classes, ["f1", "f2", "n"]).select("doc_id", "id").distinct(), "members")
-    first = classes.withColumnRenamed("id", "doc_id").withColumn("comp", F.col("doc_id"))
-    vertices = written(full.join(first, ["f1", "f2", "n", "doc_id"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"]).selectExpr("doc_id as id", "n", "doc_id as comp", "sig"), "vertices")
-    # rows that share a doc_id, and doc_ids with one of several sets, link their classes
-    links = member.where("doc_id <> id").selectExpr("doc_id as a", "id as b")
-
-    pairs = written(propose(vertices, FIRST_TREES, percent, forest=True), "pairs")
-    sure = written(confirm(pairs, docs, words, percent).unionByName(links), "links")
-    labels = components(sure)
-    marked = vertices.drop("comp").join(labels.withColumnRenamed("node", "id").withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    marked = written(marked.select("id", "n", "comp", "sig"), "vertices")
-    # pairs refused in the first round need no second look
-    more = propose(marked, TREES, percent, forest=False).join(pairs, ["a", "b"], "left_anti")
-    more = written(confirm(written(more, "pairs"), docs, words, percent), "links")
-    joined = labels.selectExpr("node as a", "component as b")
-    final = components(joined.unionByName(more)) if not more.isEmpty() else labels
-    out = sets.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    vertices = written(full.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "vertices")
+    # a doc_id with several sets links their vertices
+    several = full.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("x"), F.max(F.struct("f1", "f2")).alias("y")).where("x <> y").select("doc_id")
+    copies = written(full.join(several, "doc_id", "left_semi").join(vertices.drop("sig"), ["f1", "f2", "n"]).selectExpr("doc_id as a", "id as b").where("a <> b"), "copies")
+    any_copies = not copies.isEmpty()
+
+    pairs = written(propose(vertices, TREES, percent), "pairs")
+    family = components(pairs)
+    family = family.selectExpr("node as id", "component as family").unionByName(family.selectExpr("component as id", "component as family").distinct())
+    family = written(family.join(vertices.groupBy("id").agg(F.max("n").alias("n")), "id"), "families")
+    size = family.groupBy("family").agg(F.count(F.lit(1)).alias("_c"), F.sum("n").alias("_s"))
+    large = written(size.where(f"_c > {FAMILY} or _s > {FAMILY_SHINGLES}").select("family"), "large-families")
+    texts = texts_of(family.select("id"), docs)
+    if large.isEmpty():
+        links = link_small(family.select("family", "id"), texts, words, percent)
+    else:
+        big = family.join(large, "family", "left_semi")
+        links = link_small(family.join(large, "family", "left_anti").select("family", "id"), texts, words, percent)
+        near = components(written(confirm(pairs.join(big.selectExpr("id as a"), "a", "left_semi"), texts, words, percent), "links"))
+        big = written(big.join(near.selectExpr("node as id", "component as comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id")), "large-members")
+        parts = big.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("_n"))
+        main = parts.groupBy("family").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"))
+        apart = big.join(main, "family").where("comp <> main").drop("main")
+        more = written(link_blocks(apart, big.join(apart.select("family").distinct(), "family", "left_semi"), texts, words, percent), "links")
+        near = near.selectExpr("node as a", "component as b")
+        if not more.isEmpty():
+            near = components(near.unionByName(more)).selectExpr("node as a", "component as b")
+        links = links.unionByName(near)
+    if any_copies:
+        links = components(links.unionByName(copies)).selectExpr("node as a", "component as b")
+    out = sets.select("doc_id", "n", "f1", "f2").join(vertices.select("f1", "f2", "n", "id"), ["f1", "f2", "n"], "left")
+    out = out.join(links.selectExpr("a as id", "b as component"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("_c"))
+    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("doc_id")))).drop("_c")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
