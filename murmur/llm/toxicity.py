@@ -1,9 +1,11 @@
 """Toxicity: bags of subword embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the embeddings of its hashed character n-grams (with marks at its ends), a text's the mean of its words'
-vectors, and a softmax layer over that gives the classes. Misspellings that training never saw share n-grams, and so vectors, with words
-that it did see. As the layer is linear, a trained model scores a text as a mean of one number per n-gram: one table of
-2**BITS floats, which does not grow with the data. Only texts are inputs: labels, language, source and doc_id are not.
+A word's vector is the mean of the embeddings of its hashed character n-grams (with marks at its ends); training averages a text's word
+vectors into a linear softmax and fits embeddings and layer together. In scoring the same layer reads the vector of each passage of WORDS
+words, and the most toxic passage gives the text's score, so that a few words in a long text are not averaged away; a calibration
+on texts left out of training sets slope and cut. Misspellings that training never saw share n-grams, and so vectors, with words that
+it did see. As the layer is linear, a trained model scores a passage as a mean of one number per n-gram: one table of 2**BITS floats,
+which does not grow with the data. Only texts are inputs: labels, language, source and doc_id are not.
 """
 
 from __future__ import annotations
@@ -20,13 +22,17 @@ from murmur.llm import kernels as K
 from murmur.llm.base import pieces, table
 
 BITS = 17
-GRAMS = (3, 4, 5, 6)
+GRAMS = (3, 4, 5)
 DIM = 8
 #: Bounds of the labelled sample the model is fitted on: rows of each class, in the order of their md5.
 TOXIC_ROWS = 1_500
-CLEAN_ROWS = 3_000
-EPOCHS = 8
-RATE = 0.3
+CLEAN_ROWS = 2_500
+#: Words of a passage.
+WORDS = 1
+EPOCHS = 4
+RATE = 0.1
+#: n-grams that fewer texts of the sample have keep a value of 0, as they could only be learnt by heart.
+LEAST_TEXTS = 3
 #: The averaged vector is multiplied by this before the softmax layer, as a few words in hundreds decide.
 GAIN = 50.0
 CUT = 0.7
@@ -67,11 +73,20 @@ def gram_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         for k in range(1, n):
             h |= text[k : k + size].astype(np.uint64) << np.uint64(8 * k)
         b = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
-        lo = starts - 1
+        lo = np.minimum(starts - 1, size)
         hi = np.maximum(np.minimum(ends + 2 - n, size), lo)  # windows [lo, hi) lie in the marked word
         yield b, lo, hi, first
 
 
+def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of each passage (and their number), and the first passage of each row. Rows without words have none."""
+    n = np.diff(first)
+    count = -(-n // WORDS)
+    at = np.concatenate([[0], np.cumsum(count)])
+    row = np.repeat(np.arange(len(n)), count)
+    return np.append(first[:-1][row] + WORDS * (np.arange(at[-1]) - at[:-1][row]), first[-1]), at
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each row's buckets and weights: a text's vector is the weighted sum of its buckets' embeddings."""
     found = list(gram_rows(data, offsets))
@@ -80,32 +95,32 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     out = []
     for r in range(len(offsets) - 1):
         words = slice(first[r], first[r + 1])
-        n = first[r + 1] - first[r]
-        if not n:
-            out.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
-            continue
-        weight = 1.0 / (np.maximum(grams[words], 1) * n)
+        weight = 1.0 / (np.maximum(grams[words], 1) * max(1, first[r + 1] - first[r]))
         ids, w = [], []
         for b, lo, hi, _ in found:
             size = (hi - lo)[words]
-            start = np.repeat(lo[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            ids.append(b[start])
+            ids.append(b[np.repeat(lo[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
             w.append(np.repeat(weight, size))
         bucket, back = np.unique(np.concatenate(ids), return_inverse=True)
         out.append((bucket, np.bincount(back, np.concatenate(w), minlength=len(bucket)).astype(np.float32)))
     return out
 
 
-def averages(data: np.ndarray, offsets: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Mean over each row's words of the mean of `value` over their n-grams; 0 for rows without words."""
+def peaks(data: np.ndarray, offsets: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The largest mean, over each row's passages, of the words' means of `value` over their n-grams; 0 for rows without words."""
     total, grams, first = 0.0, 0, None
     for b, lo, hi, first in gram_rows(data, offsets):
         sums = np.zeros(len(b) + 1)
         np.cumsum(value[b], out=sums[1:])
         total = total + sums[hi] - sums[lo]
         grams = grams + hi - lo
-    words = np.diff(first)
-    return K.sums(total / np.maximum(grams, 1), first) / np.maximum(words, 1)
+    starts, at = passages(first)
+    mean = K.sums(total / np.maximum(grams, 1), starts) / np.maximum(np.diff(starts), 1)
+    out = np.zeros(len(offsets) - 1)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        out[some] = np.maximum.reduceat(mean, at[:-1][some])
+    return out
 
 
 @dataclass
@@ -117,88 +132,87 @@ class Model:
     shift: float = 0.0
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        z = self.slope * averages(data, offsets, self.value) + self.shift
+        z = self.slope * peaks(data, offsets, self.value) + self.shift
         return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, seed: int = 1, clean_weight: float = 1.0) -> Model:
-    """Embeddings and the softmax layer by Adagrad, a text at a time; every fifth text is left out, for calibration.
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
-    rows: (label, buckets, weights). clean_weight: how many clean rows of the corpus one clean row of the sample stands for, against toxic ones.
-    Without rows of both classes the model scores every text below one half.
+
+def train(rows: list[tuple[int, bytes]], epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, seed: int = 1, clean_weight: float = 1.0) -> Model:
+    """Embeddings and the softmax layer by Adagrad, a text at a time; every fifth text of a class is left out, for calibration.
+
+    rows: (label, text). clean_weight: how many clean rows of the corpus one clean row of the sample stands for, against toxic ones. Without
+    rows of both classes every text scores below one half.
     """
-    labels = np.array([y for y, _, _ in rows])
+    labels = np.array([y for y, _ in rows])
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(1 << BITS, np.float32), 1.0, -1.0)
     rng = np.random.default_rng(seed)
-    embed = rng.normal(0, 0.05, (1 << BITS, dim)).astype(np.float32)
+    own = {c: [k for k in range(len(rows)) if labels[k] == c] for c in (0, 1)}
+    held = sorted(k for c in own for k in own[c][::5]) if min(map(len, own.values())) >= 10 else list(range(len(rows)))
+    fit = [k for k in range(len(rows)) if k not in set(held)] or held
+    bags = {}
+    for lo in range(0, len(fit), 200):
+        part = fit[lo : lo + 200]
+        bags |= dict(zip(part, features(*joined([rows[k][1] for k in part])), strict=True))
+    fit = [k for k in fit if len(bags[k][0])]
+    texts = np.zeros(1 << BITS, np.int32)
+    for k in fit:
+        texts[bags[k][0]] += 1
+    known = (texts >= min(LEAST_TEXTS, max(1, len(fit) // 20))).astype(np.float32)
+    embed = rng.normal(0, 0.01, (1 << BITS, dim)).astype(np.float32) * known[:, None]
     layer = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    g_embed, g_layer, g_bias = np.full(1 << BITS, 1e-6, np.float32), np.full((dim, 2), 1e-3, np.float32), np.full(2, 1e-3, np.float32)
-    own = {c: [k for k in range(len(rows)) if labels[k] == c] for c in (0, 1)}
-    held = {k for c in own for k in own[c][::5]} if min(map(len, own.values())) >= 10 else set()
-    fit = [k for k in range(len(rows)) if k not in held]
+    g_embed, g_layer, g_bias = np.full(1 << BITS, 1e-4, np.float32), np.full((dim, 2), 1e-2, np.float32), np.full(2, 1e-2, np.float32)
     of = {c: 0.5 * len(fit) / max(1, sum(labels[k] == c for k in fit)) for c in (0, 1)}
     for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        for k in rng.permutation(fit):
-            y, ids, w = rows[k]
-            if not len(ids):
-                continue
-            w = GAIN * w
-            e = embed[ids]
+        for done, k in enumerate(rng.permutation(fit)):
+            step = rate * (1 - (epoch + done / len(fit)) / epochs)
+            y, (ids, w) = labels[k], bags[k]
+            w, e = GAIN * w, embed[ids]
             v = w @ e
             z = v @ layer + bias
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y] -= 1
             p *= of[y]
-            back = layer @ p
-            gl = np.outer(v, p)
-            g_layer += gl * gl
+            back, slope = layer @ p, np.outer(v, p)
+            g_layer += slope * slope
             g_bias += p * p
             g_embed[ids] += w * w * float(back @ back) / dim
-            embed[ids] = e - (step * w / np.sqrt(g_embed[ids]))[:, None] * back
-            layer -= step * gl / np.sqrt(g_layer)
+            embed[ids] = e - (step * w * known[ids] / np.sqrt(g_embed[ids]))[:, None] * back
+            layer -= step * slope / np.sqrt(g_layer)
             bias -= step * p / np.sqrt(g_bias)
     value = (GAIN * embed @ (layer[:, 1] - layer[:, 0])).astype(np.float32)
-    z = np.array([float(w @ value[ids]) if len(ids) else 0.0 for _, ids, w in rows])
-    test = np.array(sorted(held) or range(len(rows)))
-    return Model(value, *calibrate(z[test], labels[test], clean_weight))
+    z = np.concatenate([peaks(*joined([rows[k][1] for k in held[lo : lo + 200]]), value) for lo in range(0, len(held), 200)])
+    return Model(value, *calibrate(z, labels[held], clean_weight))
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, clean_weight: float) -> tuple[float, float]:
-    """Slope and shift with which CUT separates best (F1 with clean rows weighted), at the middle of the best gap."""
+    """Slope and shift with which CUT separates best (F1 with clean rows weighted); in the best gap nearer to the clean rows, as misspellings score lower."""
     order = np.argsort(z, kind="stable")
     z, y = z[order], y[order]
     pos, neg = np.cumsum(y[::-1])[::-1], np.cumsum((1 - y)[::-1])[::-1] * clean_weight
     f1 = 2 * pos / (pos + neg + y.sum())
     k = int(np.argmax(f1))
-    at = (z[k] + z[k - 1]) / 2 if k else z[0] - 1e-6
+    at = z[k - 1] + 0.3 * (z[k] - z[k - 1]) if k else z[0] - 1e-6
     spread = max(1e-9, float(z[y == 1].mean() - z[y == 0].mean()) / 2)
     slope = 2.0 / spread
     return slope, float(np.log(CUT / (1 - CUT)) - slope * at)
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Features of the labelled rows to learn from: never those whose crc32(doc_id) mod 3 is 1, and at most the given numbers of a class."""
+def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> list[tuple[int, bytes]]:
+    """(label, text) of the labelled rows to learn from: never those whose crc32(doc_id) mod 3 is 1, and at most the given numbers of a class."""
     # a row that is labelled both ways counts as toxic
     own = labels.where("doc_id is not null and toxic is not null").where(fold_of() != 1).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.md5(F.col("doc_id").cast("string"))
     ids = own.where("toxic = 1").orderBy(order).limit(toxic_rows).union(own.where("toxic = 0").orderBy(order).limit(clean_rows))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in pieces(batch, "text"):
-                got = features(data, offsets)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("toxic"), pa.array([x.astype(np.int32).tobytes() for x, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())],
-                    names=["doc_id", "toxic", "ids", "weights"],
-                )
-
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(ids), "doc_id")
-    found = rows.mapInArrow(run, "doc_id long, toxic int, ids binary, weights binary").toArrow().sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-    return [(y, np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for y, i, w in zip(found["toxic"].to_pylist(), found["ids"].to_pylist(), found["weights"].to_pylist(), strict=True)]
+    # rows that share a doc_id count once, the smallest text of them
+    rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    return [(r.toxic, (r.text or "").encode()) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
 def clean_share(labels: DataFrame) -> tuple[int, int]:
@@ -209,7 +223,7 @@ def clean_share(labels: DataFrame) -> tuple[int, int]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sample(docs, labels)
     toxic, clean = clean_share(labels)
-    y = [r[0] for r in rows]
+    y = [label for label, _ in rows]
     weight = (clean / max(1, y.count(0))) / max(1e-9, toxic / max(1, y.count(1))) if toxic and clean else 1.0
     return train(rows, clean_weight=weight)
 
