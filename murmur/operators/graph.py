@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import vectors as V
+from murmur.sources.shared import written
 
 #: Vectors of a block: 4096 of 64 doubles are 2 MB.
 BLOCK = 4096
@@ -136,10 +137,10 @@ def early_fusion(vectors: DataFrame, k: int, least: float, size: int) -> DataFra
 
 
 def late_fusion(bundles: DataFrame, follows: DataFrame, k: int = 10, candidate_k: int = 100, weights: dict[str, float] | None = None, least: float = 0.0, mode: str = "union_max") -> dict[str, DataFrame]:
-    """The whole graph build: candidates from content, behaviour and follows; channels; top k; undirected edges."""
+    """The whole graph build: candidates from content, behaviour and follows; channels; top k; undirected edges. bundles must be cheap to read again."""
     content = cosine_topk(bundles.where("embedding is not null"), candidate_k, "user_id", "embedding")
     behaviour = cosine_topk(bundles.where("behaviour is not null"), candidate_k, "user_id", "behaviour")
-    scored = score_pairs(candidates(content, behaviour, follows), bundles, weights)
+    scored = written(score_pairs(candidates(content, behaviour, follows), bundles, weights), "scored")  # warped once
     directed = directed_topk(scored, k, least)
     return {"scored": scored, "directed": directed, "edges": symmetrize(directed, mode, (*CHANNELS, "available_weight"))}
 

@@ -12,6 +12,7 @@ from murmur.functions import vectors as V
 from murmur.operators import community, evaluate, experiments, features, graph, sampling
 from murmur.plans import bindings as B
 from murmur.plans.bindings import longs, rounded, table
+from murmur.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -324,6 +325,12 @@ def _knn(spark: SparkSession, d: str, k: int = K) -> DataFrame:
     return graph.cosine_topk(_vectors(spark, d), k)
 
 
+def _graph(spark: SparkSession, d: str, k: int = K, bonus: bool = False) -> DataFrame:
+    """The undirected graph as a table, as what follows reads it several times."""
+    edges = graph.symmetrize(_knn(spark, d, k))
+    return written((graph.mutual_bonus(edges) if bonus else edges).select("a", "b", "weight"), "graph")
+
+
 def _labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("community"))
 
@@ -425,7 +432,8 @@ def _bundles(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def late_fusion_graph(spark: SparkSession, d: str) -> DataFrame:
     """The four-channel graph of the users: candidates, scored pairs, top k, undirected edges with their channels."""
-    out = graph.late_fusion(_bundles(spark, d), B.follows(spark, d).distinct(), k=5, candidate_k=20)["edges"]
+    bundles, follows = written(_bundles(spark, d), "bundles"), written(B.follows(spark, d).distinct(), "follows")
+    out = graph.late_fusion(bundles, follows, k=5, candidate_k=20)["edges"]
     return rounded(out, "weight", "available_weight", *graph.CHANNELS)
 
 
@@ -444,14 +452,14 @@ clu as (select label as c, avg(coalesce(k, 0)) as clustering from vecs left join
 
 @query(f"with {B.KNN.format(k=K)}, {B.EDGES}, {STATS} select count(*) as communities, round({ENTROPY}, 6) as entropy from st")
 def partition_entropy(spark: SparkSession, d: str) -> DataFrame:
-    edges = graph.symmetrize(_knn(spark, d)).select("a", "b", "weight")
+    edges = _graph(spark, d)
     return rounded(community.partition_entropy(edges, _labels(spark, d)), "entropy")
 
 
 @query(f"""
 with {B.KNN.format(k=K)}, {B.EDGES}, {STATS} select c as community, size, ni as internal_edges, round(v, 6) as volume, round(i, 6) as internal from st""")
 def community_volumes(spark: SparkSession, d: str) -> DataFrame:
-    edges = graph.symmetrize(_knn(spark, d)).select("a", "b", "weight")
+    edges = _graph(spark, d)
     return rounded(community.community_stats(edges, _labels(spark, d)).select("community", "size", "internal_edges", "volume", "internal"), "volume", "internal")
 
 
@@ -460,13 +468,13 @@ with {B.KNN.format(k=K)}, {B.EDGES}, {STATS}, {CLUSTER}, d as (select st.*, clus
 select count(*) as communities, max(size) as largest, quantile_cont(size, 0.5)::double as median, round({ENTROPY}, 6) as entropy, round(sum(i / w - (v / (2 * w)) ** 2), 6) as modularity,
     round(sum(dens * size) / sum(size), 6) as density, round(sum(clustering * size) / sum(size), 6) as clustering, round(sum(cond * size) / sum(size), 6) as conductance from d""")
 def modularity_conductance(spark: SparkSession, d: str) -> DataFrame:
-    edges = graph.symmetrize(_knn(spark, d)).select("a", "b", "weight")
+    edges = _graph(spark, d)
     return rounded(community.partition_quality(edges, _labels(spark, d)), "median", "entropy", "modularity", "density", "clustering", "conductance")
 
 
 @query(f"with {B.KNN.format(k=K)}, {B.EDGES}, {STATS}, {CLUSTER} select c as community, round(clustering, 6) as clustering from clu")
 def clustering_coefficient(spark: SparkSession, d: str) -> DataFrame:
-    edges = graph.symmetrize(_knn(spark, d)).select("a", "b", "weight")
+    edges = _graph(spark, d)
     return rounded(community.clustering(edges, _labels(spark, d)), "clustering")
 
 
@@ -486,7 +494,7 @@ def top_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _communities(spark: SparkSession, d: str, algorithm: str, least: int = 1) -> DataFrame:
-    edges = graph.mutual_bonus(graph.symmetrize(_knn(spark, d, 5))).select("a", "b", "weight")
+    edges = _graph(spark, d, 5, bonus=True)
     return community.community_ids(community.detect(edges, _vectors(spark, d), algorithm, least=least)).select("node", "community_id", "size")
 
 
@@ -513,7 +521,7 @@ def small_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def encoding_tree(spark: SparkSession, d: str) -> DataFrame:
-    edges = graph.mutual_bonus(graph.symmetrize(_knn(spark, d, 5))).select("a", "b", "weight")
+    edges = _graph(spark, d, 5, bonus=True)
     return rounded(community.encoding_tree(edges), "merge_gain", "objective_after")
 
 
