@@ -60,7 +60,7 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffixes of a byte array in order, by prefix doubling."""
+    """Suffixes of an array of numbers in order, by prefix doubling."""
     n = len(data)
     rank = data.astype(np.int64) + 1
     k = 1
@@ -81,14 +81,16 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
 
 def maximal_repeats(texts: list[bytes], least: int = LEAST) -> list[tuple[bytes, list[tuple[int, int]]]]:
     """All maximal repeats of at least `least` bytes of a block of texts, with all occurrences (text number, start). Matches never cross texts."""
-    start = np.cumsum([0, *map(len, texts)])
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    # each text ends in a value of its own, below all bytes, so no two suffixes are equal beyond a text's end
+    parts = [np.append(np.frombuffer(t, np.uint8).astype(np.int64) + len(texts), k) for k, t in enumerate(texts)]
+    start = np.cumsum([0, *map(len, parts)])
+    data = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     order = suffix_array(data)
     of = np.searchsorted(start, order, side="right") - 1
-    room = start[of + 1] - order
     lcp = [0] * len(order)
     for i in range(1, len(order)):
-        a, b, m = int(order[i - 1]), int(order[i]), int(min(room[i - 1], room[i]))
+        a, b = int(order[i - 1]), int(order[i])
+        m = int(min(start[of[i - 1] + 1] - a, start[of[i] + 1] - b))
         same = data[a : a + m] == data[b : b + m]
         lcp[i] = m if same.all() else int(np.argmin(same))
     out = []
@@ -400,7 +402,7 @@ def repeats_of(ids: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.nd
         ok = rest > k
         tail[ok, k] = text[place[order[ok]] + least + k]
     keys = tail.view(">u8").astype(np.uint64)
-    sa = np.lexsort((*(keys[:, k] for k in range(words - 1, -1, -1)), group))
+    sa = np.lexsort((rest, *(keys[:, k] for k in range(words - 1, -1, -1)), group))  # of equal ones, padded with zeros, the shorter first
     order, group, rest, tail = order[sa], group[sa], rest[sa], tail[sa]
     differ = tail[1:] != tail[:-1]
     same = np.where(differ.any(axis=1), differ.argmax(axis=1), 8 * words)

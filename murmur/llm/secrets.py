@@ -7,7 +7,7 @@ step is at least THRESHOLD becomes a span too. Positions are code points, found
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm.base import table
@@ -22,11 +22,13 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Runs of the alphabet that are scored.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Least mean log-likelihood ratio, in nats a step.
-THRESHOLD = 0.7
+THRESHOLD = 2.5
 #: Bounds of the labelled samples: trusted documents whose words are ordinary identifiers, and random strings of each alphabet.
 TRUSTED_ROWS = 1_000
 RANDOM_ROWS = 2_000
 SMOOTH = 0.5
+#: Steps from each character that its unigram model stands for.
+WEIGHT = 5.0
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -66,10 +68,14 @@ def train(labelled: DataFrame) -> list[float]:
     pair = F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2)))
     counts = labelled.where(F.length("token") >= 2).select("random", F.explode(pair).alias("pair")).groupBy("pair").agg(F.count_if("random").alias("r"), F.count_if(~F.col("random")).alias("o"))
     grid = spark.range(n * n).select("id", F.concat(F.substring(F.lit(ALPHABET), (F.expr(f"id div {n}") + 1).cast("int"), F.lit(1)), F.substring(F.lit(ALPHABET), (F.col("id") % n + 1).cast("int"), F.lit(1))).alias("pair"))
-    full = grid.join(counts, "pair", "left").na.fill(0, ["r", "o"]).withColumn("first", F.expr(f"id div {n}"))
+    full = grid.join(counts, "pair", "left").na.fill(0, ["r", "o"]).withColumn("first", F.expr(f"id div {n}")).withColumn("second", F.col("id") % n)
     totals = full.groupBy("first").agg(F.sum("r").alias("sr"), F.sum("o").alias("so"))
-    log = lambda a, b: F.log((F.col(a) + SMOOTH) / (F.col(b) + SMOOTH * n))
-    rows = full.join(totals, "first").select("id", (log("r", "sr") - log("o", "so")).alias("llr")).collect()  # n * n rows
+    # a step that its sample lacks is as likely as its second character is on the whole
+    whole = Window.partitionBy(F.lit(0))  # a row per character
+    alone = full.groupBy("second").agg(F.sum("r").alias("ur"), F.sum("o").alias("uo"))
+    alone = alone.select("second", *[((F.col(u) + SMOOTH) / (F.sum(u).over(whole) + SMOOTH * n)).alias(p) for u, p in (("ur", "pr"), ("uo", "po"))])
+    log = lambda c, s, p: F.log((F.col(c) + WEIGHT * F.col(p)) / (F.col(s) + WEIGHT))
+    rows = full.join(totals, "first").join(alone, "second").select("id", (log("r", "sr", "pr") - log("o", "so", "po")).alias("llr")).collect()  # n * n rows
     return [r.llr for r in sorted(rows, key=lambda r: r.id)]
 
 
