@@ -268,6 +268,30 @@ def community_depths(depths: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(depths.select("node", "depth"), "node", "left").groupBy("community").agg(F.coalesce(F.avg("depth"), F.lit(0.0)).alias("encoding_depth"))
 
 
+def tree_depth(depths: DataFrame) -> DataFrame:
+    """One row: the depth of the deepest leaf."""
+    return depths.agg(F.coalesce(F.max("depth"), F.lit(0)).alias("depth"))
+
+
+def exact_subtrees(tree: DataFrame, labels: DataFrame) -> DataFrame:
+    """(community, exact): whether some tree node has exactly a community's members. Sizes and members' parents are compared level by level.
+
+    A node that holds all members of a community and no others is the lowest one whose leaves are that many: leaves hand their community up
+    for as long as a node's children all have the same one.
+    """
+    links = tree.where("type <> 'leaf'").select("component", F.col("node_id").alias("parent"), "size", F.explode("children").alias("node_id"), F.size("children").alias("n_children"))
+    pure = tree.where("type = 'leaf'").join(labels, "node").select("component", "node_id", "community", F.lit(1).cast("int").alias("size"))
+    every, front = None, written(pure, "pure")
+    while not front.isEmpty():
+        every = front if every is None else written(every.unionByName(front).distinct(), "pure")
+        up = every.withColumnRenamed("size", "_s").join(links, ["component", "node_id"])
+        up = up.groupBy("component", "parent", "size", "n_children").agg(F.count(F.lit(1)).alias("_n"), F.min("community").alias("community"), F.max("community").alias("_c")).where("_n = n_children and community = _c")
+        front = written(up.selectExpr("component", "parent as node_id", "community", "size").join(every.select("component", "node_id"), ["component", "node_id"], "left_anti"), "pure")
+    sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("_all"))
+    top = every.groupBy("community").agg(F.max("size").alias("_top")) if every is not None else sizes.select("community", F.lit(0).alias("_top"))
+    return sizes.join(top, "community", "left").select("community", F.coalesce(F.col("_top") == F.col("_all"), F.lit(False)).alias("exact"))
+
+
 def match_trees(labels: DataFrame, tree: DataFrame) -> DataFrame:
     """Communities with the flat tree node that has exactly their members."""
     mine = labels.groupBy("community").agg(F.sha1(F.array_join(F.array_sort(F.collect_set("node")), "\n")).alias("signature"))

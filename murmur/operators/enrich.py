@@ -49,6 +49,36 @@ def json_of(text: str | Column) -> Column:
     return F.pandas_udf(_found_json, StringType())(N.col(text))
 
 
+def message_content(body: dict[str, Any]) -> str:
+    """The text of a chat answer: a string, or the joined text parts of a list. Raises without any."""
+    choice = (body.get("choices") or [{}])[0]
+    content = (choice.get("message") or {}).get("content", choice.get("text"))
+    if isinstance(content, list):
+        content = "".join(str(p.get("text", "")) for p in content if isinstance(p, dict))
+    if not content:
+        raise ValueError("the answer has no content")
+    return str(content)
+
+
+def embedding_vectors(body: dict[str, Any], expected: int) -> list[list[float]]:
+    """The vectors of an embedding answer in the order of their index. Raises where their number is not the expected one."""
+    rows = sorted(enumerate(body.get("data") or []), key=lambda r: r[1].get("index", r[0]))
+    if len(rows) != expected:
+        raise ValueError(f"{len(rows)} vectors instead of {expected}")
+    return [[float(x) for x in r["embedding"]] for _, r in rows]
+
+
+def read_settings(text: str, environment: dict[str, str], names: tuple[str, ...]) -> dict[str, str]:
+    """Settings by name: the environment first, then lines NAME=value (quotes and comments allowed). For the driver or a client; never for a plan."""
+    lines = {}
+    for line in text.splitlines():
+        line = line.strip().removeprefix("export ")
+        if line and not line.startswith("#") and "=" in line:
+            k, _, v = line.partition("=")
+            lines[k.strip()] = v.strip().strip("'\"")
+    return {n: v for n in names if (v := environment.get(n) or lines.get(n))}
+
+
 def normalize_triplets(body: str | Column) -> Column:
     """array<struct(subject, predicate, object)> from a JSON text with triplets as objects (with common aliases) or lists; incomplete ones go."""
     body = N.col(body)

@@ -12,6 +12,7 @@ from murmur.functions import vectors as V
 from murmur.operators import community, evaluate, experiments, features, graph, sampling
 from murmur.plans import bindings as B
 from murmur.plans.bindings import longs, rounded, table
+from murmur.sources import scans
 from murmur.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,10 +189,11 @@ def endpoint_errors(spark: SparkSession, d: str) -> DataFrame:
     return sampling.endpoint_errors(_edges(spark, d), *_kept(spark, d))
 
 
-@query("select e.event_id, e.event_type from events e where e.user_id not in (select user_id from events where event_type = 'signup')")
+@query("select e.event_id, e.event_type from events e where e.event_id not in (select event_id from events where event_type = 'signup' or event_id % 3 = 0)")
 def anti_resume(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.join(e.where("event_type = 'signup'").select("user_id").distinct(), "user_id", "left_anti").select("event_id", "event_type")
+    done = e.where("event_type = 'signup' or event_id % 3 = 0")
+    return scans.unprocessed(e, done, "event_id").select("event_id", "event_type")
 
 
 @query("""

@@ -164,6 +164,10 @@ def test_trees(spark):
     assert depths == {"u1": 2, "u2": 2, "u3": 2, "u4": 2}
     labels = spark.createDataFrame([("u1", "x"), ("u2", "x"), ("u3", "y"), ("u4", "y")], "node string, community string")
     assert {r.community: r.encoding_depth for r in community.community_depths(community.tree_depths(tree), labels).collect()} == {"x": 2.0, "y": 2.0}
+    assert community.tree_depth(community.tree_depths(tree)).first().depth == 2
+    assert {r.community: r.exact for r in community.exact_subtrees(tree, labels).collect()} == {"x": True, "y": True}
+    mixed = spark.createDataFrame([("u1", "x"), ("u2", "y"), ("u3", "y"), ("u4", "y")], "node string, community string")
+    assert {r.community: r.exact for r in community.exact_subtrees(tree, mixed).collect()} == {"x": True, "y": False}
     assert {r.community: r.tree_node for r in community.match_trees(labels, community.flat_tree(labels)).collect()} == {"x": "x", "y": "y"}
     ids = {r.node: r.community_id for r in community.community_ids(labels).collect()}
     assert ids == {"u1": "c0001", "u2": "c0001", "u3": "c0002", "u4": "c0002"}
@@ -288,6 +292,15 @@ def test_enrichment(spark):
     assert enrich.embed(asked, Stub).where("tweet_id = '2'").first().embedding == [5.0]
 
 
+def test_service_answers():
+    assert enrich.message_content({"choices": [{"message": {"content": [{"text": "a"}, {"text": "b"}]}}]}) == "ab"
+    assert enrich.embedding_vectors({"data": [{"index": 1, "embedding": [2]}, {"index": 0, "embedding": [1]}]}, 2) == [[1.0], [2.0]]
+    for f in (lambda: enrich.message_content({}), lambda: enrich.embedding_vectors({"data": []}, 1)):
+        with pytest.raises(ValueError):
+            f()
+    assert enrich.read_settings("# c\nexport A='x'\nB=y\n", {"B": "z"}, ("A", "B", "C")) == {"A": "x", "B": "z"}
+
+
 def test_limiter_and_retries():
     now, waits = [0.0], []
 
