@@ -31,6 +31,8 @@ HASHES = 64
 SMALL = 48
 #: Documents are dealt to tasks by their node at level DEALT; nodes of more than LARGE documents by the last level.
 DEALT, LARGE = 3, 2048
+#: Documents of a large node that are tried as the centre of its star.
+PIVOTS = 8
 #: Deviations of the sketch's estimate below the threshold that are still compared.
 SLACK = 4.4
 #: A family of at most so many documents and shingles meets in one task (16 MB of hashes); larger ones are compared in blocks of about half.
@@ -200,26 +202,53 @@ def forests(nodes: DataFrame, percent: int) -> DataFrame:
     return nodes.select("key", "id", "n", "body").mapInArrow(run, "a long, b long")
 
 
-def star(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of last-level nodes that stay large: links of the node's smallest id. A row at a time, in a join that can be split."""
+def star(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of last-level nodes that stay large, the links of one document each, and all rows with whether they are so linked.
+
+    The document is the one of PIVOTS, picked by hash, with most links. A row at a time, in a join that can be split.
+    """
     least = least_matches(percent)
-    pivot = nodes.groupBy("key").agg(F.min("id").alias("id"))
-    one = nodes.join(pivot, ["key", "id"], "left_semi").dropDuplicates(["key"]).selectExpr("key", "id as a", "n as na", "body as ba")
-    both = nodes.join(one, "key").where(f"a <> id and 100 * least(na, n) >= {percent} * greatest(na, n)").select("a", "id", "ba", "body")
+    picked = nodes.groupBy("key", F.expr(f"pmod(xxhash64(id), {PIVOTS})").alias("_s")).agg(F.min(F.struct(F.xxhash64("id", F.lit(1)).alias("h"), "id", "n", "body")).alias("p"))
+    pivots = written(picked.groupBy("key").agg(F.array_sort(F.collect_list("p")).alias("pivots")), "pivots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (raw(batch.column(c))[0].reshape(batch.num_rows, LEVELS * 4 + HASHES)[:, LEVELS * 4 :] for c in ("ba", "body"))
-                ok = (x == y).sum(axis=1) >= least
-                a, b = (batch.column(c).to_numpy()[ok] for c in ("a", "id"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+            if not batch.num_rows:
+                continue
+            n = batch.column("n").to_numpy()
+            sketch = raw(batch.column("body"))[0].reshape(len(n), LEVELS * 4 + HASHES)[:, LEVELS * 4 :]
+            hits = np.zeros(len(n), np.int64)
+            _, first, node = np.unique(batch.column("key").to_numpy(), return_index=True, return_inverse=True)
+            for g, r in enumerate(first):
+                at = np.flatnonzero(node == g)
+                for k, p in enumerate(batch.column("pivots")[int(r)].as_py()):
+                    same = (sketch[at] == np.frombuffer(p["body"], np.uint8)[LEVELS * 4 :]).sum(axis=1)
+                    ok = (same >= least) & (100 * np.minimum(n[at], p["n"]) >= percent * np.maximum(n[at], p["n"]))
+                    hits[at] |= ok.astype(np.int64) << k
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "n", "body")), pa.array(hits)], names=["key", "id", "n", "body", "hits"])
+
+    marked = written(nodes.select("key", "id", "n", "body").join(pivots, "key").mapInArrow(run, "key long, id long, n long, body binary, hits long"), "marked")
+    count = marked.groupBy("key").agg(F.array(*[F.count_if(F.expr(f"getbit(hits, {k}) = 1")) for k in range(PIVOTS)]).alias("c"))
+    best = count.select("key", F.expr("array_position(c, array_max(c))").cast("int").alias("k")).join(pivots, "key").select("key", "k", F.expr("element_at(pivots, k).id").alias("pivot"))
+    rows = marked.join(best, "key").withColumn("joined", F.expr("getbit(hits, k - 1) = 1")).drop("hits", "k")
+    return rows.where("joined and id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")), rows.drop("pivot")
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """Rows of star() whose node has any that are not joined, dealt to pairs of blocks of about LARGE / 2: each such row meets all rows of its node."""
+    number = rows.groupBy("key").agg(F.count_if(~F.col("joined")).alias("_a"), F.count(F.lit(1)).alias("_n")).where("_a > 0")
+    number = number.selectExpr("key", f"cast(ceil(_a / {LARGE // 2}) as int) as _l", f"cast(ceil(_n / {LARGE // 2}) as int) as _r")
+    every = rows.join(number, "key")
+    own = lambda n: F.expr(f"cast(pmod(xxhash64(id), {n}) as int)")
+    other = lambda n: F.expr(f"explode(sequence(0, {n} - 1))")
+    left = every.where("not joined").select("key", own("_l").alias("i"), other("_r").alias("j"), "id", "n", "body")
+    right = every.select("key", other("_l").alias("i"), own("_r").alias("j"), "id", "n", "body")
+    return left.unionByName(right).select(F.xxhash64("key", "i", "j").alias("key"), "id", "n", "body")
 
 
 def propose(vertices: DataFrame, trees: int, percent: int) -> DataFrame:
-    """The forests of all trees. No node of many documents reaches one task: large ones are dealt by their last level, and what is large there is a star."""
+    """The forests of all trees. No node of many documents reaches one task: large ones are dealt by their last level, and what is large there
+    is a star, besides which each document that is not in it is compared with all of the node, in pairs of blocks."""
     parts = partitions(vertices.sparkSession)
     rows = branches(vertices, trees)
     large = lambda df: written(df.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE).select("key"), "large")
@@ -231,7 +260,10 @@ def propose(vertices: DataFrame, trees: int, percent: int) -> DataFrame:
     out = dealt(rows.join(hot, "key", "left_anti"))
     hot = large(deep.select("key"))
     out = out.unionByName(dealt(deep.join(hot, "key", "left_anti")))
-    return out.unionByName(star(deep.join(hot, "key", "left_semi"), percent)).distinct()
+    if hot.isEmpty():
+        return out.distinct()
+    links, rows = star(deep.join(hot, "key", "left_semi"), percent)
+    return out.unionByName(links).unionByName(dealt(blocks(rows))).distinct()
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
