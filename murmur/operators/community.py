@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from murmur.operators.components import components
 from murmur.operators.graph import adjacency
-from murmur.sources.shared import written
+from murmur.sources.shared import drop_written, written
 
 EPS = 1e-12
 
@@ -306,21 +306,27 @@ def community_ids(labels: DataFrame) -> DataFrame:
     return labels.join(numbered, "community")
 
 
-def mutual_best(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """Approximate agglomeration in joins: each community picks its best positive gain (ties by id), and pairs that pick each other merge. (node, community)."""
+def mutual_best(edges: DataFrame) -> DataFrame:
+    """Approximate agglomeration in joins: each community picks its best positive gain (ties by id), and pairs that pick each other merge. (node, community).
+
+    Rounds end when no merger has a positive gain. The best pair of all always merges, as a pair's gain is computed once for both of its ends. A
+    hub merges with one neighbour a round, so rounds may be as many as a hub has neighbours.
+    """
     total = 2 * (edges.where("a <> b").agg(F.sum("weight").alias("w")).first().w or 0.0)
     both = adjacency(edges.where("a <> b"))
     labels = written(both.select("node").distinct().withColumn("community", F.col("node")), "mutual")
     stats = written(both.groupBy(F.col("node").alias("c")).agg(F.sum("weight").alias("v")).withColumn("i", F.lit(0.0)), "mutual")
     links = written(both.groupBy(F.col("node").alias("x"), F.col("other").alias("y")).agg(F.sum("weight").alias("w")), "mutual")
     term = lambda v, i: entropy_term(v, i, F.lit(total))
-    for _ in range(rounds):
-        pair = links.join(stats.selectExpr("c as x", "v as vx", "i as ix"), "x").join(stats.selectExpr("c as y", "v as vy", "i as iy"), "y")
+    while True:
+        pair = links.where("x < y").join(stats.selectExpr("c as x", "v as vx", "i as ix"), "x").join(stats.selectExpr("c as y", "v as vy", "i as iy"), "y")
         gain = term(F.col("vx"), F.col("ix")) + term(F.col("vy"), F.col("iy")) - term(F.col("vx") + F.col("vy"), F.col("ix") + F.col("iy") + F.col("w"))
-        best = pair.withColumn("g", F.round(gain, 12)).where(F.col("g") > EPS).groupBy("x").agg(F.max_by("y", F.struct("g", F.struct(F.least("x", "y"), F.greatest("x", "y")))).alias("y"))
+        pair = pair.select("x", "y", F.round(gain, 12).alias("g")).where(F.col("g") > EPS)
+        best = pair.unionByName(pair.selectExpr("y as x", "x as y", "g")).groupBy("x").agg(F.max_by("y", F.struct("g", F.struct(F.least("x", "y"), F.greatest("x", "y")))).alias("y"))
         merge = written(best.join(best.selectExpr("x as y", "y as x"), ["x", "y"], "left_semi").where("x > y").selectExpr("x as old", "y as new"), "mutual")
         if merge.isEmpty():
-            break
+            return labels
+        old = (merge, labels, stats, links)
         to = lambda df, c: df.join(merge.selectExpr(f"old as {c}", "new as _new"), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
         labels = written(to(labels, "community"), "mutual")
         moved = to(to(links, "x"), "y")
@@ -329,4 +335,5 @@ def mutual_best(edges: DataFrame, rounds: int = 40) -> DataFrame:
         stats = to(stats, "c").groupBy("c").agg(F.sum("v").alias("v"), F.sum("i").alias("i")).join(inside, "c", "left")
         stats = written(stats.select("c", "v", (F.col("i") + F.coalesce("more", F.lit(0.0))).alias("i")), "mutual")
         links = written(moved.where("x <> y").groupBy("x", "y").agg(F.sum("w").alias("w")), "mutual")
-    return labels
+        for df in old:
+            drop_written(df)
