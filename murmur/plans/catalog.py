@@ -433,9 +433,9 @@ def _bundles(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def late_fusion_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The four-channel graph of the users: candidates, scored pairs, top k, undirected edges with their channels."""
+    """The four-channel graph of the users: candidates (the reference's default of 100), scored pairs, top k, undirected edges with their channels."""
     bundles, follows = written(_bundles(spark, d), "bundles"), written(B.follows(spark, d).distinct(), "follows")
-    out = graph.late_fusion(bundles, follows, k=5, candidate_k=20)["edges"]
+    out = graph.late_fusion(bundles, follows, k=5, candidate_k=100)["edges"]
     return rounded(out, "weight", "available_weight", *graph.CHANNELS)
 
 
