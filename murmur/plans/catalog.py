@@ -651,26 +651,26 @@ def _table(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def logistic_reranker(spark: SparkSession, d: str) -> DataFrame:
-    out = experiments.rerank(_table(spark, d), ["community_bot_score", "log_chars", "symbols", "english"], thresholds=(0.05, 0.1, 0.15, 0.2, 0.3, 0.5), epochs=15, rate=0.5)
+    out = experiments.rerank(_table(spark, d), ["community_bot_score", "log_chars", "symbols", "english"], thresholds=(0.05, 0.1, 0.15, 0.2, 0.3, 0.5))
     return rounded(out["predictions"].select("user_id", "split", "label", "community_id", "bot_score", "predicted_label"), "bot_score")
 
 
 @query()
 def kmeans_groups(spark: SparkSession, d: str) -> DataFrame:
     data = experiments.matrix(_table(spark, d), ["community_bot_score", "log_chars", "symbols", "english"])
-    return experiments.kmeans_groups(data, 16, starts=2)
+    return experiments.kmeans_groups(data, 16)
 
 
 @query()
 def deepwalk(spark: SparkSession, d: str) -> DataFrame:
-    """Ten uniform walks of twenty steps from each user over the follow graph."""
+    """Ten uniform walks of forty nodes from each user over the follow graph."""
     near = experiments.walk_graph(B.follows(spark, d), B.users(spark, d))
-    return experiments.walks(near, 10, 20).select("node", "nth", F.array_join("walk", " ").alias("walk"))
+    return experiments.walks(near).select("node", "nth", F.array_join("walk", " ").alias("walk"))
 
 
 @query()
 def node2vec_walks(spark: SparkSession, d: str) -> DataFrame:
     near = experiments.walk_graph(B.follows(spark, d), B.users(spark, d))
-    return experiments.walks(near, 2, 10, p=0.5, q=2.0).select("node", "nth", F.array_join("walk", " ").alias("walk"))
+    return experiments.walks(near, p=0.5, q=2.0).select("node", "nth", F.array_join("walk", " ").alias("walk"))
 
 
