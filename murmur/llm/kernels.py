@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-#: An odd multiplier has an inverse modulo 2**64, so any substring's hash is a difference of prefix sums times an inverse power.
+#: An odd multiplier has an inverse modulo 2**64, so any substring's hash is a difference of prefix sums times an inverse power. Long strings
+#: over two letters can be made to collide, so users confirm equal hashes on bytes where equality counts.
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -45,6 +46,26 @@ class Hashes:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(U))
 
 
+def equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Whether data[a : a + size] is data[b : b + size], for each a, b and size: hashes that are equal are confirmed by this."""
+    out = np.ones(len(size), bool)
+    long = np.flatnonzero(size > block)
+    for k in long:
+        out[k] = np.array_equal(data[a[k] : a[k] + size[k]], data[b[k] : b[k] + size[k]])
+    short = np.flatnonzero(size <= block)
+    total = np.cumsum(size[short])
+    lo = 0
+    while lo < len(short):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + block, side="right")))
+        own = short[lo:hi]
+        n = size[own]
+        row = np.repeat(np.arange(len(own)), n)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        out[own[row[data[a[own][row] + nth] != data[b[own][row] + nth]]]] = False
+        lo = hi
+    return out
+
+
 def blank(data: np.ndarray) -> np.ndarray:
     """Which bytes part words: space and 9 to 13."""
     return (data == 32) | ((data - np.uint8(9)) < 5)
