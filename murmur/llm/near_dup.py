@@ -1,6 +1,6 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-Each document is the set of its distinct word shingles. In each of TREES independent trees, a document follows the path of its minwise
+Each document is the set of its distinct word shingles. In each of some independent trees, a document follows the path of its minwise
 tokens, one a level: a node's documents are those that share a path so far. Small nodes are compared exhaustively, larger ones branch by
 the next token, so that two documents of similarity s meet with probability s**depth in a tree; trees repeat to a target recall.
 
@@ -8,11 +8,13 @@ Nodes compare sketches (64 minwise tokens of 8 bits) and set sizes, and name a s
 Those forests make families, which hold every pair that met and may be linked, and which are a few documents each or a large group
 of near copies. Links are decided on full sets: a small family's texts meet in one task, which links exhaustively but for pairs that are
 connected already. In a large family the forest's pairs are confirmed first, and then what is still apart from the family's main
-component is compared with all of it, in blocks. Equal sets are one vertex from the start. So no pairs of a group of copies are listed.
+component is compared with all of it, in blocks. Texts of equal words are one vertex from the start. So no pairs of a group of copies are
+listed. Hashes of words only propose pairs; links are decided on sets of the words themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,10 @@ from murmur.llm import kernels as K
 from murmur.llm.base import partitions, pieces, raw, table, written
 from murmur.operators.components import components
 
-TREES, LEVELS = 10, 6
+LEVELS = 5
 HASHES = 64
+#: Least recall of a pair at the threshold in the worst case, where all its nodes branch to the last level; at least TREES trees in any case.
+RECALL, TREES = 0.99, 10
 #: Nodes of at most so many documents are compared exhaustively before the last level.
 SMALL = 48
 #: Documents are dealt to tasks by their node at level DEALT; nodes of more than LARGE documents by the last level.
@@ -39,33 +43,76 @@ SLACK = 4.4
 FAMILY, FAMILY_SHINGLES = 4096, 2_000_000
 #: Confirmations of one document in one task.
 FAN = 64
-FILTER_BITS = 1 << 24
+#: Bits of the filter of family members for each of them, and bounds of the whole (32 MB at most); beyond them more texts are moved.
+MEMBER_BITS, FILTER_MIN, FILTER_MAX = 16, 20, 28
 
 _rng = np.random.default_rng(20_240_229)
 _MUL = (_rng.integers(1 << 31, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, words: int = 3) -> list[np.ndarray]:
-    """Each row's sorted distinct shingle hashes: of `words` words, or of the whole row where it has fewer."""
-    data = K.lower(data)
-    starts, ends, first = K.words(data, offsets)
-    h = K.Hashes(data).of(starts, ends)
-    n = np.diff(first)
-    out, at = K.grams(h, first, words)
+class Hashed(dict):
+    """64-bit digests of words, with up to `most` of them kept. The digest is a cryptographic one, so that no words can be made to share it."""
+
+    def __init__(self, most: int = 300_000, longest: int = 64):
+        super().__init__()
+        self.most, self.longest = most, longest
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = h
+        return h
+
+
+class Numbered(dict):
+    """Numbers words from 1 as they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
+def shingles(h: list[np.ndarray], words: int) -> list[np.ndarray]:
+    """Each row's sorted distinct shingle hashes, from the hashes of its words: of `words` words, or of the whole row where it has fewer."""
+    n = np.array([len(x) for x in h], np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    out, at = K.grams(np.concatenate(h) if h else np.zeros(0, np.uint64), first, words)
     result = []
-    for r in range(len(n)):
+    for r in range(len(h)):
         if n[r] >= words:
             s = np.sort(out[at[r] : at[r + 1]])
             result.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif n[r]:
-            own = h[first[r] : first[r + 1]]
-            result.append(K.grams(own, np.array([0, n[r]]), int(n[r]))[0] if n[r] > 1 else K.mix(own + np.uint64(1)))
+            result.append(K.grams(h[r], np.array([0, n[r]]), int(n[r]))[0] if n[r] > 1 else K.mix(h[r] + np.uint64(1)))
         else:
             result.append(np.zeros(0, np.uint64))
     return result
 
 
+def exact_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """The sorted sets of the shingles of some texts as numbers that are equal where the words are: words are compared themselves, not by hashes."""
+    number = Numbered()
+    ids = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in (t.lower().split() for t in texts)]
+    some = [len(x) > 0 for x in ids]
+    ids = [np.pad(x, (0, words - len(x))) if len(x) < words else x for x in ids]  # no word is 0, so a shorter text's one shingle is its own
+    n = np.array([max(0, len(x) - words + 1) for x in ids])
+    start = np.cumsum([0, *(len(x) for x in ids)])[:-1]
+    every = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    key, most, base = every[at], len(number), len(number) + 1
+    for k in range(1, words):
+        if (most + 1) * base >= 1 << 63:
+            values, key = np.unique(key, return_inverse=True)
+            most = len(values)
+        key = key * base + every[at + k]
+        most = most * base + base
+    edge = np.concatenate([[0], np.cumsum(n)])
+    return [np.unique(key[a:b]) if x else np.zeros(0, np.int64) for a, b, x in zip(edge[:-1], edge[1:], some, strict=True)]
+
+
 def minima(s: np.ndarray) -> np.ndarray:
     """The HASHES minwise tokens of a set."""
     x = (s ^ (s >> np.uint64(32))).astype(np.uint32)[None, :]
@@ -83,17 +130,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, f1, f2, sig) of each row: set size, a 128-bit fingerprint of the set, and its minwise tokens."""
+    """(doc_id, n, f1, f2, sig) of each row: set size, a 128-bit digest of the text's words in order, and the set's minwise tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = Hashed()
         for batch in batches:
             for part, data, offsets in pieces(batch, "text"):
-                sets = shingles(data, offsets, words)
+                rows = [data[a:b].tobytes().lower().split() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                sets = shingles([np.fromiter(map(digest.__getitem__, w), np.uint64, len(w)) for w in rows], words)
                 n = np.array([len(s) for s in sets], np.int64)
-                f1 = np.array([K.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                f2 = np.array([K.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                f = np.frombuffer(b"".join([hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in rows]), "<i8").reshape(-1, 2)
                 sig = [minima(s).astype(">u4").tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(f1), pa.array(f2), pa.array(sig, pa.binary())], names=["doc_id", "n", "f1", "f2", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(sig, pa.binary())], names=["doc_id", "n", "f1", "f2", "sig"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, sig binary")
 
@@ -121,6 +169,12 @@ def branches(vertices: DataFrame, trees: int) -> DataFrame:
     return vertices.select("id", "n", "sig").mapInArrow(run, "key long, leaf long, id long, n long, body binary")
 
 
+def trees_for(percent: int) -> int:
+    """Trees in which a pair at the threshold, that meets in each with probability s**LEVELS or more, meets at least once with RECALL."""
+    miss = 1 - (percent / 100) ** LEVELS
+    return min(HASHES // LEVELS, max(TREES, int(np.ceil(np.log(1 - RECALL) / np.log(max(miss, 1e-9))))))
+
+
 def least_matches(percent: int) -> int:
     """Equal sketch bytes that two sets at the threshold have but for SLACK deviations."""
     p = percent / 100 + (1 - percent / 100) / 256
@@ -267,11 +321,12 @@ def propose(vertices: DataFrame, trees: int, percent: int) -> DataFrame:
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, z): compressed texts of the given ids, and of few others: a filter of FILTER_BITS bits leaves most of the rest where they are."""
-    place = F.expr(f"pmod(xxhash64(id), {FILTER_BITS}L)")
+    """(id, z): compressed texts of the given ids, and of few others: a filter by a hash of the id leaves most of the rest where they are."""
+    size = 1 << min(FILTER_MAX, max(FILTER_MIN, (MEMBER_BITS * ids.count()).bit_length()))
+    place = F.expr(f"pmod(xxhash64(id), {size}L)")
     marks = ids.select((place + 1).alias("h"))  # bitmap positions count from 1
     marks = marks.groupBy(F.bitmap_bucket_number("h").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits")).collect()
-    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    bits = np.zeros((size // 32768, 4096), np.uint8)
     for r in marks:
         bits[r.bucket - 1] = np.frombuffer(r.bits, np.uint8)
     packed = zstandard.compress(bits.tobytes(), 3)
@@ -357,9 +412,8 @@ def _by_key(columns: tuple[str, ...]):
     return groups_
 
 
-def _set(z: bytes, words: int) -> np.ndarray:
-    data = np.frombuffer(zstandard.decompress(z), np.uint8)
-    return shingles(data, np.array([0, len(data)]), words)[0]
+def _sets(zs: list[bytes], words: int) -> list[np.ndarray]:
+    return exact_sets([zstandard.decompress(z) for z in zs], words)
 
 
 def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -373,7 +427,7 @@ def link_small(families: DataFrame, texts: DataFrame, words: int, percent: int)
         for _, rows in _by_key(("family",))(batches):
             # rows are in the order of id, so links go from the smaller document on
             least: dict[int, int] = {}
-            for a, b in clusters(np.array([r[0] for r in rows]), [_set(r[1], words) for r in rows], percent):
+            for a, b in clusters(np.array([r[0] for r in rows]), _sets([r[1] for r in rows], words), percent):
                 least[b] = least.get(a, a)
             if least:
                 yield _pairs([(a, b) for a, b in least.items() if a != b])
@@ -390,11 +444,11 @@ def link_blocks(apart: DataFrame, families: DataFrame, texts: DataFrame, words:
             sides = [[r for r in rows if r[0] == side] for side in (0, 1)]
             if not all(sides):
                 continue
-            sets = [_set(r[3], words) for r in sides[1]]
+            sets = _sets([r[3] for side in sides for r in side], words)
+            mine, sets = sets[: len(sides[0])], sets[len(sides[0]) :]
             sizes, comp = np.array([len(s) for s in sets]), np.array([r[2] for r in sides[1]])
             index, found = Index(sets, np.arange(len(sets))), []
-            for _, id_, own, z in sides[0]:
-                s = _set(z, words)
+            for (_, id_, own, _), s in zip(sides[0], mine, strict=True):
                 hit = np.flatnonzero(linked(index.common(s, len(sets)), len(s), sizes, percent) & (comp != own) & (sizes > 0))
                 _, first = np.unique(comp[hit], return_index=True)
                 found += [(id_, sides[1][k][1]) for k in hit[first]]
@@ -420,8 +474,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (a, _), rows in _by_key(("a", "salt"))(batches):
-            own = [_set(z, words) for other, _, z in rows if not other]
-            found = [(a, id_) for other, id_, z in rows if other and any(similar(_set(z, words), o, percent) for o in own)]
+            sets = _sets([z for _, _, z in rows], words)
+            own = [x for (other, _, _), x in zip(rows, sets, strict=True) if not other]
+            found = [(a, id_) for (other, id_, _), x in zip(rows, sets, strict=True) if other and any(similar(x, o, percent) for o in own)]
             if found:
                 yield _pairs(found)
 
@@ -445,7 +500,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     copies = written(full.join(several, "doc_id", "left_semi").join(vertices.drop("sig"), ["f1", "f2", "n"]).selectExpr("doc_id as a", "id as b").where("a <> b"), "copies")
     any_copies = not copies.isEmpty()
 
-    pairs = written(propose(vertices, TREES, percent), "pairs")
+    pairs = written(propose(vertices, trees_for(percent), percent), "pairs")
     family = components(pairs)
     family = family.selectExpr("node as id", "component as family").unionByName(family.selectExpr("component as id", "component as family").distinct())
     family = written(family.join(vertices.groupBy("id").agg(F.max("n").alias("n")), "id"), "families")
@@ -469,9 +524,11 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         links = links.unionByName(near)
     if any_copies:
         links = components(links.unionByName(copies)).selectExpr("node as a", "component as b")
-    out = sets.select("doc_id", "n", "f1", "f2").join(vertices.select("f1", "f2", "n", "id"), ["f1", "f2", "n"], "left")
+    out = sets.where("n > 0").select("doc_id", "n", "f1", "f2").join(vertices.select("f1", "f2", "n", "id"), ["f1", "f2", "n"], "left").select("doc_id", "n", "id")
     out = out.join(links.selectExpr("a as id", "b as component"), "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "id", "doc_id").alias("_c"))
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("doc_id")))).drop("_c")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("_c")).alias("component_id"))
+    # rows without words stay out of the joins, where they would all share one key
+    out = out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

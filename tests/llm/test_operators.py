@@ -512,3 +512,56 @@ def test_toxicity_shapes(spark):
     none = toxicity.fit(docs, common.empty(common.labels(spark, 5)))
     assert toxicity.score(docs, none).where("predicted = 1").count() == 0
     assert toxicity.fit(common.empty(docs), common.labels(spark, 5)).value.any() == np.False_
+
+
+# --- words made to collide under polynomial hashes -------------------------------------------------------------------------------------------
+
+
+def thue_morse(n):
+    """A word of n letters and its complement, which polynomial hashes modulo a power of two can't tell apart."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_collide(spark, n):
+    a, b = thue_morse(n)
+    texts = [a, b, a + " " + b, a + "\n" + b + "\n" + a, f"{a} x y", f"{b} x y", " ".join([a, b] * 10), "q w e r t y u " + a + " q w e r t y u " + b]
+    docs = common.documents(spark, texts)
+    got = by_id(quality.judge(docs, np.zeros(1 << ngrams.BITS, np.float32)))
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_quality(t), i
+    got = {i: (r.n_shingles, r.component_id, r.kept) for i, r in by_id(near_dup.groups(docs, 3, 85)).items()}
+    assert got == plain_groups(list(enumerate(texts)), 3, 85)
+
+
+@pytest.mark.parametrize("mask", [0, 3, 0xFF])
+def test_counts_do_not_rest_on_hashes(monkeypatch, mask):
+    from murmur.llm import kernels
+
+    of = kernels.Hashes.of
+    monkeypatch.setattr(kernels.Hashes, "of", lambda self, start, end: of(self, start, end) & np.uint64(mask))
+    texts = [(t or "").encode() for t in common.odd_texts() if not t or len(t) < 20_000]
+    got = quality.base_counts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for i, t in enumerate(texts):
+        assert tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == plain_quality(t.decode())[:5], i
+
+
+def test_exact_sets_compare_words():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(rng.randrange(0, 40))).encode() for _ in range(50)]
+    for words in (1, 3, 5, 30):
+        sets = near_dup.exact_sets(texts, words)
+        plain = [{tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set() for w in (t.split() for t in texts)]
+        assert [len(s) for s in sets] == [len(s) for s in plain]
+        for x, y in itertools.combinations(range(50), 2):
+            assert len(np.intersect1d(sets[x], sets[y])) == len(plain[x] & plain[y])
+
+
+def test_trees_reach_their_recall():
+    for percent in (80, 85, 90, 100):
+        s = percent / 100
+        assert 1 - (1 - s**near_dup.LEVELS) ** near_dup.trees_for(percent) >= near_dup.RECALL
