@@ -6,7 +6,8 @@ of `least` bytes covers which also starts in a document with a smaller doc_id.
 
 Distribution: a string of `least` bytes has a minimizer, the window of GRAM bytes in it with the smallest hash, which depends on its
 content alone. A text falls into runs of neighbouring strings with the same minimizer; runs are dealt by the minimizer's hash, so equal
-strings of any two documents meet in one bucket, which has its own suffix array. First a pass over hashes alone finds minimizers of
+strings of any two documents meet in one bucket, which has its own suffix array, interval tree and groups. Hashes only bring strings
+together; that they are equal is confirmed on their bytes. First a pass over hashes alone finds minimizers of
 at least two documents (a bit filter of bounded size); only their runs are moved. A run that repeats within a task's block is resolved
 there: only its smallest document's is moved, so a passage of a third of all documents doesn't gather in one bucket.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -146,16 +148,22 @@ def runs(data: np.ndarray, offsets: np.ndarray, least: int, gram: int) -> tuple[
     return at[first], at[last], K.mix(own)
 
 
-def segments(batch: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Doc ids, bytes, offsets and the place of the first byte in its text."""
+def identity(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A digest of each row's text: with the doc_id it names a row, and rows that share both lose the same bytes."""
+    whole = data.tobytes()
+    return np.frombuffer(b"".join([hashlib.blake2b(whole[a:b], digest_size=8).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]), "<i8")
+
+
+def segments(batch: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Doc ids, identities, bytes, offsets and the place of the first byte in its text."""
     for part, data, offsets in pieces(batch, "text"):
-        ids = part.column("doc_id").to_numpy()
+        ids, own = part.column("doc_id").to_numpy(), identity(data, offsets)
         if len(ids) > 1 or len(data) <= SEGMENT:
-            yield ids, data, offsets, 0
+            yield ids, own, data, offsets, 0
             continue
         for a in range(0, len(data) - least + 1, SEGMENT):
             cut = data[a : a + SEGMENT + least - 1]
-            yield ids, cut, np.array([0, len(cut)]), a
+            yield ids, own, cut, np.array([0, len(cut)]), a
 
 
 class Filter:
@@ -197,7 +205,7 @@ class Filter:
 
             size = 0
             for batch in batches:
-                for _, data, offsets, _ in segments(batch, least):
+                for _, _, data, offsets, _ in segments(batch, least):
                     first, _, h = runs(data, offsets, least, gram)
                     row = np.searchsorted(offsets, first, side="right")
                     own = np.argsort(K.mix(h ^ K.mix(row.astype(np.uint64))))
@@ -251,8 +259,8 @@ class Filter:
 # --- dealing runs, finding repeats, removing them ----------------------------------------------------------------------------------------
 
 
-def _home(ids: np.ndarray, homes: int) -> np.ndarray:
-    return (K.mix(ids.view(np.uint64) + np.uint64(1)) % np.uint64(homes)).astype(np.int32)
+def _home(own: np.ndarray, homes: int) -> np.ndarray:
+    return (K.mix(own.view(np.uint64) + np.uint64(1)) % np.uint64(homes)).astype(np.int32)
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -260,62 +268,88 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(start - first, size) + np.arange(int(size.sum()))]
 
 
-def _spans(ids: np.ndarray, start: np.ndarray, size: np.ndarray, homes: int) -> Iterator[tuple[int, bytes]]:
+def _cuts(values: np.ndarray) -> list[int]:
+    """Where each run of equal values begins, and the end."""
+    return [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)] if len(values) else [0]
+
+
+def _spans(ids: np.ndarray, own: np.ndarray, start: np.ndarray, size: np.ndarray, homes: int) -> Iterator[tuple[int, bytes]]:
     """Spans as bytes for each home."""
-    home = _home(ids, homes)
-    order = np.lexsort((start, ids, home))
-    home, ids, start, size = home[order], ids[order], start[order], size[order]
-    cut = np.concatenate([[0], np.flatnonzero(home[1:] != home[:-1]) + 1, [len(home)]]) if len(home) else np.zeros(1, np.int64)
+    home = _home(own, homes)
+    order = np.lexsort((start, own, ids, home))
+    home, ids, own, start, size = home[order], ids[order], own[order], start[order], size[order]
+    cut = _cuts(home)
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
         s = slice(lo, hi)
-        yield int(home[lo]), b"".join([ids[s].astype("<i8").tobytes(), start[s].astype("<i8").tobytes(), size[s].astype("<i4").tobytes()])
+        yield int(home[lo]), b"".join([x[s].astype("<i8").tobytes() for x in (ids, own, start)]) + size[s].astype("<i4").tobytes()
+
+
+def _read_spans(body: bytes) -> tuple[np.ndarray, ...]:
+    n = len(body) // 28
+    return *(np.frombuffer(body, "<i8", n, 8 * n * k) for k in range(3)), np.frombuffer(body, "<i4", n, 24 * n)
 
 
-def _read_spans(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(body) // 20
-    return np.frombuffer(body, "<i8", n), np.frombuffer(body, "<i8", n, 8 * n), np.frombuffer(body, "<i4", n, 16 * n)
+def _write_runs(ids: np.ndarray, own: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, text: np.ndarray) -> bytes:
+    """Runs in the order of their rows: each row's ids once, then which runs begin a row, and their places, sizes, bytes before and bytes."""
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (own[1:] != own[:-1])
+    return b"".join([
+        struct.pack("<II", len(ids), int(new.sum())), ids[new].astype("<i8").tobytes(), own[new].astype("<i8").tobytes(), new.astype(np.uint8).tobytes(),
+        start.astype("<i8").tobytes(), size.astype("<u2").tobytes(), left.astype("<i2").tobytes(), text.tobytes(),
+    ])
 
 
-def deal_runs(docs: DataFrame, filter_: Filter, buckets: int, homes: int, least: int, gram: int) -> DataFrame:
-    """(bucket, home, body): the runs of each bucket (home null), or spans already known to be repeats."""
+def _read_runs(body: bytes) -> tuple[np.ndarray, ...]:
+    n, rows = struct.unpack_from("<II", body)
+    at, out = 8, []
+    for kind, m in (("<i8", rows), ("<i8", rows), (np.uint8, n), ("<i8", n), ("<u2", n), ("<i2", n), (np.uint8, -1)):
+        out.append(np.frombuffer(body, kind, m, at))
+        at += out[-1].nbytes
+    row = np.cumsum(out[2], dtype=np.int64) - 1
+    return out[0][row], out[1][row], out[3], out[4].astype(np.int64), out[5], out[6]
+
+
+def deal_runs(docs: DataFrame, filter_: Filter, buckets: int, homes: int, least: int, gram: int, every: bool = False) -> DataFrame:
+    """(bucket, home, body): the runs of each bucket (home null), or spans already known to be repeats. every: no run is resolved here."""
     bits, data_ = filter_.bits, filter_.data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(1)
-        own.bits, own.data = bits, data_
+        known_ = Filter(1)
+        known_.bits, known_.data = bits, data_
         pack = zstandard.ZstdCompressor(level=3).compress
         held: list[tuple[np.ndarray, ...]] = []
 
         def out() -> Iterator[pa.RecordBatch]:
-            ids, start, size, left, content, h = (np.concatenate([x[k] for x in held]) for k in range(6))
-            text = np.concatenate([x[6] for x in held])
+            ids, own, start, size, left, content, h = (np.concatenate([x[k] for x in held]) for k in range(7))
+            text = np.concatenate([x[7] for x in held])
             held.clear()
             at = np.cumsum(size) - size
-            # equal runs: only those of the smallest document are dealt
-            order = np.lexsort((ids, content))
-            new = np.concatenate([[True], content[order][1:] != content[order][:-1]])
-            smallest = np.empty(len(ids), np.int64)
-            smallest[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            known = ids > smallest
-            rows = [(home % buckets, home, body) for home, body in _spans(ids[known], start[known], size[known], homes)]
+            rows, known = [], np.zeros(len(ids), bool)
+            if not every:
+                # equal runs, as their bytes say: only those of the smallest document are dealt
+                order = np.lexsort((ids, content))
+                x, y = order[:-1], order[1:]
+                again = np.flatnonzero((content[x] == content[y]) & (size[x] == size[y]))
+                new = np.ones(len(order), bool)
+                new[again[K.equal(text, at[x[again]], at[y[again]], size[x[again]])] + 1] = False
+                smallest = np.empty(len(ids), np.int64)
+                smallest[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+                known = ids > smallest
+                rows = [(home % buckets, home, body) for home, body in _spans(ids[known], own[known], start[known], size[known], homes)]
             bucket = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((start, ids, bucket))
+            order = np.lexsort((start, own, ids, bucket))
             order = order[~known[order]]
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(cut)):
-                o = order[cut[b] : cut[b + 1]]
-                body = b"".join([
-                    struct.pack("<I", len(o)), np.diff(ids[o], prepend=0).astype("<i8").tobytes(), start[o].astype("<i8").tobytes(), size[o].astype("<u2").tobytes(),
-                    left[o].astype("<i2").tobytes(), _gather(text, at[o], size[o]).tobytes(),
-                ])
-                rows.append((int(b), None, pack(body)))
+            cut = _cuts(bucket[order])
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                o = order[lo:hi]
+                rows.append((int(bucket[o[0]]), None, pack(_write_runs(ids[o], own[o], start[o], size[o], left[o], _gather(text, at[o], size[o])))))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["bucket", "home", "body"])
 
         total = 0
         for batch in batches:
-            for ids, data, offsets, base in segments(batch, least):
+            for ids, own, data, offsets, base in segments(batch, least):
                 first, last, h = runs(data, offsets, least, gram)
-                some = own.has(h)
+                some = known_.has(h)
                 first, last, h = first[some], last[some], h[some]
                 if not len(first):
                     continue
@@ -323,7 +357,7 @@ def deal_runs(docs: DataFrame, filter_: Filter, buckets: int, homes: int, least:
                 size = last - first + least
                 before = np.where(first > offsets[row], data[first - 1].astype(np.int16), np.int16(-1 if not base else 256))
                 content = K.Hashes(data).of(first, first + size)
-                held.append((ids[row], first - offsets[row] + base, size, before, content, h, _gather(data, first, size)))
+                held.append((ids[row], own[row], first - offsets[row] + base, size, before, content, h, _gather(data, first, size)))
                 total += int(size.sum())
                 if total > BLOCK:
                     yield from out()
@@ -334,38 +368,50 @@ def deal_runs(docs: DataFrame, filter_: Filter, buckets: int, homes: int, least:
     return docs.mapInArrow(run, "bucket int, home int, body binary")
 
 
-def cover(ids: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
-    """For each suffix, the longest prefix that it shares with one of a smaller document: a stack scan of the interval tree."""
-    out = np.zeros(len(ids), np.int64)
-    # intervals of two suffixes are the most common ones; they need no stack
-    deep = lcp >= least
-    edge = np.flatnonzero(np.concatenate([~deep, [True]]))
-    size = np.diff(edge)
-    two = edge[:-1][size == 2]
-    later = np.where(ids[two] > ids[two + 1], two, two + 1)
-    out[later] = np.where(ids[two] != ids[two + 1], lcp[two + 1], 0)
-    for lo, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        group = ids[lo : lo + n]
-        prefix = lcp[lo : lo + n]
-        if (prefix[1:] == prefix[1]).all():  # one interval
-            out[lo : lo + n] = np.where(group > group.min(), prefix[1], 0)
-            continue
-        part = out[lo : lo + n]
-        for length, a, b in intervals(prefix.tolist(), least):
-            if b - a < 8:
-                own = group[a : b + 1].tolist()
-                low = min(own)
-                for k, x in enumerate(own, a):
-                    if x > low and not part[k]:
-                        part[k] = length
-            else:
-                own, had = group[a : b + 1], part[a : b + 1]
-                had[(had == 0) & (own > own.min())] = length
-    return out
-
-
-def repeats_of(ids: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (id, start, length) of the runs of one bucket that documents with smaller ids have too."""
+def tree(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length, first and last of all intervals of at least `least`; stretches that are one interval need no stack."""
+    edge = np.flatnonzero(np.concatenate([lcp < least, [True]]))
+    lo, hi = edge[:-1], edge[1:] - 1
+    many = hi > lo
+    lo, hi = lo[many], hi[many]
+    # whether all prefixes within the stretch are as long as the first
+    change = np.concatenate([[0], np.cumsum(lcp[1:] != lcp[:-1])])
+    plain = change[hi] == change[lo + 1]
+    found = [(lcp[lo[plain] + 1], lo[plain], hi[plain])]
+    rest = [(n, x + a, x + b) for x, y in zip(lo[~plain].tolist(), hi[~plain].tolist(), strict=True) for n, a, b in intervals(lcp[x : y + 1].tolist(), least)]
+    if rest:
+        found.append(tuple(np.array(c, np.int64) for c in zip(*rest, strict=True)))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+@dataclass
+class Groups:
+    """Maximal repeats of a bucket: lengths, and the members [first, last] of each among the suffixes, which are a run and a place in it each."""
+
+    length: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    run: np.ndarray
+    nth: np.ndarray
+
+    def members(self, block: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Group numbers and members, some groups at a time."""
+        size = self.last - self.first + 1
+        total, lo = np.cumsum(size), 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + block, side="right")))
+            n = size[lo:hi]
+            group = np.repeat(np.arange(hi - lo), n)
+            yield group + lo, self.first[lo:hi][group] + np.arange(int(n.sum())) - (np.cumsum(n) - n)[group]
+            lo = hi
+
+
+def groups_of(ids: np.ndarray, own: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, text: np.ndarray, least: int) -> Groups:
+    """The groups of a bucket's runs: intervals of its suffix array that have several documents and are left-diverse, or begin a run.
+
+    A group that is not left-diverse is a longer group's, one byte further left, less its first byte.
+    """
+    none = np.zeros(0, np.int64)
     at = np.cumsum(size) - size
     n = size - least + 1
     run = np.repeat(np.arange(len(n)), n)
@@ -374,13 +420,11 @@ def repeats_of(ids: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.nd
     h = K.Hashes(text).of(place, place + least)
     order = np.argsort(h)
     s = h[order]
-    new = np.concatenate([[True], s[1:] != s[:-1], [True]])
-    edge = np.flatnonzero(new)
-    many = np.repeat(np.diff(edge) > 1, np.diff(edge))
-    order = order[many]
+    edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
+    order = order[np.repeat(np.diff(edge) > 1, np.diff(edge))]
     if not len(order):
-        return ids[:0], start[:0], size[:0]
-    # groups of equal strings: those of several documents that are left-diverse, or begin a run, begin a repeat here
+        return Groups(none, none, none, none, none)
+    # strings of equal hashes that may begin a group; others are inside longer ones
     s = h[order]
     edge = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
     width = np.diff(np.append(edge, len(s)))
@@ -392,8 +436,9 @@ def repeats_of(ids: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.nd
     take = np.repeat(begins, width)
     order, group = order[take], np.repeat(np.arange(len(edge)), width)[take]
     if not len(order):
-        return ids[:0], start[:0], size[:0]
+        return Groups(none, none, none, none, none)
     # their suffix array: equal in the first `least` bytes within a group, so the rest of the run gives the order
+    group = confirmed(group, place[order], text, least)
     rest = size[run[order]] - nth[order] - least
     most = int(rest.max())
     words = most // 8 + 1
@@ -408,10 +453,47 @@ def repeats_of(ids: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.nd
     same = np.where(differ.any(axis=1), differ.argmax(axis=1), 8 * words)
     lcp = np.zeros(len(order), np.int64)
     lcp[1:] = np.where(group[1:] == group[:-1], least + np.minimum(same, np.minimum(rest[1:], rest[:-1])), 0)
-    length = cover(ids[run[order]], lcp, least)
+    out = Groups(*tree(lcp, least), run[order], nth[order])
+    if len(out.length):
+        ends = np.stack([out.first, out.last + 1], axis=1).reshape(-1)
+        over = lambda f, x: f.reduceat(np.append(x, x[-1]), ends)[::2]
+        inner, doc = out.nth > 0, ids[out.run]
+        before = np.where(inner, text[np.maximum(place[order] - 1, 0)], left[out.run])
+        keep = (over(np.minimum, inner.astype(np.int8)) == 0) | (over(np.minimum, before) != over(np.maximum, before)) | (over(np.minimum, before) < 0)
+        keep &= over(np.minimum, doc) < over(np.maximum, doc)
+        out.length, out.first, out.last = out.length[keep], out.first[keep], out.last[keep]
+    return out
+
+
+def confirmed(group: np.ndarray, place: np.ndarray, text: np.ndarray, least: int) -> np.ndarray:
+    """Numbers of groups, parted where strings of `least` bytes with one number are not the same bytes."""
+    eight = np.ndarray((len(text) - 7,), "<u8", text.tobytes(), strides=(1,))
+    parts = [eight[place + k] for k in [*range(0, least - 7, 8), least - 8]]
+    again = group[1:] == group[:-1]
+    if all((p[1:] == p[:-1])[again].all() for p in parts):
+        return group
+    order = np.lexsort((*parts, group))
+    new = np.zeros(len(order), bool)
+    for x in (group, *parts):
+        new[1:] |= x[order][1:] != x[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def repeats_of(ids: np.ndarray, own: np.ndarray, start: np.ndarray, size: np.ndarray, left: np.ndarray, text: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Spans (id, identity, start, length) of one bucket: in each group, the members whose document is not the smallest of it."""
+    found = groups_of(ids, own, start, size, left, text, least)
+    length = np.zeros(len(found.run), np.int64)
+    if len(found.length):
+        doc = ids[found.run]
+        for group, member in found.members():
+            least_ = np.minimum.reduceat(doc[member], np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])))
+            later = doc[member] > least_[group - group[0]]
+            np.maximum.at(length, member[later], found.length[group[later]])
     hit = length > 0
-    own = run[order[hit]]
-    return ids[own], start[own] + nth[order[hit]], length[hit]
+    r = found.run[hit]
+    return ids[r], own[r], start[r] + found.nth[hit], length[hit]
 
 
 def find(dealt: DataFrame, homes: int, least: int) -> DataFrame:
@@ -428,10 +510,8 @@ def find(dealt: DataFrame, homes: int, least: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             parts: list[tuple[np.ndarray, ...]] = []
             for body in held:
-                body = unpack(body)
-                n = struct.unpack_from("<I", body)[0]
-                parts.append((np.cumsum(np.frombuffer(body, "<i8", n, 4)), np.frombuffer(body, "<i8", n, 4 + 8 * n), np.frombuffer(body, "<u2", n, 4 + 16 * n).astype(np.int64), np.frombuffer(body, "<i2", n, 4 + 18 * n), np.frombuffer(body, np.uint8, -1, 4 + 20 * n)))
-            return rows(list(_spans(*repeats_of(*(np.concatenate([p[k] for p in parts]) for k in range(5)), least), homes)))
+                parts.append(_read_runs(unpack(body)))
+            return rows(list(_spans(*repeats_of(*(np.concatenate([p[k] for p in parts]) for k in range(6)), least), homes)))
 
         for batch in batches:
             for bucket, home, body in zip(*(batch.column(c) for c in ("bucket", "home", "body")), strict=True):
@@ -455,7 +535,7 @@ def _packed(docs: DataFrame, homes: int) -> DataFrame:
         for batch in batches:
             for part, data, offsets in pieces(batch, "text", 4 << 20):
                 ids = part.column("doc_id")
-                home = _home(ids.fill_null(0).to_numpy(), homes)
+                home = _home(identity(data, offsets), homes)
                 whole = data.tobytes()
                 body = [pack(whole[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(home), pa.array(np.ones(len(ids), np.int32)), ids, pa.array(body, pa.binary())], names=["home", "kind", "doc_id", "body"])
@@ -471,6 +551,17 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:], len(new)) - 1]
 
 
+def _by_row(held: list[tuple[np.ndarray, ...]]) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of the spans of each row, by doc_id and identity."""
+    if not held:
+        return {}
+    ids, own, start, size = (np.concatenate([h[k] for h in held]) for k in range(4))
+    order = np.lexsort((own, ids))
+    ids, own, start, size = ids[order], own[order], start[order], size[order]
+    cut = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (own[1:] != own[:-1])) + 1).tolist(), len(ids)]
+    return {(int(ids[lo]), int(own[lo])): (start[lo:hi], start[lo:hi] + size[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:], strict=True)}
+
+
 def _remove(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -484,19 +575,15 @@ def _remove(rows: DataFrame) -> DataFrame:
                     held.append(_read_spans(body.as_py()))
                     continue
                 if known is None:
-                    ids, start, size = (np.concatenate([h[k] for h in held]) if held else np.zeros(0, np.int64) for k in range(3))
-                    order = np.argsort(ids, kind="stable")
-                    known, held = (ids[order], start[order], (start + size)[order]), []
+                    known, held = _by_row(held), []
                 text, doc_id = unpack(body.as_py()), doc_id.as_py()
-                lo, hi = np.searchsorted(known[0], [doc_id, doc_id + 1]) if doc_id is not None else (0, 0)
-                if lo == hi:
+                spans = known.get((doc_id, int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)))
+                if spans is None:
                     out.append((doc_id, len(text), 0, 0, hashlib.sha256(text).hexdigest()))
                     continue
-                # rows that share a doc_id but not the text: spans end where the text does
-                a, b = merged(known[1][lo:hi], known[2][lo:hi])
-                a, b = np.minimum(a, len(text)).tolist(), np.minimum(b, len(text)).tolist()
+                a, b = (x.tolist() for x in merged(*spans))
                 kept = hashlib.sha256(b"".join(text[x:y] for x, y in zip([0, *b], [*a, len(text)], strict=True)))
-                out.append((doc_id, len(text), sum(b) - sum(a), sum(x < y for x, y in zip(a, b, strict=True)), kept.hexdigest()))
+                out.append((doc_id, len(text), sum(b) - sum(a), len(a), kept.hexdigest()))
             if out:
                 types = [pa.int64()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
@@ -504,27 +591,79 @@ def _remove(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """One row per row of docs (doc_id, text): bytes, removed bytes, removed runs and the digest of what is left.
-
-    A null text is an empty one. Texts shorter than `least` bytes lose nothing. Rows without doc_id lose nothing and take nothing from others;
-    rows that share a doc_id are taken as copies of one text. Ties don't arise: equal ids are never smaller. An empty table gives no rows.
-    """
+def _prepared(docs: DataFrame, least: int, gram: int) -> tuple[DataFrame, DataFrame, Filter, int, int]:
+    """The rows, those of them that can have repeats, the filter over these, and the numbers of buckets and homes."""
     if not 8 <= gram <= least:
         raise ValueError("gram must be 8 to least")
-    spark = docs.sparkSession
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     numbered = docs.where(f"doc_id is not null and octet_length(text) >= {least}")
     total = numbered.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    parts = partitions(spark)
-    homes, buckets = 4 * parts, max(parts, total // BUCKET_BYTES)
+    parts = partitions(docs.sparkSession)
     filter_ = Filter(total)
     filter_.build(numbered, least, gram)
+    return docs, numbered, filter_, max(parts, total // BUCKET_BYTES), 4 * parts
+
+
+def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """One row per row of docs (doc_id, text): bytes, removed bytes, removed runs and the digest of what is left.
+
+    A null text is an empty one. Texts shorter than `least` bytes lose nothing. Rows without doc_id lose nothing and take nothing from others.
+    Rows that share a doc_id are one document: they take nothing from each other, and each loses what smaller documents have. Equal ids
+    are never smaller, so there are no ties. Texts of any length are cut into overlapping segments. An empty table gives no rows; further
+    columns are ignored.
+    """
+    docs, numbered, filter_, buckets, homes = _prepared(docs, least, gram)
+    parts = partitions(docs.sparkSession)
     dealt = deal_runs(numbered, filter_, buckets, homes, least, gram).repartition(parts, "bucket").sortWithinPartitions("bucket")
     rows = find(dealt, homes, least).unionByName(_packed(docs, homes))
     return _remove(rows.repartition(parts, "home").sortWithinPartitions("home", "kind"))
 
 
+def repeat_groups(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """(group, length, doc_id, start, passage): a row for each occurrence of each group of strings that at least two documents have.
+
+    group is a digest of the string. Groups are the left-diverse intervals of each bucket's tree, so a string is cut where its minimizer
+    changes, and a longer passage is a chain of groups that overlap by least - 1 bytes; `maximal_repeats` gives whole passages of a
+    block of texts. passage (the bytes) is on the first row of each group of a bucket only. Nulls, short texts and an empty table give no rows; a
+    repeated row gives its occurrences once for each.
+    """
+    docs, numbered, filter_, buckets, homes = _prepared(docs, least, gram)
+    parts = partitions(docs.sparkSession)
+    dealt = deal_runs(numbered, filter_, buckets, homes, least, gram, every=True).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    names = ["group", "length", "doc_id", "start", "passage"]
+
+    def rows(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        ids, own, start, size, left, text = (np.concatenate([p[k] for p in held]) for k in range(6))
+        found = groups_of(ids, own, start, size, left, text, least)
+        at = np.cumsum(size) - size
+        for group, member in found.members() if len(found.length) else ():
+            r = found.run[member]
+            new = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            place = at[r] + found.nth[member]
+            strings = [text[p : p + n].tobytes() for p, n in zip(place[new], found.length[group[new]], strict=True)]
+            which = group - group[0]
+            passage: list[bytes | None] = [None] * len(member)
+            for k, x in zip(new.tolist(), strings, strict=True):
+                passage[k] = x
+            digest = [hashlib.md5(x).hexdigest() for x in strings]
+            yield pa.RecordBatch.from_arrays([pa.array([digest[k] for k in which]), pa.array(found.length[group]), pa.array(ids[r]), pa.array(start[r] + found.nth[member]), pa.array(passage, pa.binary())], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        at, held = None, []
+        for batch in batches:
+            for bucket, body in zip(batch.column("bucket").to_pylist(), batch.column("body"), strict=True):
+                if bucket != at and held:
+                    yield from rows(held)
+                    held = []
+                at = bucket
+                held.append(_read_runs(unpack(body.as_py())))
+        if held:
+            yield from rows(held)
+
+    return dealt.mapInArrow(run, "group string, length long, doc_id long, start long, passage binary")
+
+
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
