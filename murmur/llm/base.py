@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from murmur.sources.shared import drop_written, shared_dir, written
 
-__all__ = ["drop_written", "partitions", "pieces", "raw", "shared_dir", "table", "written"]
+__all__ = ["drop_written", "fresh", "partitions", "pieces", "raw", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +43,14 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
         yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The given names, each with as many underscores before it as no column of that name needs (case does not count)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
