@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from murmur.llm import bpe, importance, media, mixing, near_dup, ngrams, quality, repeats, secrets, toxicity, warc
+from murmur.llm import kernels as K
 from tests.llm import common
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
@@ -134,6 +135,28 @@ def test_importance(spark):
     shape(lambda d: importance.top_k(importance.keys(d, ngrams.log_ratio(target, raw)), 5), docs)
 
 
+@pytest.mark.parametrize("k", [0, 1, 4, 11, 12, 13, 24, 30])
+def test_top_k_keeps_exactly_k_of_repeated_rows(spark, k):
+    rows = spark.createDataFrame([(i // 6, 1.0, 7, 8, 9) for i in range(24)], "doc_id long, sample_key double, key int, tie int, place int").repartition(3)
+    out = importance.top_k(rows, k).collect()
+    kept = [r.doc_id for r in out if r.kept]
+    assert len(out) == 24 and sorted(kept) == [i // 6 for i in range(min(k, 24))]
+    assert all((r.key, r.tie, r.place) == (7, 8, 9) for r in out)
+
+
+def test_mixing_leaves_columns_alone_and_ties_in_order(spark):
+    names = ["nth", "_nth", "part", "n", "no", "q", "before", "order", "tie", "slot0", "stream_"]
+    rows = [(i // 40, f"src{i % 3}", f"text {i % 5}", *[777] * len(names)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"{n} int" for n in names))
+    out = [tuple(r) for r in mixing.mix(df, mixing.WEIGHTS).collect()]
+    assert len(out) == 120 and all(r[3 : 3 + len(names)] == (777,) * len(names) for r in out)
+    again = [tuple(r) for r in mixing.mix(df.repartition(7), mixing.WEIGHTS).collect()]
+    assert sorted(out) == sorted(again) and len({r[-1] for r in out}) == 120
+    wide = df.withColumn("mix_position", F.lit("mine")).withColumn("stream", F.lit(3))
+    kept = mixing.in_order(wide.drop("stream"))
+    assert kept.columns == wide.drop("stream").columns and kept.where("mix_position <> 'mine'").count() == 0
+
+
 def test_top_k_breaks_ties_by_id(spark):
     rows = spark.createDataFrame([(i, 1.0) for i in range(9)] + [(None, 1.0), (100, None)], "doc_id long, sample_key double")
     assert sorted(r.doc_id for r in importance.top_k(rows, 4).collect() if r.kept) == [0, 1, 2, 3]
@@ -263,6 +286,80 @@ def test_repeat_shapes(spark):
         repeats.remove_repeats(docs, 10, 20)
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    rng = random.Random(12)
+    p, x, other = (common.sentence(rng, 30) for _ in range(3))
+    rows = [(1, p), (2, p + " tail"), (2, x), (2, x), (2, p), (3, x + p), (3, "a" + x), (3, other), (4, other + p), (None, p), (1, other), (5, None), (5, other * 2), (5, "b" + p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode() if i is not None else b""
+        for k in range(len(b) - 49):
+            first[b[k : k + 50]] = min(first.get(b[k : k + 50], i), i)
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b) + 1, np.int32)
+        for k in range(len(b) - 49):
+            if i is not None and first[b[k : k + 50]] < i:
+                gone[k] += 1
+                gone[k + 50] -= 1
+        gone = np.cumsum(gone)[: len(b)] > 0
+        want.append((i, len(b), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.remove_repeats(docs.repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {(2, x): 0, (2, p): len(p.encode())} == {(i, t): n for (i, t), n in ((r[:2], w[2]) for r, w in zip(rows, want, strict=True)) if i == 2 and t in (x, p)}
+
+
+def test_repeats_do_not_rest_on_hashes():
+    """A bucket whose strings of 50 bytes all share a hash gives the groups of one whose strings don't."""
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(97, 100, 70, dtype=np.uint8) for _ in range(12)]
+    texts = [np.concatenate([parts[i], parts[j]])[:100] for i in range(6) for j in range(12)]
+    size = np.array([len(t) for t in texts])
+    args = (np.arange(len(texts)) // 2, np.arange(len(texts)), np.zeros(len(texts), np.int64), size, np.full(len(texts), -1, np.int16), np.concatenate(texts), 50)
+
+    def spans():
+        return sorted(zip(*(x.tolist() for x in repeats.repeats_of(*args)), strict=True))
+
+    want, of = spans(), K.Hashes.of
+    assert want
+    for mask in (0, 1, 15):
+        K.Hashes.of = lambda self, start, end, mask=mask: of(self, start, end) & np.uint64(mask)
+        try:
+            assert spans() == want
+        finally:
+            K.Hashes.of = of
+
+
+def test_groups_have_all_occurrences(spark):
+    rng = random.Random(3)
+    passages = [common.sentence(rng, rng.randrange(10, 30)) for _ in range(4)]
+    texts = [common.sentence(rng, 5) + rng.choice(passages) + common.sentence(rng, 3) + rng.choice(passages) for _ in range(25)]
+    data = [t.encode() for t in texts]
+    out = repeats.repeat_groups(common.documents(spark, texts).repartition(3), 50, 16).collect()
+    strings = {r.group: bytes(r.passage) for r in out if r.passage is not None}
+    at = {}
+    for r in out:
+        at.setdefault(r.group, set()).add((r.doc_id, r.start))
+    covered = {}
+    for g, places in at.items():
+        s = strings[g]
+        assert len(s) >= 50 and all(data[i][k : k + len(s)] == s for i, k in places) and len({i for i, _ in places}) > 1
+        for i, k in places:
+            covered.setdefault(i, set()).update(range(k, k + len(s)))
+    # every string of 50 bytes that several documents have is inside a group, at each place where it is
+    seen = {}
+    for i, b in enumerate(data):
+        for k in range(len(b) - 49):
+            seen.setdefault(b[k : k + 50], set()).add((i, k))
+    for s, places in seen.items():
+        if len({i for i, _ in places}) > 1:
+            inside = [{(i, k - d) for i, k in places} <= at[g] for g in at if (d := strings[g].find(s)) >= 0]
+            assert any(inside)
+    assert repeats.repeat_groups(common.documents(spark, ["a", None, ""])).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_maximal_repeats(seed):
     rng = random.Random(seed)
@@ -540,10 +637,8 @@ def test_words_that_collide(spark, n):
 
 @pytest.mark.parametrize("mask", [0, 3, 0xFF])
 def test_counts_do_not_rest_on_hashes(monkeypatch, mask):
-    from murmur.llm import kernels
-
-    of = kernels.Hashes.of
-    monkeypatch.setattr(kernels.Hashes, "of", lambda self, start, end: of(self, start, end) & np.uint64(mask))
+    of = K.Hashes.of
+    monkeypatch.setattr(K.Hashes, "of", lambda self, start, end: of(self, start, end) & np.uint64(mask))
     texts = [(t or "").encode() for t in common.odd_texts() if not t or len(t) < 20_000]
     got = quality.base_counts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     for i, t in enumerate(texts):
