@@ -3,6 +3,9 @@
 A text's log weight is the sum over its hashed byte windows of log p_target/p_raw. Its key is that weight plus Gumbel noise that depends on
 doc_id alone; the k rows with the largest keys are a sample without replacement in proportion to the weights. The k-th key is found by
 counting keys in ranges of their bits, so no sort or row ever gathers in one task, and ties are broken by doc_id.
+
+The log weight of a whole text is a sum over thousands of windows. It spreads over hundreds of nats and more, against a standard deviation of 1.3 of
+the noise, so among long texts the draw is close to the k largest weights; noise decides between texts of nearly equal weight.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from murmur.llm import kernels as K
 from murmur.llm import ngrams
-from murmur.llm.base import pieces, table, written
+from murmur.llm.base import fresh, pieces, table, written
 
 WINDOW = 5
 BITS = 18
@@ -48,17 +51,21 @@ def keys(docs: DataFrame, ratio: np.ndarray, window: int = WINDOW, bits: int = B
 
 
 def top_k(rows: DataFrame, k: int, key: str = "sample_key", tie: str = "doc_id") -> DataFrame:
-    """rows with `kept`, true for the k rows with the largest keys (to 2**-20); equal keys by smaller ids.
+    """rows with `kept`, true for exactly k rows (all, if there are fewer): those with the largest keys (to 2**-20), equal keys by smaller ids.
 
-    Rows that tie with the k-th in key and id are left out together if not all of them fit. Null keys and ids come last. rows must be cheap
-    to read again (a written table): each pass counts rows by the next 16 bits of the key, then of the id, within the range that holds
-    the k-th row, and sends at most 2**16 counts to the driver.
+    Rows that tie in both are taken in the order in which they are stored; null keys and ids come last. Each pass counts rows by the next 16
+    bits of the key, then of the id, then of the place, within the range that holds the k-th row, and sends at most 2**16 counts to the
+    driver. rows are written once, so that every pass and every retried task sees the same places. A column `kept` of rows is replaced, all
+    others stay as they are; an empty table gives no rows.
     """
     high = 1 << 62
+    rows = rows.drop("kept")
+    first, second, third = names = fresh([*rows.columns, "kept"], "key", "tie", "place")
     place = F.lit(high) - F.coalesce(F.round(F.col(key) * F.lit(2.0**20)).cast("long"), F.lit(-(high - 1)))
-    ranked = rows.withColumn("_key", place).withColumn("_tie", F.coalesce(F.col(tie), F.lit(high - 1)) + F.lit(high))
+    ranked = rows.withColumns({first: place, second: F.coalesce(F.col(tie).cast("long"), F.lit(high - 1)) + F.lit(high), third: F.monotonically_increasing_id()})
+    ranked = written(ranked, "ranked")
     left, chosen, within = k, F.lit(False), F.lit(True)
-    for column in ("_key", "_tie"):
+    for column in names:
         for shift in (48, 32, 16, 0):
             part = F.shiftrightunsigned(column, shift)
             cut = None
@@ -68,11 +75,11 @@ def top_k(rows: DataFrame, k: int, key: str = "sample_key", tie: str = "doc_id")
                     break
                 left -= n
             if cut is None:
-                return ranked.withColumn("kept", chosen | within).drop("_key", "_tie")
+                return ranked.withColumn("kept", chosen | within).drop(*names)
             chosen, within = chosen | (within & (part < cut)), within & (part == cut)
             if not left:
-                return ranked.withColumn("kept", chosen).drop("_key", "_tie")
-    return ranked.withColumn("kept", chosen).drop("_key", "_tie")
+                return ranked.withColumn("kept", chosen).drop(*names)
+    return ranked.withColumn("kept", chosen).drop(*names)
 
 
 def draw_count(labels: DataFrame, rows: int) -> int:
@@ -85,5 +92,5 @@ def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its weight, noise and key, and whether it is drawn."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     target, raw = ngrams.counts(ngrams.marked(docs, labels), WINDOW, BITS)
-    rows = written(keys(docs, ngrams.log_ratio(target, raw)), "importance")
-    return top_k(rows, draw_count(labels, rows.count()))
+    rows = keys(docs, ngrams.log_ratio(target, raw))
+    return top_k(rows, draw_count(labels, docs.count()))

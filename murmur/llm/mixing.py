@@ -14,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmur.llm.base import table
+from murmur.llm.base import fresh, table
 
 #: Shares of the query and the pipeline, in thousandths; sources not listed share the weight of OTHER.
 WEIGHTS = {"src0": 150, "src1": 120, "src2": 100, "src3": 90, "src4": 80, "src5": 70, "src6": 60, "src7": 50, "src8": 50, "src9": 40}
@@ -23,6 +23,7 @@ OTHER_WEIGHT = 190
 BLOCK = 8
 #: Leading hex digits of the md5 that part a source, so that no window holds a whole source: 16**3 parts.
 DIGITS = 3
+NEW = ("stream", "block_no", "slot", "release", "deadline", "mix_position")
 
 
 def shares(weights: dict[str, float], other: float, period: int) -> dict[str, int]:
@@ -67,38 +68,41 @@ def period_table(spark: SparkSession, parts: dict[str, int]) -> DataFrame:
 
 def mix(
     df: DataFrame, weights: dict[str, float], other: float = OTHER_WEIGHT, block: int = BLOCK, period: int = 1000,
-    source: str = "source", key: str = "doc_id", digits: int = DIGITS,
+    source: str = "source", key: str = "doc_id", digits: int = DIGITS, ties: Column | None = None,
 ) -> DataFrame:
     """df with `stream`, `block_no`, `slot`, `release`, `deadline` and `mix_position`, which orders the mixture.
 
     A null source counts as unlisted; unlisted sources form one stream with weight `other`, and are left out where that is 0. Repeated
-    keys each keep their own place; a null key orders as an empty one. An empty table gives no rows. Columns of df that have one of the new
-    names are replaced.
+    keys each keep their own place, in the order of a digest of the whole row, so only rows that are equal in all columns can change places; a
+    null key orders as an empty one. An empty table gives no rows. Columns of df that have one of the new names are replaced; all others,
+    whatever their names, stay as they are.
     """
     parts = shares(weights, other, period)
     listed = [k for k in parts if k != OTHER]
     named = lambda c: F.col(f"`{c}`")
-    keep = [c for c in df.columns if c.lower() not in ("stream", "block_no", "slot", "release", "deadline", "mix_position")]
-    stream: Column = F.when(named(source).isin(listed), named(source)).otherwise(F.lit(OTHER))
-    rows = df.select(*[named(c) for c in keep], stream.alias("stream"), F.md5(F.coalesce(named(key).cast("string"), F.lit(""))).alias("_order"))
-    rows = rows.where(F.col("stream").isin(list(parts))).withColumn("_part", F.substring("_order", 1, digits))
+    keep = [c for c in df.columns if c.lower() not in NEW]
+    stream_, order_, tie_, part_, n_, before_, nth_, no_, q_, slot_ = fresh([*df.columns, *NEW], "stream_", "order", "tie", "part", "n", "before", "nth", "no", "q", "slot0")
+    stream: Column = F.when(named(source).isin(listed), named(source)).otherwise(F.lit(OTHER)).alias(stream_)
+    order = F.md5(F.coalesce(named(key).cast("string"), F.lit(""))).alias(order_)
+    tie = F.sha2(F.to_json(F.struct(*[F.struct(named(c).alias("v")).alias(f"c{k}") for k, c in enumerate(keep)])) if ties is None else ties, 256).alias(tie_)
+    rows = df.select(*[named(c) for c in keep], stream, order, tie)
+    rows = rows.where(F.col(stream_).isin(list(parts))).withColumn(part_, F.substring(order_, 1, digits))
     # a row's number within its stream: the rows of the parts before its part, and its number within the part
-    counts = df.select(stream.alias("stream"), F.md5(F.coalesce(named(key).cast("string"), F.lit(""))).alias("_order"))
-    counts = counts.groupBy("stream", F.substring("_order", 1, digits).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("stream").orderBy("_part")) - F.col("_n")).drop("_n")
-    within = Window.partitionBy("stream", "_part").orderBy("_order")
-    rows = rows.withColumn("_nth", F.row_number().over(within) - 1)
+    counts = df.select(stream, order).groupBy(stream_, F.substring(order_, 1, digits).alias(part_)).agg(F.count(F.lit(1)).alias(n_))
+    before = counts.withColumn(before_, F.sum(n_).over(Window.partitionBy(stream_).orderBy(part_)) - F.col(n_)).drop(n_)
+    within = Window.partitionBy(stream_, part_).orderBy(order_, tie_)
+    rows = rows.withColumn(nth_, F.row_number().over(within) - 1).drop(order_, tie_)
     # streams x 16**digits rows at most, and one row for each slot of a period
-    rows = rows.join(F.broadcast(before), ["stream", "_part"])
-    number = (F.col("_before") + F.col("_nth")).cast("long")
-    q = F.create_map(*[F.lit(x) for k, v in parts.items() for x in (k, v)])[F.col("stream")].cast("long")
-    rows = rows.withColumn("_no", number).withColumn("_q", q).withColumn("block_no", F.expr(f"_no div {block}L"))
-    rows = rows.withColumn("nth", F.expr("cast(block_no % _q as int)"))
-    rows = rows.join(F.broadcast(period_table(df.sparkSession, parts)), ["stream", "nth"])
-    slot = F.expr(f"(block_no div _q) * {period}L + slot0")
+    rows = rows.join(F.broadcast(before), [stream_, part_])
+    q = F.create_map(*[F.lit(x) for k, v in parts.items() for x in (k, v)])[F.col(stream_)].cast("long")
+    rows = rows.withColumn(no_, (F.col(before_) + F.col(nth_)).cast("long")).withColumn(q_, q).drop(nth_)
+    block_no = F.expr(f"`{no_}` div {block}L")
+    rows = rows.withColumn(nth_, F.expr(f"cast((`{no_}` div {block}L) % `{q_}` as int)"))
+    rows = rows.join(F.broadcast(period_table(df.sparkSession, parts).toDF(stream_, nth_, slot_)), [stream_, nth_])
+    slot = F.expr(f"(`{no_}` div {block}L) div `{q_}` * {period}L + `{slot_}`")
     return rows.select(
-        *[named(c) for c in keep], "stream", "block_no", slot.alias("slot"), F.expr(f"(block_no * {period}L) div _q").alias("release"),
-        F.expr(f"((block_no + 1) * {period}L + _q - 1) div _q").alias("deadline"), (slot * block + F.expr(f"_no % {block}L")).alias("mix_position"),
+        *[named(c) for c in keep], F.col(stream_).alias("stream"), block_no.alias("block_no"), slot.alias("slot"), F.expr(f"((`{no_}` div {block}L) * {period}L) div `{q_}`").alias("release"),
+        F.expr(f"((`{no_}` div {block}L + 1) * {period}L + `{q_}` - 1) div `{q_}`").alias("deadline"), (slot * block + F.expr(f"`{no_}` % {block}L")).alias("mix_position"),
     )
 
 
@@ -109,9 +113,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_order(df: DataFrame) -> DataFrame:
-    """The rows of df in the order of the mixture: range-partitioned and sorted by mix_position, without the schedule's columns."""
-    out = mix(df, WEIGHTS)
-    return out.repartitionByRange("mix_position", *[F.col(c) for c in ("doc_id",) if c in df.columns]).sortWithinPartitions("mix_position").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of df (doc_id, source, text, ...) in the order of the mixture: range-partitioned and sorted by mix_position, with the columns of df.
+
+    Rows that share a doc_id go by the digest of their text, so that `positions` of a narrow table gives them the same places.
+    """
+    (place,) = fresh(df.columns, "mix_position")
+    out = mix(df.drop("mix_position"), WEIGHTS, ties=F.coalesce(F.col("text").cast("string"), F.lit("")))
+    if place != "mix_position":  # a column of df has that name: it comes back by its own copy
+        out = mix(df.withColumnRenamed("mix_position", place), WEIGHTS, ties=F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = out.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+    return out.select(*[F.col(place).alias(c) if c == "mix_position" else F.col(f"`{c}`") for c in df.columns])
 
 
 def oracle_sql() -> str:
