@@ -1,11 +1,12 @@
 """Toxicity: bags of subword embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the embeddings of its hashed character n-grams (with marks at its ends); training averages a text's word
-vectors into a linear softmax and fits embeddings and layer together. In scoring the same layer reads the vector of each passage of WORDS
-words, and the most toxic passage gives the text's score, so that a few words in a long text are not averaged away; a calibration
-on texts left out of training sets slope and cut. Misspellings that training never saw share n-grams, and so vectors, with words that
-it did see. As the layer is linear, a trained model scores a passage as a mean of one number per n-gram: one table of 2**BITS floats,
-which does not grow with the data. Only texts are inputs: labels, language, source and doc_id are not.
+A word's vector is the mean of the embeddings of its hashed character n-grams (with marks at its ends), and a passage's, of WORDS
+words in a row, the mean of its words' vectors, which a linear softmax layer reads. A text's score is that of its most toxic passage, in training as
+in use: after an epoch on averages of whole texts, each round takes the passages that the model finds most toxic, one of a toxic
+text and CLEAN_PASSAGES of a clean one, as the texts' examples, and fits embeddings and layer together. So a few words in a long text are not
+averaged away. A calibration on texts left out of training sets slope and cut. Misspellings that training never saw share n-grams, and so
+vectors, with words that it did see. As the layer is linear, a trained model scores a passage as a mean of one number per n-gram: one table
+of 2**BITS floats, which does not grow with the data. Only texts are inputs: labels, language, source and doc_id are not.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.llm import kernels as K
@@ -27,9 +28,13 @@ DIM = 8
 #: Bounds of the labelled sample the model is fitted on: rows of each class, in the order of their md5.
 TOXIC_ROWS = 1_500
 CLEAN_ROWS = 2_500
-#: Words of a passage.
-WORDS = 1
-EPOCHS = 4
+#: Bytes of the sample's texts, which reach the driver: of each class half, whole texts in the same order for as long as they fit.
+SAMPLE_BYTES = 64 << 20
+#: Words of a passage, and passages of a clean text that a round learns from.
+WORDS = 2
+CLEAN_PASSAGES = 3
+#: Epochs over averages of whole texts, and rounds over passages.
+EPOCHS, ROUNDS = 1, 3
 RATE = 0.1
 #: n-grams that fewer texts of the sample have keep a value of 0, as they could only be learnt by heart.
 LEAST_TEXTS = 3
@@ -56,8 +61,9 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
-def gram_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each n: buckets of all n-byte windows of the marked text, and for each word the range of its windows. Last: words by row."""
+def gram_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each n: buckets of all n-byte windows of the marked text, and for each word the range of its windows. Last: words by row, and the
+    places of each word in the marked text, which has a byte more before each row."""
     # a space before each row and at the end, so that words have marks on both sides
     rows = len(offsets) - 1
     at = offsets[:-1] + np.arange(rows)
@@ -75,29 +81,29 @@ def gram_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         b = ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
         lo = np.minimum(starts - 1, size)
         hi = np.maximum(np.minimum(ends + 2 - n, size), lo)  # windows [lo, hi) lie in the marked word
-        yield b, lo, hi, first
+        yield b, lo, hi, first, starts, ends
 
 
-def passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def passages(first: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The first word of each passage (and their number), and the first passage of each row. Rows without words have none."""
     n = np.diff(first)
-    count = -(-n // WORDS)
+    count = -(-n // words)
     at = np.concatenate([[0], np.cumsum(count)])
     row = np.repeat(np.arange(len(n)), count)
-    return np.append(first[:-1][row] + WORDS * (np.arange(at[-1]) - at[:-1][row]), first[-1]), at
+    return np.append(first[:-1][row] + words * (np.arange(at[-1]) - at[:-1][row]), first[-1]), at
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each row's buckets and weights: a text's vector is the weighted sum of its buckets' embeddings."""
+    """Each row's buckets and weights: its vector is the weighted sum of its buckets' embeddings, a mean of means."""
     found = list(gram_rows(data, offsets))
     first = found[0][3]
-    grams = sum(hi - lo for _, lo, hi, _ in found)
+    grams = sum(f[2] - f[1] for f in found)
     out = []
     for r in range(len(offsets) - 1):
         words = slice(first[r], first[r + 1])
         weight = 1.0 / (np.maximum(grams[words], 1) * max(1, first[r + 1] - first[r]))
         ids, w = [], []
-        for b, lo, hi, _ in found:
+        for b, lo, hi, *_ in found:
             size = (hi - lo)[words]
             ids.append(b[np.repeat(lo[words] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
             w.append(np.repeat(weight, size))
@@ -106,16 +112,24 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     return out
 
 
-def peaks(data: np.ndarray, offsets: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The largest mean, over each row's passages, of the words' means of `value` over their n-grams; 0 for rows without words."""
-    total, grams, first = 0.0, 0, None
-    for b, lo, hi, first in gram_rows(data, offsets):
+def logits(data: np.ndarray, offsets: np.ndarray, value: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each passage the mean over its words of the means of `value` over their n-grams, and its place in data [from, to); the first passage of each row."""
+    total, grams, first, starts, ends = 0.0, 0, None, None, None
+    for b, lo, hi, first, starts, ends in gram_rows(data, offsets):
         sums = np.zeros(len(b) + 1)
         np.cumsum(value[b], out=sums[1:])
         total = total + sums[hi] - sums[lo]
         grams = grams + hi - lo
-    starts, at = passages(first)
-    mean = K.sums(total / np.maximum(grams, 1), starts) / np.maximum(np.diff(starts), 1)
+    begin, at = passages(first, words)
+    mean = K.sums(total / np.maximum(grams, 1), begin) / np.maximum(np.diff(begin), 1)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at)) + 1
+    place = np.stack([starts[begin[:-1]] - row, ends[np.minimum(begin[1:], first[row]) - 1] - row], axis=1) if len(mean) else np.zeros((0, 2), np.int64)
+    return mean, place, at
+
+
+def peaks(data: np.ndarray, offsets: np.ndarray, value: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The largest passage of each row; 0 for rows without words."""
+    mean, _, at = logits(data, offsets, value, words)
     out = np.zeros(len(offsets) - 1)
     some = np.flatnonzero(np.diff(at))
     if len(some):
@@ -130,9 +144,11 @@ class Model:
     value: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    words: int = WORDS
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        z = self.slope * peaks(data, offsets, self.value) + self.shift
+        """The softmax's share of the toxic class, of each row's most toxic passage."""
+        z = self.slope * peaks(data, offsets, self.value, self.words) + self.shift
         return 1.0 / (1.0 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -140,54 +156,70 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
 
 
-def train(rows: list[tuple[int, bytes]], epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, seed: int = 1, clean_weight: float = 1.0) -> Model:
-    """Embeddings and the softmax layer by Adagrad, a text at a time; every fifth text of a class is left out, for calibration.
+def train(rows: list[tuple[int, bytes]], epochs: int = EPOCHS, rounds: int = ROUNDS, words: int = WORDS, rate: float = RATE, dim: int = DIM, seed: int = 1, clean_weight: float = 1.0) -> Model:
+    """Embeddings and the softmax layer by Adagrad, an example at a time; every fifth text of a class is left out, for calibration.
 
     rows: (label, text). clean_weight: how many clean rows of the corpus one clean row of the sample stands for, against toxic ones. Without
     rows of both classes every text scores below one half.
     """
     labels = np.array([y for y, _ in rows])
     if len(set(labels.tolist())) < 2:
-        return Model(np.zeros(1 << BITS, np.float32), 1.0, -1.0)
+        return Model(np.zeros(1 << BITS, np.float32), 1.0, -1.0, words)
     rng = np.random.default_rng(seed)
-    own = {c: [k for k in range(len(rows)) if labels[k] == c] for c in (0, 1)}
-    held = sorted(k for c in own for k in own[c][::5]) if min(map(len, own.values())) >= 10 else list(range(len(rows)))
+    of_class = {c: [k for k in range(len(rows)) if labels[k] == c] for c in (0, 1)}
+    held = sorted(k for c in of_class for k in of_class[c][::5]) if min(map(len, of_class.values())) >= 10 else list(range(len(rows)))
     fit = [k for k in range(len(rows)) if k not in set(held)] or held
-    bags = {}
-    for lo in range(0, len(fit), 200):
-        part = fit[lo : lo + 200]
-        bags |= dict(zip(part, features(*joined([rows[k][1] for k in part])), strict=True))
-    fit = [k for k in fit if len(bags[k][0])]
+    blocks = [fit[lo : lo + 200] for lo in range(0, len(fit), 200)]
+    bags = [(labels[k], *bag) for part in blocks for k, bag in zip(part, features(*joined([rows[k][1] for k in part])), strict=True) if len(bag[0])]
     texts = np.zeros(1 << BITS, np.int32)
-    for k in fit:
-        texts[bags[k][0]] += 1
-    known = (texts >= min(LEAST_TEXTS, max(1, len(fit) // 20))).astype(np.float32)
+    for _, ids, _ in bags:
+        texts[ids] += 1
+    known = (texts >= min(LEAST_TEXTS, max(1, len(bags) // 20))).astype(np.float32)
     embed = rng.normal(0, 0.01, (1 << BITS, dim)).astype(np.float32) * known[:, None]
     layer = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     g_embed, g_layer, g_bias = np.full(1 << BITS, 1e-4, np.float32), np.full((dim, 2), 1e-2, np.float32), np.full(2, 1e-2, np.float32)
-    of = {c: 0.5 * len(fit) / max(1, sum(labels[k] == c for k in fit)) for c in (0, 1)}
-    for epoch in range(epochs):
-        for done, k in enumerate(rng.permutation(fit)):
-            step = rate * (1 - (epoch + done / len(fit)) / epochs)
-            y, (ids, w) = labels[k], bags[k]
+
+    def learn(examples: list[tuple[int, np.ndarray, np.ndarray]], begin: float, end: float) -> None:
+        """One pass over (label, buckets, weights); the rate falls from begin to end. Both classes weigh the same."""
+        count = np.bincount([y for y, _, _ in examples], minlength=2)
+        own = 0.5 * len(examples) / np.maximum(count, 1)
+        for done, k in enumerate(rng.permutation(len(examples))):
+            step = begin + (end - begin) * done / len(examples)
+            y, ids, w = examples[k]
             w, e = GAIN * w, embed[ids]
             v = w @ e
             z = v @ layer + bias
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y] -= 1
-            p *= of[y]
+            p *= own[y]
             back, slope = layer @ p, np.outer(v, p)
-            g_layer += slope * slope
-            g_bias += p * p
+            g_layer[:] += slope * slope
+            g_bias[:] += p * p
             g_embed[ids] += w * w * float(back @ back) / dim
             embed[ids] = e - (step * w * known[ids] / np.sqrt(g_embed[ids]))[:, None] * back
-            layer -= step * slope / np.sqrt(g_layer)
-            bias -= step * p / np.sqrt(g_bias)
-    value = (GAIN * embed @ (layer[:, 1] - layer[:, 0])).astype(np.float32)
-    z = np.concatenate([peaks(*joined([rows[k][1] for k in held[lo : lo + 200]]), value) for lo in range(0, len(held), 200)])
-    return Model(value, *calibrate(z, labels[held], clean_weight))
+            layer[:] -= step * slope / np.sqrt(g_layer)
+            bias[:] -= step * p / np.sqrt(g_bias)
+
+    def values() -> np.ndarray:
+        return (GAIN * embed @ (layer[:, 1] - layer[:, 0])).astype(np.float32)
+
+    for epoch in range(epochs):
+        learn(bags, rate, rate)
+    for r in range(rounds):
+        value, examples = values(), []
+        for part in blocks:
+            data, offsets = joined([rows[k][1] for k in part])
+            mean, place, at = logits(data, offsets, value, words)
+            picked = [(labels[k], p) for j, k in enumerate(part) for p in at[j] + np.argsort(-mean[at[j] : at[j + 1]], kind="stable")[: 1 if labels[k] else CLEAN_PASSAGES]]
+            cut = [data[place[p, 0] : place[p, 1]].tobytes() for _, p in picked]
+            examples += [(y, *bag) for (y, _), bag in zip(picked, features(*joined(cut)), strict=True) if len(bag[0])] if cut else []
+        if examples:
+            learn(examples, rate * (1 - r / rounds), rate * (1 - (r + 1) / rounds))
+    value = values()
+    z = np.concatenate([peaks(*joined([rows[k][1] for k in held[lo : lo + 200]]), value, words) for lo in range(0, len(held), 200)])
+    return Model(value, *calibrate(z, labels[held], clean_weight), words)
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, clean_weight: float) -> tuple[float, float]:
@@ -212,6 +244,9 @@ def sample(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, cle
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(ids), "doc_id")
     # rows that share a doc_id count once, the smallest text of them
     rows = rows.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    # of the rows of a class, which are at most toxic_rows or clean_rows
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("toxic").orderBy(order, "doc_id"))
+    rows = rows.withColumn("size", size.cast("long")).where(F.col("size") <= SAMPLE_BYTES // 2)
     return [(r.toxic, (r.text or "").encode()) for r in sorted(rows.collect(), key=lambda r: r.doc_id)]
 
 
@@ -229,7 +264,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row. Texts that are null or have no words get the score of the calibration's shift."""
+    """doc_id, held_out, score and predicted of each row of docs (doc_id, text).
+
+    Texts that are null, empty or without words get the score of the calibration's shift. Null ids are not held out; repeated rows each
+    get their row; whole texts are scored, however long; an empty table gives no rows and further columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +280,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all columns, that are not predicted toxic."""
+    """The rows of docs, with all columns of any name, that are not predicted toxic: null and empty texts, null ids and repeated rows are judged like
+    all others, by their text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
