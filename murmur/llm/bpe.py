@@ -19,10 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from murmur.llm.base import raw, table
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct words a task remembers before it starts anew.
 WORDS = 300_000
 #: Words of more bytes than this are merged by a heap, one at a time.
@@ -221,29 +221,39 @@ def encoder(ranks: dict[bytes, int], pattern: str, words: int = WORDS):
     return rows
 
 
-def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Per row: doc_id, the number of ids, and digests of the ids and of the decoded bytes. Null texts are empty; an empty table gives no rows."""
+def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, the columns of `keep`, the number of ids, and digests of the ids and of the decoded bytes.
+
+    Null and empty texts have no ids. Repeated rows and rows without doc_id each get a row, an empty table gives none, and columns that are not
+    kept are ignored, whatever their names. Whole texts are encoded: a word (a match of the pattern) of any length is merged by a heap, in memory
+    of some 200 times its bytes, so an unbroken run of letters of over 5 MB needs over 1 GB; other texts need a few times their size.
+    """
     rows = encoder(ranks, pattern)
+    kinds = [docs.schema[c].dataType for c in keep]
+    taken = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(f"`{c}`") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: list[pa.RecordBatch] = []
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at[:] = [batch]
+                yield batch
+
         out: list[tuple] = []
-        for doc_id, ids, back in rows(batches):
-            out.append((doc_id, len(ids), hashlib.sha256(ids.astype("<u4")).hexdigest(), hashlib.sha256(back).hexdigest()))
-            if len(out) == 2000:
-                yield _table(out)
+        for _, ids, back in rows(watched()):
+            out.append((len(ids), hashlib.sha256(ids.astype("<u4")).hexdigest(), hashlib.sha256(back).hexdigest()))
+            if len(out) == at[0].num_rows:
+                found = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([at[0].column(0), *(at[0].column(2 + k) for k in range(len(keep))), *found], names=["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256"])
                 out = []
-        if out:
-            yield _table(out)
-
-    def _table(out: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+    schema = StructType([StructField("doc_id", LongType()), *[StructField(c, t) for c, t in zip(keep, kinds, strict=True)], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    return taken.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, ids) of each text."""
+    """(doc_id, ids) of each row of docs (doc_id, text), as `digests` says of odd rows."""
     rows = encoder(ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

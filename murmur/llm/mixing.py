@@ -68,11 +68,11 @@ def period_table(spark: SparkSession, parts: dict[str, int]) -> DataFrame:
 
 def mix(
     df: DataFrame, weights: dict[str, float], other: float = OTHER_WEIGHT, block: int = BLOCK, period: int = 1000,
-    source: str = "source", key: str = "doc_id", digits: int = DIGITS, ties: Column | None = None,
+    source: str = "source", key: str = "doc_id", digits: int = DIGITS, ties: Column | None = None, digested: bool = False,
 ) -> DataFrame:
     """df with `stream`, `block_no`, `slot`, `release`, `deadline` and `mix_position`, which orders the mixture.
 
-    A null source counts as unlisted; unlisted sources form one stream with weight `other`, and are left out where that is 0. Repeated
+    ties: what orders rows of one key instead, a text or (digested) a digest. A null source counts as unlisted; unlisted sources form one stream with weight `other`, and are left out where that is 0. Repeated
     keys each keep their own place, in the order of a digest of the whole row, so only rows that are equal in all columns can change places; a
     null key orders as an empty one. An empty table gives no rows. Columns of df that have one of the new names are replaced; all others,
     whatever their names, stay as they are.
@@ -84,7 +84,8 @@ def mix(
     stream_, order_, tie_, part_, n_, before_, nth_, no_, q_, slot_ = fresh([*df.columns, *NEW], "stream_", "order", "tie", "part", "n", "before", "nth", "no", "q", "slot0")
     stream: Column = F.when(named(source).isin(listed), named(source)).otherwise(F.lit(OTHER)).alias(stream_)
     order = F.md5(F.coalesce(named(key).cast("string"), F.lit(""))).alias(order_)
-    tie = F.sha2(F.to_json(F.struct(*[F.struct(named(c).alias("v")).alias(f"c{k}") for k, c in enumerate(keep)])) if ties is None else ties, 256).alias(tie_)
+    whole = F.to_json(F.struct(*[F.struct(named(c).alias("v")).alias(f"c{k}") for k, c in enumerate(keep)])) if ties is None else ties
+    tie = (whole if digested else F.sha2(whole, 256)).alias(tie_)
     rows = df.select(*[named(c) for c in keep], stream, order, tie)
     rows = rows.where(F.col(stream_).isin(list(parts))).withColumn(part_, F.substring(order_, 1, digits))
     # a row's number within its stream: the rows of the parts before its part, and its number within the part
@@ -125,6 +126,12 @@ def in_order(df: DataFrame) -> DataFrame:
     return out.select(*[F.col(place).alias(c) if c == "mix_position" else F.col(f"`{c}`") for c in df.columns])
 
 
+def positions(df: DataFrame, text_digest: str) -> DataFrame:
+    """df (doc_id, source, ...) with mix_position: the places that `in_order` gives these rows, whose texts have the SHA-256 digest in a column of df."""
+    out = mix(df, WEIGHTS, ties=F.col(f"`{text_digest}`"), digested=True)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "mix_position"], "mix_position")
+
+
 def oracle_sql() -> str:
     parts = shares(WEIGHTS, OTHER_WEIGHT, 1000)
     q = "[" + ", ".join(f"{v}::bigint" for v in parts.values()) + "]"

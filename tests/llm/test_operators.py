@@ -592,6 +592,45 @@ def test_toxicity_on_held_out_and_misspelt(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in toxicity.score(docs, model).where("predicted = 0").collect()}
 
 
+def plain_score(text, model):
+    """The softmax's toxic share of the best passage, word by word and n-gram by n-gram."""
+    words = re.findall(rb"[a-z0-9\x80-\xff]+", text.lower())
+    means = []
+    for w in words:
+        grams = [(b" " + w + b" ")[k : k + n] for n in toxicity.GRAMS for k in range(len(w) + 3 - n)]
+        bucket = lambda g: (int.from_bytes(g, "little") * 0x9E3779B97F4A7C15 % 2**64) >> (64 - toxicity.BITS)
+        means.append(sum(float(model.value[bucket(g)]) for g in grams) / max(1, len(grams)))
+    passages = [means[k : k + model.words] for k in range(0, len(means), model.words)]
+    best = max((sum(p) / len(p) for p in passages), default=0.0)
+    return 1 / (1 + np.exp(-np.clip(model.slope * best + model.shift, -50, 50)))
+
+
+@pytest.mark.parametrize("words", [1, 2, 5])
+def test_toxicity_equals_a_plain_score(spark, words):
+    texts, marks = toxic_corpus(7, 120)
+    model = toxicity.train([(int(y), t.encode()) for t, y in zip(texts, marks, strict=True)], words=words)
+    docs = common.documents(spark, [t for t in common.odd_texts() + texts[:30] if not t or len(t) < 5000])
+    for r in docs.join(toxicity.score(docs, model).select("doc_id", "score"), "doc_id").collect():
+        assert r.score == pytest.approx(plain_score((r.text or "").encode(), model), abs=1e-6), r.doc_id
+
+
+def test_passage_places():
+    texts = [b"one two three, four", b"", b"  five", "é à ü ö".encode()]
+    data, offsets = toxicity.joined(texts)
+    _, place, at = toxicity.logits(data, offsets, np.zeros(1 << toxicity.BITS, np.float32), 2)
+    assert at.tolist() == [0, 2, 2, 3, 5]
+    assert [data[a:b].tobytes().decode() for a, b in place] == ["one two", "three, four", "five", "é à", "ü ö"]
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    texts, marks = toxic_corpus(8, 60)
+    docs, labels = common.documents(spark, texts), common.labels(spark, 60, lambda i: marks[i])
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 8000)
+    rows = toxicity.sample(docs, labels)
+    assert 0 < sum(len(t) for _, t in rows) <= 8000 and {y for y, _ in rows} == {0, 1}
+    assert all(t.decode() in texts for _, t in rows)
+
+
 def test_toxicity_learns_from_allowed_rows_only(spark):
     texts, marks = toxic_corpus(3, 60)
     docs = common.documents(spark, texts)

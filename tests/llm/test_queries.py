@@ -6,10 +6,10 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from murmur.llm import base, bpe, registry, secrets, toxicity
+from murmur.llm import base, bpe, mixing, registry, secrets, toxicity
 from tests.conftest import DATA, canonical
 from tests.llm import common
-from tests.llm.test_operators import plain_groups
+from tests.llm.test_operators import pfair, plain_groups
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -67,6 +67,52 @@ def test_pipeline(spark):
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     assert all(r.n_tokens == len(library.encode_ordinary(masked[r.doc_id])) for r in rows)
     assert any(spans.values()) and bad and len(keep) < len(docs.collect()) - len(bad)
+    # the places of the mixture, by a plain schedule of the rows that are left
+    parts = mixing.shares(mixing.WEIGHTS, mixing.OTHER_WEIGHT, 1000)
+    slots = {}
+    for slot, i in enumerate(pfair(list(parts.values()))):
+        slots.setdefault(list(parts)[i], []).append(slot)
+    source = {r.doc_id: r.source for r in docs.collect()}
+    streams, want = {}, {}
+    for i in sorted(masked, key=lambda i: hashlib.md5(str(i).encode()).hexdigest()):
+        streams.setdefault(source[i] if source[i] in parts else mixing.OTHER, []).append(i)
+    for stream, ids in streams.items():
+        for n, i in enumerate(ids):
+            block = n // mixing.BLOCK
+            want[i] = (block // parts[stream] * 1000 + slots[stream][block % parts[stream]]) * mixing.BLOCK + n % mixing.BLOCK
+    assert {r.doc_id: r.mix_position for r in rows} == want
+    assert [r.mix_position for r in rows] == sorted(want.values())
+
+
+def test_mixture_holds_over_many_files(spark, tmp_path):
+    """Files are read back in the reader's order; the places in the result are the mixture's all the same."""
+    docs = base.table(spark, f"{DATA}/sf0.01", "documents")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        mixed = base.written(corpus_pipeline.mix_sources(spark, docs, ""), "test")
+        assert len(mixed.inputFiles()) == 8
+        by_file = {}
+        for r in mixed.selectExpr("_metadata.file_name f", "_metadata.row_index i", "doc_id").collect():
+            by_file.setdefault(r.f, []).append((r.i, r.doc_id))
+        place = {r.doc_id: r.mix_position for r in mixing.mix(docs, mixing.WEIGHTS).collect()}
+        assert [place[i] for f in sorted(by_file) for _, i in sorted(by_file[f])] == sorted(place.values())
+        out = base.written(corpus_pipeline.encode(spark, mixed, ""), "test")
+        assert {r.doc_id: r.mix_position for r in out.collect()} == place
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_one_row_of_a_repeated_document_stays(spark):
+    rng = common.random.Random(3)
+    t, u = common.sentence(rng, 80), common.sentence(rng, 70)
+    rows = [(1, t, "en"), (1, t, "en"), (1, t, "de"), (2, t + " x", "en"), (3, u, "en"), (3, "other words " + t[::-1], "en"), (None, u, "en"), (None, u, "en"), (4, None, None), (4, None, None), (5, "", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = sorted((r.doc_id or 0, r.text or "", r.lang or "") for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    three = min((x for x in (u, "other words " + t[::-1])), key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    assert out == sorted([(0, u, "en"), (0, u, "en"), (1, t, "de"), (3, three, "en"), (4, "", ""), (5, "", "en")])
 
 
 def test_stages_keep_columns_and_survive_odd_rows(spark, tmp_path):
