@@ -152,7 +152,9 @@ def build_user_vectors(c: Corpus, a: argparse.Namespace) -> dict:
     factory = _client(a)
     if factory:
         text = rows.withColumn("_t", N.choose_text("triplet_document", "description")).select("user_id", F.col("_t.text").alias("text"), F.col("_t.source").alias("text_source"))
-        c.put(enrich.embed(text.where("text_source <> 'missing'"), factory).select("user_id", "text_source", "embedding"), "embeddings")
+        asked = c.put(enrich.embed(text.where("text_source <> 'missing'"), factory).select("user_id", "text_source", "embedding", "error"), "embedding_answers")
+        c.put(asked.where("error is null").drop("error"), "embeddings")
+        c.put(asked.where("error is not null").select("user_id", "error"), "embedding_errors")
     empty = c.spark.createDataFrame([], "user_id string, embedding array<double>")
     fused = features.fused_vectors(c.get("embeddings").select("user_id", "embedding") if factory else empty, numeric, a.dims)
     return {"users": c.put(fused, "fused").count()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Hosts that count as the platform's own, and relation names with their canonical forms.
@@ -122,13 +122,26 @@ def tweet_relation(relation: str | Column) -> Column:
     return F.try_element_at(names, F.lower(F.trim(col(relation))))
 
 
+#: Zone names of RFC 2822 dates and their offsets (fixed values of that format).
+ZONES = {"+0000": "GMT|UTC|UT|Z", "-0300": "ADT", "-0400": "AST|EDT", "-0500": "EST|CDT", "-0600": "CST|MDT", "-0700": "MST|PDT", "-0800": "PST"}
+
+
 def parse_timestamp(x: str | Column) -> Column:
-    """RFC 2822 or legacy platform dates (weekday cut off) first, then ISO 8601; naive ones are UTC; failures are null."""
+    """RFC 2822 or legacy platform dates (weekday cut off) first, then ISO 8601; naive ones are UTC, in a session of any zone; failures are null."""
     text = F.trim(col(x).cast("string"))
-    day = F.regexp_replace(text, "^[A-Za-z]{3},? ", "")
-    return F.coalesce(
-        F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(day, F.lit("MMM dd HH:mm:ss Z yyyy")), F.try_to_timestamp(text),
-    )
+    day = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},? ", ""), r"\s*\([^)]*\)$", "")
+    for offset, names in ZONES.items():
+        day = F.regexp_replace(day, rf"(?<=\d) ({names})(?=$| \d{{4}}$)", f" {offset}")
+    day = F.when(day.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} [0-9:]+$"), F.concat(day, F.lit(" +0000"))).otherwise(day)
+    zoned = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}.*([Zz]|[+-]\d{2}(:?\d{2}){0,2})$")
+    iso = F.when(zoned, text).when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text, F.lit("Z")))
+    formats = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "MMM dd HH:mm:ss Z yyyy")
+    return F.coalesce(*[F.try_to_timestamp(day, F.lit(f)) for f in formats], F.try_to_timestamp(iso))
+
+
+def utc_hour(df: DataFrame, x: str) -> Column:
+    """The hour in UTC of a column, in a session of any zone; timestamps without a zone are UTC."""
+    return F.hour(x) if dict(df.dtypes)[x] == "timestamp_ntz" else F.pmod(F.expr(f"floor(unix_seconds(`{x}`) / 3600)"), F.lit(24)).cast("int")
 
 
 def half_even(x: Column) -> Column:

@@ -11,7 +11,9 @@ import hashlib
 import heapq
 import math
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from murmur.operators.graph import adjacency
 from murmur.sources.shared import drop_written, written
 
 EPS = 1e-12
+#: Edges of a component that one task takes: some 2 GB as Python dictionaries.
+LARGEST = 4_000_000
 
 
 def entropy_term(volume: Column, internal: Column, total: Column) -> Column:
@@ -94,10 +98,15 @@ def partition_quality(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def by_component(edges: DataFrame) -> DataFrame:
-    """edges (a, b, weight) with the smallest node of their component."""
+    """edges (a, b, weight) with the smallest node of their component. Raises ValueError where a component has more than LARGEST edges, as each meets
+    in one task: `mutual_best` is for such graphs."""
     found = components(edges.select("a", "b")).withColumnRenamed("node", "b")
     big = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
-    return big.join(found, "b").select("component", "a", "b", "weight")
+    rows = written(big.join(found, "b").select("component", "a", "b", "weight"), "components")
+    most = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    if most > LARGEST:
+        raise ValueError(f"a connected component has {most} edges, more than {LARGEST}: use mutual_best")
+    return rows
 
 
 def _neighbours(pdf: pd.DataFrame) -> dict[str, dict[str, float]]:
@@ -163,47 +172,114 @@ def _hash(seed: int, step: int, text: str) -> str:
     return hashlib.sha1(f"{seed}:{step}:{text}".encode()).hexdigest()
 
 
+class Graph:
+    """An undirected graph as arrays: node names in order, and for each node the range of its neighbours and weights."""
+
+    def __init__(self, near: dict[str, dict[str, float]]):
+        self.names = sorted(near)
+        number = {x: k for k, x in enumerate(self.names)}
+        self.degree = np.array([len(near[x]) for x in self.names], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.degree)])
+        self.to = np.array([number[y] for x in self.names for y in near[x]], np.int64)
+        self.weight = np.array([w for x in self.names for w in near[x].values()], np.float64)
+
+    def spread(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the neighbours of some nodes, and for each which of the nodes it belongs to."""
+        size = self.degree[nodes]
+        owner = np.repeat(np.arange(len(nodes)), size)
+        return self.start[nodes][owner] + np.arange(int(size.sum())) - (np.cumsum(size) - size)[owner], owner
+
+    def waves(self, order: np.ndarray) -> Iterator[np.ndarray]:
+        """The nodes of order in sets without edges inside, each node after all its neighbours that come before it: visiting a set at once is visiting
+        its nodes in order."""
+        rank = np.full(len(self.names), -1, np.int64)
+        rank[order] = np.arange(len(order))
+        at, owner = self.spread(order)
+        other = rank[self.to[at]]
+        waits = np.bincount(owner[(other >= 0) & (other < owner)], minlength=len(order))
+        ready = np.flatnonzero(waits == 0)
+        while len(ready):
+            yield order[ready]
+            at, owner = self.spread(order[ready])
+            later = rank[self.to[at]]
+            later = later[later > ready[owner]]
+            np.subtract.at(waits, later, 1)
+            later = np.unique(later)
+            ready = later[waits[later] == 0]
+
+    def pulls(self, nodes: np.ndarray, label: np.ndarray, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which node, label, weight) summed over the neighbours of some nodes, of the allowed labels."""
+        at, owner = self.spread(nodes)
+        found, weight = label[self.to[at]], self.weight[at]
+        if allowed is not None:
+            owner, found, weight = (x[allowed[found]] for x in (owner, found, weight))
+        key, back = np.unique(owner * len(self.names) + found, return_inverse=True)
+        return key // len(self.names), key % len(self.names), np.bincount(back, weight, minlength=len(key))
+
+
+def _choose(graph: Graph, nodes: np.ndarray, label: np.ndarray, seed: int, step: int, stay: bool, name: Callable[[int], str], allowed: np.ndarray | None = None) -> np.ndarray:
+    """Each node's heaviest label: its own, if stay and that is among the heaviest; of several the one with the smallest hash; its own without any."""
+    out = label[nodes].copy()
+    owner, found, weight = graph.pulls(nodes, label, allowed)
+    if not len(owner):
+        return out
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    top = np.repeat(np.maximum.reduceat(weight, first), np.diff(np.append(first, len(owner))))
+    best = np.isclose(weight, top, rtol=1e-9, atol=0.0)
+    settled = np.zeros(len(nodes), bool)
+    if stay:
+        settled[owner[best & (found == out[owner])]] = True
+    best &= ~settled[owner]
+    owner, found = owner[best], found[best]
+    many = np.bincount(owner, minlength=len(nodes))[owner] > 1
+    out[owner[~many]] = found[~many]
+    pick: dict[int, tuple[str, str, int]] = {}
+    for o, f in zip(owner[many].tolist(), found[many].tolist(), strict=True):
+        key = (_hash(seed, step, f"{graph.names[nodes[o]]}:{name(f)}"), name(f), f)
+        pick[o] = min(pick.get(o, key), key)
+    for o, (_, _, f) in pick.items():
+        out[o] = f
+    return out
+
+
 def propagate(near: dict[str, dict[str, float]], rounds: int = 50, seed: int = 42) -> tuple[dict[str, str], int]:
-    """Weighted label propagation, updated in place; nodes by degree and then hash; a label that is among the heaviest is kept, else a hash picks one."""
-    label = {x: x for x in near}
-    done = 0
+    """Weighted label propagation: a round visits nodes by degree and then hash, each of which sees the labels that those before it have taken.
+
+    Nodes are visited in waves of nodes that are no neighbours, so a round is some array operations and equals a visit one by one.
+    """
+    graph = Graph(near)
+    label = np.arange(len(graph.names))
     for done in range(1, max(rounds, 1) + 1):
-        moved = False
-        for x in sorted(near, key=lambda x: (-len(near[x]), _hash(seed, done, x), x)):
-            weight: dict[str, float] = defaultdict(float)
-            for y, w in near[x].items():
-                weight[label[y]] += w
-            top = max(weight.values())
-            if weight.get(label[x], 0.0) >= top:
-                continue
-            best = [k for k, w in weight.items() if math.isclose(w, top)]
-            label[x], moved = min(best, key=lambda k: (_hash(seed, done, f"{x}:{k}"), k)), True
-        if not moved:
+        hashes = np.array([_hash(seed, done, x) for x in graph.names])
+        before = label.copy()
+        for wave in graph.waves(np.lexsort((hashes, -graph.degree))):
+            label[wave] = _choose(graph, wave, label, seed, done, stay=True, name=graph.names.__getitem__)
+        if (label == before).all():
             break
-    return label, done
+    return {x: graph.names[c] for x, c in zip(graph.names, label.tolist(), strict=True)}, done
+
+
+#: Steps whose hashes give the order of small members and their choice (fixed values).
+ORDER_STEP, CHOICE_STEP = 9999, 10000
 
 
 def merge_small(near: dict[str, dict[str, float]], label: dict[str, str], least: int, seed: int = 42) -> dict[str, str]:
-    """One pass in hash order: members of communities below `least` move to the heaviest neighbouring community that has reached it."""
-    label = dict(label)
-    size: dict[str, int] = defaultdict(int)
-    for c in label.values():
-        size[c] += 1
-    small = {c for c, n in size.items() if n < least}
-    for x in sorted(label, key=lambda x: (_hash(seed, 9999, x), x)):
-        if label[x] not in small:
-            continue
-        weight: dict[str, float] = defaultdict(float)
-        for y, w in near.get(x, {}).items():
-            if size[label[y]] >= least:
-                weight[label[y]] += w
-        if weight:
-            top = max(weight.values())
-            new = min((k for k, w in weight.items() if math.isclose(w, top)), key=lambda k: (_hash(seed, 10000, f"{x}:{k}"), k))
-            size[label[x]] -= 1
-            size[new] += 1
-            label[x] = new
-    return label
+    """Members of communities below `least` move, in hash order, to the heaviest neighbouring community of at least that size.
+
+    Only members of small communities move, and only to large ones, so which communities are large never changes; a member sees where those
+    before it have gone.
+    """
+    graph = Graph({x: near.get(x, {}) for x in label})
+    # a community is numbered by a member's place, so that its number indexes nodes
+    member = {label[x]: k for k, x in enumerate(graph.names)}
+    name = {k: c for c, k in member.items()}
+    now = np.array([member[label[x]] for x in graph.names])
+    large = np.bincount(now, minlength=len(now)) >= least
+    moves = np.flatnonzero(~large[now])
+    hashes = np.array([_hash(seed, ORDER_STEP, graph.names[k]) for k in moves])
+    for wave in graph.waves(moves[np.argsort(hashes, kind="stable")]):
+        now[wave] = _choose(graph, wave, now, seed, CHOICE_STEP, stay=False, name=name.get, allowed=large)
+    return {x: name[c] for x, c in zip(graph.names, now.tolist(), strict=True)}
 
 
 def detect(edges: DataFrame, nodes: DataFrame, algorithm: str = "structural_entropy", rounds: int = 50, least: int = 1, seed: int = 42, key: str = "id") -> DataFrame:

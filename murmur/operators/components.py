@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from murmur.sources.shared import drop_written, written
 
+#: Rounds grow with the square of the logarithm of a component at most; beyond these something else is wrong.
 ROUNDS = 60
 
 
@@ -27,7 +28,7 @@ def _round(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of edges (a, b) reaches. Nodes that are their own smallest are left out.
 
-    Each round's edges are a table in the shared folder; rounds end when one changes nothing.
+    Each round's edges are a table in the shared folder; rounds end when one changes nothing. Raises RuntimeError if ROUNDS do not suffice.
     """
     now, state = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), None
     old = None
@@ -38,6 +39,6 @@ def components(edges: DataFrame) -> DataFrame:
             drop_written(old)
         now = old = after
         if (r.n, r.s) == state or not r.n:
-            break
+            return now.selectExpr("a as node", "b as component").distinct()
         state = (r.n, r.s)
-    return now.selectExpr("a as node", "b as component").distinct()
+    raise RuntimeError(f"components did not converge in {ROUNDS} rounds")

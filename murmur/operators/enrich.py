@@ -184,15 +184,20 @@ def extract_triplets(tweets: DataFrame, factory: Callable[[], Any]) -> DataFrame
     return rows.withColumn("triplet_text", triplet_text("triplets", "text")).drop("prompt", "answer")
 
 
-def embed(rows: DataFrame, factory: Callable[[], Any], text: str = "text", batch: int = 64) -> DataFrame:
-    """rows with `embedding`, by calls of `batch` texts."""
+def embed(rows: DataFrame, factory: Callable[[], Any], text: str = "text", batch: int = 64, attempts: int = 3, pause: float = 2.0) -> DataFrame:
+    """rows with `embedding`, by calls of `batch` texts, and `error`: a call that still fails after its attempts leaves its rows without an embedding."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
         for pdf in batches:
-            texts, out = pdf[text].fillna("").tolist(), []
+            texts, out, errors = pdf[text].fillna("").tolist(), [], []
             for k in range(0, len(texts), batch):
-                out += [[float(x) for x in v] for v in client.embed(texts[k : k + batch])]
-            yield pdf.assign(embedding=out)
-
-    return rows.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "embedding array<double>"]))
+                part = texts[k : k + batch]
+                found, error = call_with_retries(lambda p=part: client.embed(p), attempts, pause)
+                if found is not None and len(found) != len(part):
+                    found, error = None, f"{len(found)} embeddings for {len(part)} texts"
+                out += [None] * len(part) if found is None else [[float(x) for x in v] for v in found]
+                errors += [error if found is None else None] * len(part)
+            yield pdf.assign(embedding=out, error=errors)
+
+    return rows.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "embedding array<double>", "error string"]))

@@ -158,13 +158,17 @@ def _best(candidates: dict[str, DataFrame]) -> tuple[str, DataFrame, DataFrame]:
     return name, candidates[name], evaluate.binary_metrics(candidates[name])
 
 
+def class_weight(data: DataFrame) -> Column:
+    """The weight of each row by its class, such that both classes of the train rows weigh the same."""
+    r = data.where("split = 'train'").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
+    n, p = r.n, r.p or 0.0
+    return F.when(F.col("y") == 1, n / (2 * max(p, 1.0))).otherwise(n / (2 * max(n - p, 1.0)))
+
+
 def logistic_grid(data: DataFrame, strengths: Sequence[float] = (0.1, 1.0, 10.0), balanced: Sequence[bool] = (False, True), vector: str = "raw") -> tuple[str, DataFrame, DataFrame]:
     """Logistic regression over standardised features for each C and class weighting."""
     scaled = StandardScaler(inputCol=vector, outputCol="scaled", withMean=True).fit(data.where("split = 'train'")).transform(data)
-    r = data.where("split = 'train'").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
-    n, p = r.n, r.p or 0.0
-    weight = F.when(F.col("y") == 1, n / (2 * max(p, 1.0))).otherwise(n / (2 * max(n - p, 1.0)))
-    out = {}
+    n, weight, out = data.where("split = 'train'").count(), class_weight(data), {}
     for c, even in itertools.product(strengths, balanced):
         rows = scaled.withColumn("w", weight if even else F.lit(1.0))
         model = LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="w", regParam=1 / (c * max(n, 1)), standardization=False, maxIter=200)
@@ -172,11 +176,13 @@ def logistic_grid(data: DataFrame, strengths: Sequence[float] = (0.1, 1.0, 10.0)
     return _best(out)
 
 
-def forest_grid(data: DataFrame, trees: Sequence[int] = (200, 500), depths: Sequence[int | None] = (8, 16, None), seed: int = 42) -> tuple[str, DataFrame, DataFrame]:
-    """Random forests for each size and depth; an unbounded depth is Spark's largest, 30."""
-    out = {}
-    for n, depth in itertools.product(trees, depths):
-        out[f"rf_{n}_{depth}"] = _fit(RandomForestClassifier(featuresCol="raw", labelCol="y", numTrees=n, maxDepth=depth or 30, seed=seed), data, f"rf_{n}_{depth}")
+def forest_grid(data: DataFrame, trees: Sequence[int] = (200, 500), depths: Sequence[int | None] = (8, 16, None), balanced: Sequence[bool] = (False, True), seed: int = 42) -> tuple[str, DataFrame, DataFrame]:
+    """Random forests for each size, depth and class weighting; an unbounded depth is Spark's largest, 30."""
+    weight, out = class_weight(data), {}
+    for n, depth, even in itertools.product(trees, depths, balanced):
+        name = f"rf_{n}_{depth}{'_balanced' if even else ''}"
+        rows = data.withColumn("w", weight if even else F.lit(1.0))
+        out[name] = _fit(RandomForestClassifier(featuresCol="raw", labelCol="y", weightCol="w", numTrees=n, maxDepth=depth or 30, seed=seed), rows, name)
     return _best(out)
 
 
@@ -186,6 +192,7 @@ def kmeans_groups(data: DataFrame, k: int, starts: int = 10, seed: int = 42, sca
     rows = rows.cache()
     models = [KMeans(featuresCol="_v", predictionCol="cluster", k=k, seed=seed + s).fit(rows) for s in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    rows.unpersist()
     return best.transform(rows).select("user_id", "split", "label", F.format_string("k%04d", "cluster").alias("community_id"))
 
 

@@ -64,9 +64,9 @@ def triplet_documents(triplets: DataFrame) -> DataFrame:
 
 
 def hour_histogram(tweets: DataFrame, ts: str = "ts", least: int = 8) -> DataFrame:
-    """Per user: 24 counts by UTC hour, their distribution, and whether there are at least max(least, 1) dated tweets."""
+    """Per user: 24 counts by UTC hour, whatever the session's zone, their distribution, and whether there are at least max(least, 1) dated tweets."""
     dated = tweets.where(F.col(ts).isNotNull())
-    counts = dated.groupBy("user_id").agg(F.count(F.lit(1)).alias("dated"), F.array(*[F.count_if(F.hour(ts) == h) for h in range(24)]).alias("hours"))
+    counts = dated.groupBy("user_id").agg(F.count(F.lit(1)).alias("dated"), F.array(*[F.count_if(N.utc_hour(tweets, ts) == h) for h in range(24)]).alias("hours"))
     return counts.withColumn("distribution", F.transform("hours", lambda x: x / F.col("dated"))).withColumn("ready", (F.col("dated") >= max(least, 1)).cast("int"))
 
 

@@ -250,7 +250,7 @@ from u full join t using (user_id) left join g using (user_id)""")
 def user_audit(spark: SparkSession, d: str) -> DataFrame:
     p = B.posts(spark, d)
     users = B.users(spark, d).where(F.substring("user_id", 2, 20).cast("long") % 5 != 0)
-    return features.user_audit(users, p, B.follows(spark, d), {"text": F.col("value") > 10, "dated": F.hour("ts") >= 6})
+    return features.user_audit(users, p, B.follows(spark, d), {"text": F.col("value") > 10, "dated": N.utc_hour(p, "ts") >= 6})
 
 
 @query(f"""

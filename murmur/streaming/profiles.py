@@ -7,17 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmur.functions.normalize import utc_hour
+
 
 def read_events(spark: SparkSession, folder: str, schema: str | None = None, files_per_trigger: int = 1) -> DataFrame:
     """Event files as a stream. Times without a zone are UTC."""
     kind = schema or "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    # local times of the session's zone for the same instants, which the cast reads as such
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp")
+    return stream.withColumn("ts", local if dict(stream.dtypes)["ts"] == "timestamp_ntz" else F.col("ts").cast("timestamp"))
 
 
 def hour_profiles(events: DataFrame) -> DataFrame:
     """Per user, 24 counts by UTC hour, kept up to date: the state has a row per user."""
-    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("dated"), F.array(*[F.count_if(F.hour("ts") == h) for h in range(24)]).alias("hours"))
+    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("dated"), F.array(*[F.count_if(utc_hour(events, "ts") == h) for h in range(24)]).alias("hours"))
 
 
 def windowed_types(events: DataFrame, kinds: Sequence[str], width: str = "1 hour", late: str = "10 minutes", kind: str = "event_type") -> DataFrame:
