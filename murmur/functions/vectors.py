@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -50,53 +50,69 @@ def distribution(a: str | Column) -> Column:
     return F.when(mass.isNotNull(), F.transform(cut, lambda x: x / mass))
 
 
-def js_divergence(a: str | Column, b: str | Column) -> Column:
-    """Jensen-Shannon divergence in bits, within 0 and 1; null where either has no mass."""
-    p, q = distribution(a), distribution(b)
+def js_of_distributions(p: str | Column, q: str | Column) -> Column:
+    """Jensen-Shannon divergence in bits, within 0 and 1, of arrays that are distributions already; null where either is null."""
+    p, q = col(p), col(q)
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     terms = F.zip_with(p, q, lambda x, y: 0.5 * part(x, (x + y) / 2) + 0.5 * part(y, (x + y) / 2))
     return F.when(p.isNotNull() & q.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), total(terms))))
 
 
+def js_divergence(a: str | Column, b: str | Column) -> Column:
+    """The same of arrays of any mass; null where either has none."""
+    return js_of_distributions(distribution(a), distribution(b))
+
+
 def js_similarity(a: str | Column, b: str | Column) -> Column:
     return 1 - js_divergence(a, b)
 
 
 def _warp(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Average cost of the cheapest warping path of each pair of rows; of equally cheap paths the shortest."""
+    """Average cost of the cheapest warping path of each pair of rows; of equally cheap paths the shortest.
+
+    The cells of an anti-diagonal do not depend on each other, so each is one step over all pairs; diagonals are indexed by the place in x.
+    """
     rows, n = x.shape
     m = y.shape[1]
-    cost, steps = np.full((rows, n + 1, m + 1), np.inf), np.zeros((rows, n + 1, m + 1))
-    cost[:, 0, 0] = 0
-    at = np.arange(rows)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            before = np.stack([cost[:, i - 1, j - 1], cost[:, i - 1, j], cost[:, i, j - 1]], axis=1)
-            taken = np.stack([steps[:, i - 1, j - 1], steps[:, i - 1, j], steps[:, i, j - 1]], axis=1)
-            cheapest = before == before.min(axis=1)[:, None]
-            best = np.argmin(np.where(cheapest, taken, np.inf), axis=1)
-            cost[:, i, j] = before[at, best] + np.abs(x[:, i - 1] - y[:, j - 1])
-            steps[:, i, j] = taken[at, best] + 1
-    return cost[:, n, m] / steps[:, n, m]
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T[::-1])
+    blank = lambda: (np.full((n + 1, rows), np.inf), np.zeros((n + 1, rows), np.float32))
+    (far, far_steps), (near, near_steps) = blank(), blank()
+    far[0] = 0
+    for d in range(2, n + m + 1):
+        lo, hi = max(1, d - m), min(n, d - 1) + 1
+        slanted, down, across = far[lo - 1 : hi - 1], near[lo - 1 : hi - 1], near[lo:hi]
+        least = np.minimum(np.minimum(slanted, down), across)
+        taken = np.where(slanted == least, far_steps[lo - 1 : hi - 1], np.inf)
+        for cost, steps in ((down, near_steps[lo - 1 : hi - 1]), (across, near_steps[lo:hi])):
+            np.minimum(taken, steps, out=taken, where=cost == least)
+        (far, far_steps), (near, near_steps) = (near, near_steps), blank()
+        near[lo:hi] = least + np.abs(x[lo - 1 : hi - 1] - y[m - d + lo : m - d + hi])
+        near_steps[lo:hi] = taken + 1
+    return near[n] / near_steps[n]
 
 
 def dtw_average_distance(a: str | Column, b: str | Column) -> Column:
     """Dynamic time warping with absolute cost, divided by the path's length; null where either array is null or empty. The rows of a batch are warped together."""
-    return F.pandas_udf(_warped, DoubleType())(col(a), col(b))
+    return F.arrow_udf(_warped, DoubleType())(*[col(c).cast("array<double>") for c in (a, b)])
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, starts and lengths of the lists of an Arrow array; null lists have length 0."""
+    offsets = lists.offsets.to_numpy()
+    valid = lists.is_valid().to_numpy(zero_copy_only=False)
+    return lists.values.to_numpy(zero_copy_only=False), offsets[:-1], np.where(valid, np.diff(offsets), 0)
 
 
-def _warped(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _warped(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in batches:
-        out = pd.Series([None] * len(a), dtype="float64")
-        have = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None and len(x) and len(y)]
-        shapes: dict[tuple[int, int], list[int]] = {}
-        for i in have:
-            shapes.setdefault((len(a.iloc[i]), len(b.iloc[i])), []).append(i)
-        for rows in shapes.values():
-            for k in range(0, len(rows), 2000):
-                part = rows[k : k + 2000]
-                out.iloc[part] = _warp(np.stack([np.asarray(a.iloc[i], float) for i in part]), np.stack([np.asarray(b.iloc[i], float) for i in part]))
-        yield out
+        (x, x_at, n), (y, y_at, m) = _flat(a), _flat(b)
+        have, out = (n > 0) & (m > 0), np.zeros(len(a))
+        for i, j in np.unique(np.stack([n, m], axis=1)[have], axis=0):
+            rows = np.flatnonzero((n == i) & (m == j))
+            for k in range(0, len(rows), 512):
+                part = rows[k : k + 512]
+                out[part] = _warp(x[x_at[part, None] + np.arange(i)], y[y_at[part, None] + np.arange(j)])
+        yield pa.array(out, mask=~have)
 
 
 def weighted_available(scores: list[tuple[str | Column, float]]) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import vectors as V
@@ -41,17 +41,20 @@ def cosine_topk(vectors: DataFrame, k: int, key: str = "id", vector: str = "vect
             x, y = (np.stack(d["v"].to_numpy()) for d in (a, b))
             x, y = (m / np.sqrt((m * m).sum(axis=1))[:, None] for m in (x, y))
             ids, other = a["id"].to_numpy(), b["id"].to_numpy()
+            place = {v: p for p, v in enumerate(other)}
+            own_place = np.array([place.get(v, -1) for v in ids])
+            keep = len(other) - min(k, len(other))
             for lo in range(0, len(x), 512):
                 s = x[lo : lo + 512] @ y.T
-                for r in range(len(s)):
-                    s[r, other == ids[lo + r]] = -np.inf
-                    keep = min(k, len(other))
-                    edge = np.partition(s[r], len(other) - keep)[len(other) - keep]
-                    at = np.flatnonzero((s[r] >= edge - 1e-12) & np.isfinite(s[r]))
-                    out["source"] += [ids[lo + r]] * len(at)
-                    out["target"] += other[at].tolist()
-                    out["weight"] += s[r, at].tolist()
-        return pd.DataFrame(out)
+                here = own_place[lo : lo + 512]
+                itself = np.flatnonzero(here >= 0)
+                s[itself, here[itself]] = -np.inf
+                edge = np.partition(s, keep, axis=1)[:, keep, None]
+                row, at = np.nonzero((s >= edge - 1e-12) & np.isfinite(s))
+                out["source"].append(ids[lo + row])
+                out["target"].append(other[at])
+                out["weight"].append(s[row, at])
+        return pd.DataFrame({c: np.concatenate(v) if v else v for c, v in out.items()})
 
     found = left.unionByName(right).groupBy("i", "j").applyInPandas(local, f"source {kind}, target {kind}, weight double")
     if least is not None:
@@ -61,29 +64,53 @@ def cosine_topk(vectors: DataFrame, k: int, key: str = "id", vector: str = "vect
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _union(sources: tuple[DataFrame, ...]) -> DataFrame:
+    out = sources[0].select("source", "target")
+    for s in sources[1:]:
+        out = out.unionByName(s.select("source", "target"))
+    return out
+
+
 def candidates(*sources: DataFrame) -> DataFrame:
     """The union of candidate pairs (source, target), in both directions, without self-loops."""
-    out = None
-    for s in sources:
-        pair = s.select("source", "target")
-        out = pair if out is None else out.unionByName(pair)
+    out = _union(sources)
     return out.unionByName(out.selectExpr("target as source", "source as target")).where("source <> target").distinct()
 
 
+def _measured(bundles: DataFrame) -> DataFrame:
+    """Bundles with what a channel needs of one side alone, so that it is found once a user and not once a pair."""
+    sized = [V.norm(c).alias(f"{c}_norm") for c in ("embedding", "behaviour", "degrees_unit")]
+    return bundles.select("user_id", "embedding", "behaviour", "degrees_unit", "hours", "followed", *sized, V.distribution("type_mix").alias("mix"), F.size(F.array_distinct("followed")).alias("n_followed"))
+
+
 def score_pairs(pairs: DataFrame, bundles: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Unordered pairs (a, b) with four channels, null where either side lacks one, and the weighted mean of those that are there.
 
     bundles: user_id, embedding, behaviour, type_mix, hours (null if too few dated tweets), degrees_unit, followed. Each unordered pair
-    is scored once.
+    is scored once; pairs of a user with itself go. Pairs are few bytes and much work, so they keep all shuffle partitions.
     """
     weights = weights or {c: 0.25 for c in CHANNELS}
-    unordered = pairs.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    side = lambda p: bundles.select(*[F.col(c).alias(c if c == "user_id" else f"{p}_{c}") for c in bundles.columns]).withColumnRenamed("user_id", p)
+    unordered = pairs.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    unordered = unordered.repartition(int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    known = _measured(bundles)
+    side = lambda p: known.select(*[F.col(c).alias(p if c == "user_id" else f"{p}_{c}") for c in known.columns])
     rows = unordered.join(side("a"), "a").join(side("b"), "b")
-    both = lambda c, f: F.when(F.col(f"a_{c}").isNotNull() & F.col(f"b_{c}").isNotNull(), f(F.col(f"a_{c}"), F.col(f"b_{c}")))
+
+    def cosine(c: str) -> Column:
+        x, y, norms = F.col(f"a_{c}"), F.col(f"b_{c}"), F.col(f"a_{c}_norm") * F.col(f"b_{c}_norm")
+        same = F.when(F.size(x) != F.size(y), F.raise_error(F.lit("vectors differ in length")).cast("double")).otherwise(V.dot(x, y) / norms)
+        return F.when(norms > 0, same)
+
+    shared = F.size(F.array_intersect("a_followed", "b_followed"))
+    parts = {
+        "content": cosine("embedding"), "actions": cosine("behaviour"), "degrees": cosine("degrees_unit"), "types": 1 - V.js_of_distributions("a_mix", "b_mix"),
+        "apart": V.dtw_average_distance("a_hours", "b_hours"), "shared": shared, "sets": F.col("a_n_followed") + F.col("b_n_followed"),
+    }
+    rows = rows.select("a", "b", *[e.alias(c) for c, e in parts.items()])
+    unit = lambda c: F.when(F.col(c).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) + 1) / 2)))
     channels = {
-        "content": both("embedding", V.unit_cosine), "behaviour": V.combine(both("type_mix", V.js_similarity), both("behaviour", V.unit_cosine)),
-        "temporal": both("hours", lambda x, y: 1 / (1 + V.dtw_average_distance(x, y))), "network": V.combine(V.jaccard(F.col("a_followed"), F.col("b_followed")), both("degrees_unit", V.unit_cosine), 0.7, 0.3),
+        "content": unit("content"), "behaviour": V.combine("types", unit("actions")), "temporal": 1 / (1 + F.col("apart")),
+        "network": V.combine(F.col("shared") / F.nullif(F.col("sets") - F.col("shared"), F.lit(0)), unit("degrees"), 0.7, 0.3),
     }
     rows = rows.select("a", "b", *[channels[c].alias(c) for c in CHANNELS])
     fused, mass = V.weighted_available([(c, weights[c]) for c in CHANNELS])
@@ -140,7 +167,7 @@ def late_fusion(bundles: DataFrame, follows: DataFrame, k: int = 10, candidate_k
     """The whole graph build: candidates from content, behaviour and follows; channels; top k; undirected edges. bundles must be cheap to read again."""
     content = cosine_topk(bundles.where("embedding is not null"), candidate_k, "user_id", "embedding")
     behaviour = cosine_topk(bundles.where("behaviour is not null"), candidate_k, "user_id", "behaviour")
-    scored = written(score_pairs(candidates(content, behaviour, follows), bundles, weights), "scored")  # warped once
+    scored = written(score_pairs(_union((content, behaviour, follows)), bundles, weights), "scored")  # warped once
     directed = directed_topk(scored, k, least)
     return {"scored": scored, "directed": directed, "edges": symmetrize(directed, mode, (*CHANNELS, "available_weight"))}
 

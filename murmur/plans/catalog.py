@@ -417,13 +417,13 @@ def dtw_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rows.select("a", "b", V.dtw_average_distance("x", "y").alias("distance")), "distance")
 
 
-def _bundles(spark: SparkSession, d: str) -> DataFrame:
+def _bundles(spark: SparkSession, d: str, follows: DataFrame | None = None) -> DataFrame:
     """The channels' inputs per user. Users' content vectors are those of the embeddings with their number; others have none."""
     p = B.posts(spark, d)
     stats = p.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("v"))
     behaviour = features.behaviour_vectors(stats, ["n", "v"]).select("user_id", F.when(V.has_signal("z"), F.col("behaviour")).alias("behaviour"))
     hours = features.hour_histogram(p).select("user_id", F.when(F.col("ready") == 1, F.col("distribution")).alias("hours"))
-    net = features.network_vectors(B.follows(spark, d), B.users(spark, d)).select("user_id", F.coalesce("followed", F.array().cast("array<string>")).alias("followed"), F.when(V.has_signal("degrees"), F.col("degrees_unit")).alias("degrees_unit"))
+    net = features.network_vectors(B.follows(spark, d) if follows is None else follows, B.users(spark, d)).select("user_id", F.coalesce("followed", F.array().cast("array<string>")).alias("followed"), F.when(V.has_signal("degrees"), F.col("degrees_unit")).alias("degrees_unit"))
     content = table(spark, d, "embeddings").select(F.concat(F.lit("u"), F.col("vec_id").cast("string")).alias("user_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     out = B.users(spark, d)
     for part in (content, behaviour, _mix(spark, d).select("user_id", F.col("m").alias("type_mix")), hours, net):
@@ -434,7 +434,8 @@ def _bundles(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def late_fusion_graph(spark: SparkSession, d: str) -> DataFrame:
     """The four-channel graph of the users: candidates (the reference's default of 100), scored pairs, top k, undirected edges with their channels."""
-    bundles, follows = written(_bundles(spark, d), "bundles"), written(B.follows(spark, d).distinct(), "follows")
+    follows = written(B.follows(spark, d), "follows")
+    bundles = written(_bundles(spark, d, follows), "bundles")
     out = graph.late_fusion(bundles, follows, k=5, candidate_k=100)["edges"]
     return rounded(out, "weight", "available_weight", *graph.CHANNELS)
 
