@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from murmur.functions import normalize as N
 from murmur.functions import vectors as V
 from murmur.operators import community, enrich, evaluate, experiments, features, graph, sampling
-from murmur.sources import sinks
+from murmur.sources import scans, sinks
 from murmur.sources.corpus import Corpus
 from murmur.sources.shared import written
 
 COMMANDS: dict[str, tuple[Callable[[Corpus, argparse.Namespace], Any], dict[str, Any]]] = {}
+RUN_TABLES = ("assignments", "profiles", "predictions", "metrics")
 NUMERIC = [
     "followers_count", "following_count", "tweet_count_hint", "tweets", "tweets_text", "tweets_dated", "tweets_metrics", "tweets_references", "tweets_external", "out_degree", "in_degree", "can_text", "can_time",
     "can_behaviour", "can_network", *[f"ratio_{k}" for k in N.POST_TYPES],
@@ -108,21 +109,32 @@ def _selected(c: Corpus, a: argparse.Namespace, least: int) -> DataFrame:
     return sampling.select_for_tasks(c.tweets().where("trim(coalesce(text, '')) <> ''"), a.per_user, least, a.max_users or None, a.max_tweets or None, a.seed)
 
 
+def _asked(c: Corpus, name: str, rows: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """All answers so far, and the errors of this run. Records that an earlier run answered are not asked again; those that failed are.
+
+    Answers are appended to NAME.jsonl and failures with their error to NAME_errors.jsonl; the table between makes each call happen once.
+    """
+    good, bad = (f"{c.root}/analysis/{name}{end}.jsonl" for end in ("", "_errors"))
+    if c.has(f"{name}.jsonl"):
+        rows = scans.unprocessed(rows, c.spark.read.schema("tweet_id string").json(good), "tweet_id")
+    found = written(ask(rows), name)
+    sinks.write_split(found, good, bad)
+    return c.spark.read.schema(found.drop("error").schema).json(good), found.where("error is not null").count()
+
+
 @command("classify-post-types", mode="hybrid", per_user=20, least=1, max_users=0, max_tweets=0, seed=42, client="")
 def classify_post_types(c: Corpus, a: argparse.Namespace) -> dict:
-    rows = _selected(c, a, a.least)
-    found = c.put(enrich.classify_post_types(rows, _client(a), a.mode), "post_types")
-    good = found.where("error is null").withColumnRenamed("coarse", "kind")
-    c.put(features.type_distribution(good, N.POST_TYPES), "post_type_distribution")
-    return {"tweets": found.count(), "errors": found.where("error is not null").count()}
+    good, errors = _asked(c, "post_types", _selected(c, a, a.least), lambda rows: enrich.classify_post_types(rows, _client(a), a.mode))
+    c.put(features.type_distribution(good.withColumnRenamed("coarse", "kind"), N.POST_TYPES), "post_type_distribution")
+    return {"tweets": good.count() + errors, "errors": errors}
 
 
 @command("extract-triplets", per_user=20, least=8, max_users=0, max_tweets=0, seed=42, client="")
 def extract_triplets(c: Corpus, a: argparse.Namespace) -> dict:
-    rows = _selected(c, a, a.least).withColumn("ord", F.coalesce(F.unix_seconds("ts"), F.lit(1 << 60)))
-    found = c.put(enrich.extract_triplets(rows.select("tweet_id", "user_id", "ord", "text"), _client(a)), "triplets")
-    c.put(features.triplet_documents(found.where("error is null")), "triplet_documents")
-    return {"tweets": found.count(), "errors": found.where("error is not null").count()}
+    rows = _selected(c, a, a.least).select("tweet_id", "user_id", F.coalesce(F.unix_seconds("ts"), F.lit(1 << 60)).alias("ord"), "text")
+    good, errors = _asked(c, "triplets", rows, lambda r: enrich.extract_triplets(r, _client(a)))
+    c.put(features.triplet_documents(good), "triplet_documents")
+    return {"tweets": good.count() + errors, "errors": errors}
 
 
 @command("downsample-final", target_users=1000, seed=42, out="")
@@ -222,8 +234,20 @@ def evaluate_community_purity(c: Corpus, a: argparse.Namespace) -> dict:
     return _evaluate(c, a, "purity", True)
 
 
+def _encoded(c: Corpus, profiles: DataFrame) -> DataFrame:
+    """Profiles with the mean leaf depth of the members in the encoding tree, and whether one of its nodes has exactly these members."""
+    tree, labels = c.get("tree"), c.get("assignments").selectExpr("user_id as node", "community_id as community")
+    if "type" in tree.columns:
+        found = community.community_depths(written(community.tree_depths(tree), "depths"), labels).join(community.exact_subtrees(tree, labels), "community")
+    else:  # a flat tree: a node for each community
+        found = community.match_trees(labels, tree).select("community", F.lit(1.0).alias("encoding_depth"), F.col("tree_node").isNotNull().alias("exact"))
+    return profiles.join(found.withColumnsRenamed({"community": "community_id", "exact": "exact_subtree"}), "community_id", "left")
+
+
 def _evaluate(c: Corpus, a: argparse.Namespace, name: str, by_majority: bool) -> dict:
     out = evaluate.evaluate_partition(c.get("assignments"), a.threshold, a.alpha, by_majority)
+    if by_majority and c.has("tree"):
+        out["profiles"] = _encoded(c, out["profiles"])
     for table in ("profiles", "predictions", "metrics"):
         c.put(out[table], f"{name}_{table}")
     return {"metrics": [r.asDict() for r in out["metrics"].collect()], **out["purity"].first().asDict()}
@@ -245,7 +269,12 @@ def sweep(c: Corpus, a: argparse.Namespace) -> dict:
     old = [r.asDict() for r in c.get("sweep").collect()] if c.has("sweep") else []
     numbers = lambda text, kind: [kind(x) for x in text.split(",")]
     rows = c.users().select("user_id", "split", "label")
-    new = experiments.sweep(c.get("scored"), c.users().withColumnRenamed("user_id", "id"), rows, numbers(a.ks, int), numbers(a.similarities, float), numbers(a.sizes, int), numbers(a.thresholds, float), [a.algorithm], [r["name"] for r in old])
+
+    def keep(row: dict, tables: dict[str, DataFrame]) -> None:
+        for name in RUN_TABLES:
+            c.put(tables[name], f"runs/{row['name']}/{name}")
+
+    new = experiments.sweep(c.get("scored"), c.users().withColumnRenamed("user_id", "id"), rows, numbers(a.ks, int), numbers(a.similarities, float), numbers(a.sizes, int), numbers(a.thresholds, float), [a.algorithm], [r["name"] for r in old], keep=keep)
     every = experiments.rank_runs(old + new)
     c.put(written(c.spark.createDataFrame(every), "sweep"), "sweep")
     return {"runs": len(every), "best": every[0]["name"]}
@@ -253,7 +282,10 @@ def sweep(c: Corpus, a: argparse.Namespace) -> dict:
 
 @command("finalize-best-community-run", top=20)
 def finalize(c: Corpus, a: argparse.Namespace) -> dict:
+    """The best run's tables are copied to analysis/final."""
     out = experiments.finalize([r.asDict() for r in c.get("sweep").collect()], a.top)
+    for name in RUN_TABLES if out["best"] else ():
+        sinks.copy_table(c.spark, f"{c.root}/analysis/runs/{out['best']['name']}/{name}", f"{c.root}/analysis/final/{name}")
     extremes = experiments.extreme_communities(c.get("scores_profiles"))
     for side, df in extremes.items():
         c.put(df, f"top_{side}_communities")

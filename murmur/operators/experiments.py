@@ -287,8 +287,12 @@ def sweep_row(metrics: DataFrame, splits: Sequence[str] = ("all", "train", "vali
 
 
 def sweep(scored: DataFrame, nodes: DataFrame, rows: DataFrame, ks: Sequence[int] = (5, 10, 15), least_similarities: Sequence[float] = (0.0, 0.05), least_sizes: Sequence[int] = (1, 3, 5),
-          thresholds: Sequence[float] = (0.2, 0.3, 0.4, 0.5), algorithms: Sequence[str] = ("structural_entropy",), done: Sequence[str] = (), report: Callable[[dict], None] | None = None) -> list[dict]:
-    """All combinations, best valid F1 first. scored pairs are computed once; graphs are shared by (k, similarity), communities by (…, size). `done` names are skipped."""
+          thresholds: Sequence[float] = (0.2, 0.3, 0.4, 0.5), algorithms: Sequence[str] = ("structural_entropy",), done: Sequence[str] = (), report: Callable[[dict], None] | None = None,
+          keep: Callable[[dict, dict[str, DataFrame]], None] | None = None) -> list[dict]:
+    """All combinations, best valid F1 first. scored pairs are computed once; graphs are shared by (k, similarity), communities by (…, size). `done` names are skipped.
+
+    report gets each run's row, keep also its tables: assignments, profiles, predictions, metrics.
+    """
     pairs = written(scored, "scored")
     out = []
     for k, similarity in itertools.product(ks, least_similarities):
@@ -307,6 +311,8 @@ def sweep(scored: DataFrame, nodes: DataFrame, rows: DataFrame, ks: Sequence[int
                 out.append(row)
                 if report:
                     report(row)
+                if keep:
+                    keep(row, {"assignments": assigned, **result})
     return rank_runs(out)
 
 

@@ -1,7 +1,11 @@
 """All commands in order over a small corpus folder."""
 
 import json
+import os
 import random
+import shutil
+import tempfile
+from pathlib import Path
 
 import pytest
 
@@ -69,10 +73,15 @@ def test_commands(spark, corpus):
     scores = run("evaluate-communities")
     assert next(m for m in scores["metrics"] if m["split"] == "test")["accuracy"] > 0.8
     assert run("evaluate-community-purity")["global_purity"] > 0.8
+    purity = spark.read.parquet(str(corpus / "analysis" / "purity_profiles")).collect()
+    assert all(r.encoding_depth >= 0 for r in purity) and any(r.exact_subtree for r in purity)
     assert sum(run("analyze-community-structure")["archetypes"].values()) > 0
     sweep = ("sweep-community-pipeline", "--ks", "4", "--similarities", "0", "--sizes", "1", "--thresholds", "0.3,0.5")
     assert run(*sweep)["runs"] == 2 and run(*sweep)["runs"] == 2
-    assert run("finalize-best-community-run")["best"]["valid_f1"] > 0.8
+    best = run("finalize-best-community-run")["best"]
+    assert best["valid_f1"] > 0.8
+    final = spark.read.parquet(str(corpus / "analysis" / "final" / "profiles"))
+    assert final.count() == best["communities"] and spark.read.parquet(str(corpus / "analysis" / "final" / "assignments")).count() == 40
     assert run("analyze-community-errors")["uncertain"] > 0
     assert run("train-community-reranker", "--epochs", "3")["epochs"] == 3
     assert run("analyze-community-reranker")["unchanged_right"] > 0
@@ -83,5 +92,40 @@ def test_commands(spark, corpus):
     assert json.loads((corpus / "analysis" / "audit.json").read_text())["command"] == "audit"
 
 
+class Failing(Client):
+    """Answers a post in two at first: those whose text has an even length."""
+
+    def complete(self, system, user):
+        if not Path(user_marker()).exists() and len(user) % 2:
+            return "no answer"
+        return super().complete(system, user)
+
+
+def user_marker():
+    return str(Path(tempfile.gettempdir()) / f"murmur-answers-{os.getuid()}")
+
+
+def test_service_stages_resume_and_keep_dead_letters(spark, corpus, tmp_path):
+    root = tmp_path / "corpus"
+    root.mkdir()
+    for f in corpus.iterdir():
+        if f.is_file():
+            shutil.copy(f, root)
+    ask = lambda: cli.run(spark, ["extract-triplets", "--sample-root", str(root), "--client", f"{__name__}:Failing", "--max-tweets", "60"])
+    Path(user_marker()).unlink(missing_ok=True)
+    first = ask()
+    assert 0 < first["errors"] < first["tweets"] == 60
+    letters = lambda: spark.read.json(str(root / "analysis" / "triplets_errors.jsonl"))
+    assert letters().count() == first["errors"] and letters().where("error is null").count() == 0
+    Path(user_marker()).touch()
+    try:
+        assert ask() == {"tweets": 60, "errors": 0}  # only those that failed are asked again
+    finally:
+        Path(user_marker()).unlink()
+    done = spark.read.json(str(root / "analysis" / "triplets.jsonl"))
+    assert done.count() == done.select("tweet_id").distinct().count() == 60
+    assert ask() == {"tweets": 60, "errors": 0}  # nothing is left to ask
+
+
 def test_every_command_is_there():
     assert len(cli.COMMANDS) == 25
