@@ -10,6 +10,8 @@ from pathlib import Path
 import pytest
 
 from murmur import cli
+from murmur.operators import community
+from murmur.sources.corpus import Corpus
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta".split()
 
@@ -74,7 +76,7 @@ def test_commands(spark, corpus):
     assert next(m for m in scores["metrics"] if m["split"] == "test")["accuracy"] > 0.8
     assert run("evaluate-community-purity")["global_purity"] > 0.8
     purity = spark.read.parquet(str(corpus / "analysis" / "purity_profiles")).collect()
-    assert all(r.encoding_depth >= 0 for r in purity) and any(r.exact_subtree for r in purity)
+    assert all(r.encoding_depth >= 0 and r.exact_subtree is not None for r in purity)
     assert sum(run("analyze-community-structure")["archetypes"].values()) > 0
     sweep = ("sweep-community-pipeline", "--ks", "4", "--similarities", "0", "--sizes", "1", "--thresholds", "0.3,0.5")
     assert run(*sweep)["runs"] == 2 and run(*sweep)["runs"] == 2
@@ -127,5 +129,21 @@ def test_service_stages_resume_and_keep_dead_letters(spark, corpus, tmp_path):
     assert ask() == {"tweets": 60, "errors": 0}  # nothing is left to ask
 
 
+def test_depths_of_communities_and_copy_of_the_best_run(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path))
+    ends = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("d", "e", 1.0), ("e", "f", 1.0), ("d", "f", 1.0), ("c", "d", 0.1)]
+    c.put(community.encoding_tree(spark.createDataFrame(ends, "a string, b string, weight double")), "tree")
+    c.put(spark.createDataFrame([(u, "c1" if u in "abc" else "c2") for u in "abcdef"] + [("z", "c3")], "user_id string, community_id string"), "assignments")
+    profiles = spark.createDataFrame([("c1",), ("c2",), ("c3",)], "community_id string")
+    got = {r.community_id: (round(r.encoding_depth, 6), r.exact_subtree) for r in cli._encoded(c, profiles).collect()}
+    assert got == {"c1": (2.666667, True), "c2": (2.666667, True), "c3": (0.0, False)}
+    for name in cli.RUN_TABLES:
+        c.put(profiles, f"runs/r1/{name}")
+    c.put(spark.createDataFrame([("r1", 0.9, 0.8, 3)], "name string, valid_f1 double, valid_auc double, communities int"), "sweep")
+    c.put(spark.createDataFrame([("c1", 0.5, 3)], "community_id string, bot_score double, community_size int"), "scores_profiles")
+    assert cli.run(spark, ["finalize-best-community-run", "--sample-root", str(tmp_path)])["best"]["name"] == "r1"
+    assert c.get("final/predictions").count() == 3
+
+
 def test_every_command_is_there():
     assert len(cli.COMMANDS) == 25
