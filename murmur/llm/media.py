@@ -3,7 +3,8 @@
 Frames are baseline JPEG, one grey component, and each 8x8 block carries one 8-bit sample as its level: with a DC quantiser of 8 and no
 AC terms, level b decodes to exactly b in all 64 pixels, so any payload is stored losslessly. The DC code of category c has 9 - c bits
 and is followed by c bits, so every difference takes 9 bits, and the end of block takes one: frames of fixed-width symbols, coded
-and decoded by array operations. Shots are cut where the difference of neighbouring frames' grey histograms exceeds an adaptive threshold.
+and decoded by array operations. Other baseline frames are decoded by `jpeg`. Shots are cut where the difference of neighbouring frames' grey
+histograms exceeds an adaptive threshold.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from murmur.llm import jpeg
 from murmur.llm.base import raw, table
 
 UNIT = 64
@@ -27,7 +29,7 @@ BINS = 16
 #: A cut needs a histogram difference over the mean of those before it in the shot by this many deviations, and over FLOOR.
 DEVIATIONS, FLOOR = 3.0, 0.10
 
-CLIP_SCHEMA = "doc_id long, clip int, first_frame int, n_frames int, start_s double, end_s double, mean_level double"
+CLIP_SCHEMA = "doc_id long, clip int, first_frame int, n_frames int, start_s double, end_s double, mean_level double, error string"
 DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, n_clips int"
 
 
@@ -61,6 +63,8 @@ def _head(rows: int) -> bytes:
 
 
 _heads: dict[int, bytes] = {}
+#: Where a head has the frame's height: after the mark of the start, the quantiser, and five bytes of the frame's segment.
+HEIGHT_AT = 2 + 69 + 5
 
 
 def encode_frame(samples: np.ndarray) -> bytes:
@@ -77,29 +81,24 @@ def encode_frame(samples: np.ndarray) -> bytes:
 
 
 def decode_frame(data: bytes) -> np.ndarray:
-    """The level of each block of a frame, from its own quantiser and size. Only frames with DC terms in this file's code are decoded."""
-    at, rows, columns, quant, dc = 2, 0, 0, 8, b""
-    while True:
-        marker, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
-        body = data[at + 4 : at + 2 + size]
-        if marker == 0xDB:
-            quant = body[1]
-        elif marker == 0xC0:
-            _, height, width, _ = struct.unpack(">BHHB", body[:6])
-            rows, columns = height // 8, width // 8
-        elif marker == 0xC4 and body[0] == 0:
-            dc = body[1:]
-        at += 2 + size
-        if marker == 0xDA:
-            break
-    if dc != bytes([1] * 9 + [0] * 7) + bytes(range(8, -1, -1)):
-        raise ValueError("not a frame with fixed-width DC terms")
-    n = rows * columns
-    bits = np.unpackbits(np.frombuffer(data[at:-2].replace(b"\xff\x00", b"\xff"), np.uint8), count=10 * n).reshape(n, 10)
+    """The grey samples of a frame: a level a block if the frame begins as this file's do, else a level a pixel; ValueError if it is no baseline JPEG."""
+    rows = int.from_bytes(data[HEIGHT_AT : HEIGHT_AT + 2], "big") // 8
+    head = _heads.get(rows) or _heads.setdefault(rows, _head(rows))
+    if rows and data.startswith(head):
+        return _levels(data[len(head) :], rows * COLUMNS)
+    return jpeg.grey(data).reshape(-1)
+
+
+def _levels(coded: bytes, n: int) -> np.ndarray:
+    """The levels of n blocks of ten bits each."""
+    data = np.frombuffer(coded[:-2].replace(b"\xff\x00", b"\xff"), np.uint8)
+    if 8 * len(data) < 10 * n:
+        raise ValueError("a frame that ends early")
+    bits = np.unpackbits(data, count=10 * n).reshape(n, 10)
     if bits[:, 9].any():
-        raise ValueError("AC terms")
+        raise ValueError("bits that are no code")
     symbol = (bits[:, 0].astype(np.uint16) << 8) | np.packbits(bits[:, 1:9], axis=1)[:, 0]
-    return ((np.cumsum(BACK[symbol], dtype=np.int32) * quant) // 8 + 128).astype(np.uint8)
+    return (np.cumsum(BACK[symbol], dtype=np.int32) + 128).astype(np.uint8)
 
 
 def _chunk(name: bytes, data: bytes) -> bytes:
@@ -132,42 +131,92 @@ def write_avi(payload: bytes) -> bytes:
 
 
 def parse_avi(data: bytes) -> dict:
-    """The chunks that matter: frames as (offset, size) from the index, frame rate, size, and the payload's length."""
+    """The chunks that matter: frames as (offset, size) from the index, frame rate, size, and the payload's length (null in others' files).
+
+    Frames are those of the first video stream. Offsets in an index may count from the list of frames or from the file's start; without a whole
+    index, and in further RIFF segments, frames are found by walking the lists themselves.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    out: dict = {"movi": 0, "frames": [], "payload": None, "fps": 0.0}
+    out: dict = {"movi": [], "frames": [], "payload": None, "fps": 0.0, "stream": None, "streams": 0}
+    index: list[tuple[int, int]] = []
 
     def walk(at: int, end: int) -> None:
         while at + 8 <= end:
             name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
-            if name == b"LIST":
+            stop = min(at + 8 + size, end)
+            if name in (b"LIST", b"RIFF"):
                 if data[at + 8 : at + 12] == b"movi":
-                    out["movi"] = at + 8
+                    if stop < at + 8 + size:
+                        raise ValueError("an AVI file that ends early")
+                    out["movi"].append((at + 8, stop))
                 else:
-                    walk(at + 12, at + 8 + size)
+                    walk(at + 12, stop)
             elif name == b"avih":
-                out["fps"] = 1e6 / struct.unpack("<I", data[at + 8 : at + 12])[0]
+                period = struct.unpack("<I", data[at + 8 : at + 12])[0]
+                out["fps"] = 1e6 / period if period else 0.0
                 out["width"], out["height"] = struct.unpack("<II", data[at + 40 : at + 48])
-            elif name == b"strd":
+            elif name == b"strh":
+                if data[at + 8 : at + 12] == b"vids" and out["stream"] is None:
+                    out["stream"] = out["streams"]
+                    scale, rate = struct.unpack("<II", data[at + 28 : at + 36])
+                    if scale and rate and not out["fps"]:
+                        out["fps"] = rate / scale
+                out["streams"] += 1
+            elif name == b"strd" and size == 8:
                 out["payload"] = struct.unpack("<Q", data[at + 8 : at + 16])[0]
-            elif name == b"idx1":
-                for k in range(at + 8, at + 8 + size, 16):
-                    kind, _, offset, n = struct.unpack("<4sIII", data[k : k + 16])
-                    if kind == b"00dc":
-                        out["frames"].append((out["movi"] + offset + 8, n))
+            elif name == b"idx1" and stop == at + 8 + size:
+                index.append((at + 8, stop))
             at += 8 + size + (size & 1)
 
-    walk(12, 8 + struct.unpack("<I", data[4:8])[0])
+    try:
+        walk(0, len(data))
+    except struct.error as e:
+        raise ValueError("an AVI file that ends early") from e
+    kinds = tuple(b"%02d%s" % (out["stream"] or 0, k) for k in (b"dc", b"db"))
+    for number, (start, end) in enumerate(out["movi"]):
+        indexed = [struct.unpack("<4sIII", data[k : k + 16]) for k in range(index[0][0], index[0][1] - 15, 16)] if number == 0 and index else []
+        of_video = [(offset, n) for kind, _, offset, n in indexed if kind in kinds]
+        if of_video:
+            base = start if data[start + of_video[0][0] : start + of_video[0][0] + 4] in kinds else 0
+            out["frames"] += [(base + offset + 8, n) for offset, n in of_video]
+        else:
+            out["frames"] += _walked(data, start + 4, end, kinds)
+    return out
+
+
+def _walked(data: bytes, at: int, end: int, kinds: tuple[bytes, ...]) -> list[tuple[int, int]]:
+    """(offset, size) of the frames of a list without an index, in its groups of records too."""
+    out = []
+    while at + 8 <= end:
+        name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if name == b"LIST":
+            at += 12
+            continue
+        if name in kinds:
+            out.append((at + 8, size))
+        at += 8 + size + (size & 1)
     return out
 
 
 def read_frames(data: bytes) -> tuple[dict, list[np.ndarray]]:
+    """What parse_avi gives, and the grey samples of each frame; an empty chunk shows the frame before it again."""
     info = parse_avi(data)
-    return info, [decode_frame(data[at : at + n]) for at, n in info["frames"]]
+    frames: list[np.ndarray] = []
+    for at, n in info["frames"]:
+        if at + n > len(data):
+            raise ValueError("an AVI file that ends early")
+        if n:
+            frames.append(decode_frame(data[at : at + n]))
+        elif frames:
+            frames.append(frames[-1])
+    return info, frames
 
 
 def read_payload(data: bytes) -> bytes:
     info, frames = read_frames(data)
+    if info["payload"] is None:
+        raise ValueError("not a file of write_avi")
     return np.concatenate(frames).tobytes()[: info["payload"]]
 
 
@@ -196,7 +245,8 @@ def clips(data: bytes) -> list[tuple[int, int, int, float, float, float]]:
 
 
 def _clips(info: dict, frames: list[np.ndarray]) -> list[tuple[int, int, int, float, float, float]]:
-    return [(k, a, b - a, a / info["fps"], b / info["fps"], float(np.mean([f.mean() for f in frames[a:b]]))) for k, (a, b) in enumerate(shots(frames))]
+    fps = info["fps"] or FPS
+    return [(k, a, b - a, a / fps, b / fps, float(np.mean([f.mean() for f in frames[a:b]]))) for k, (a, b) in enumerate(shots(frames))]
 
 
 def padded(data: bytes) -> bytes:
@@ -226,11 +276,17 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _clip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
+    names = [x.split()[0] for x in CLIP_SCHEMA.split(", ")]
     for batch in batches:
         for doc_id, media in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-            if media and (found := [(doc_id, *c) for c in clips(media)]):
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
-                names = [x.split()[0] for x in CLIP_SCHEMA.split(", ")]
+            if not media:
+                continue
+            try:
+                found = [(doc_id, *c, None) for c in clips(media)]
+            except (ValueError, struct.error, IndexError) as e:
+                found = [(doc_id, *[None] * 6, str(e) or type(e).__name__)]
+            if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
 
 
@@ -241,17 +297,25 @@ def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): each text as an AVI file. A null text is an empty one, stored as 64 zero bytes."""
+    """(doc_id, media): each text as an AVI file. A null text is an empty one, stored as 64 zero bytes; repeated rows each get a file, further columns are left out."""
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_media, "doc_id long, media binary")
 
 
 def clip_rows(media: DataFrame) -> DataFrame:
-    """Timed clip rows of a column of AVI files; none for null or empty files."""
+    """Timed clip rows of a column of AVI files of motion JPEG, this file's or others'; doc_id and media, further columns are left out.
+
+    None for null or empty files and for those without frames; a row with only doc_id and error for a file that can't be read (not AVI, cut off,
+    not baseline JPEG). Repeated rows each give theirs. A file is read in one task: memory is a few times its decoded frames.
+    """
     return media.selectExpr("cast(doc_id as long) doc_id", "media").mapInArrow(_clip_rows, CLIP_SCHEMA)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Each text stored as AVI and read back: lengths, digests and the clips as text. One row per row; a null or empty text has a payload of 64 zeros."""
+    """Each text stored as AVI and read back: lengths, digests and the clips as text. 
+
+    One row per row, repeated ones and those without doc_id included; a null or empty text has a payload of 64 zeros; long texts have more
+    frames; an empty table gives none; further columns, whatever their names, are left out.
+    """
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_digests, DIGEST_SCHEMA)
 
 
