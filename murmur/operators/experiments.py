@@ -30,6 +30,14 @@ def error_analysis(predictions: DataFrame, table: DataFrame, signals: Sequence[s
     return {"false_positives": worst("FP"), "false_negatives": worst("FN"), "uncertain": rows.orderBy("margin", "user_id").limit(top), "communities": per, "signals": means}
 
 
+def confusion(predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per key and cell of the confusion table (TP, FP, FN, TN; bots are positive): the labelled rows in it. Empty cells have no row."""
+    said = F.when(F.col("predicted_label") == "bot", "P").otherwise("N")
+    right = F.when(F.col("predicted_label") == F.col("label"), "T").otherwise("F")
+    rows = predictions.where(F.col("label").isin("bot", "human")).withColumn("outcome", F.concat(right, said))
+    return rows.groupBy(*by, "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def changed_predictions(before: DataFrame, after: DataFrame) -> DataFrame:
     """Users of both predictions with outcome: fixed, regressed, unchanged_wrong or unchanged_right."""
     a = before.select("user_id", "split", "label", "community_id", F.col("predicted_label").alias("before"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from murmur.plans import catalog
+from murmur.plans import catalog, small  # noqa: F401
 from tests.conftest import DATA, canonical
 
 
