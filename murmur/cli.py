@@ -65,7 +65,7 @@ def sample(c: Corpus, a: argparse.Namespace) -> dict:
     kept = seeds.select("user_id", F.lit(sampling.SEED_TWEETS).alias("quota"))
     context = near.select(F.col("candidate_id").alias("user_id")).distinct().join(seeds.select("user_id"), "user_id", "left_anti").join(users.select("user_id"), "user_id", "left_semi")
     kept = written(kept.unionByName(context.withColumn("quota", F.lit(sampling.CONTEXT_TWEETS))), "kept")
-    tweets, edges = written(c.tweets(), "tweets"), written(c.tweet_edges(), "edges")
+    tweets, edges = written(c.tweets(), "tweets"), written(c.tweet_edges().drop("place"), "edges")
     posts = edges.where("relation = 'post'").select(F.col("source_id").alias("user_id"), F.col("target_id").alias("tweet_id")).distinct()
     final = None
     for quota in (sampling.SEED_TWEETS, sampling.CONTEXT_TWEETS):
@@ -174,7 +174,7 @@ def build_user_vectors(c: Corpus, a: argparse.Namespace) -> dict:
 
 @command("build-temporal-profiles", least=8)
 def build_temporal_profiles(c: Corpus, a: argparse.Namespace) -> dict:
-    posts = c.tweet_edges().where("relation = 'post'").select(F.col("source_id").alias("user_id"), F.col("target_id").alias("tweet_id"), F.xxhash64("source_id").alias("ord"))
+    posts = c.tweet_edges().where("relation = 'post'").select(F.col("source_id").alias("user_id"), F.col("target_id").alias("tweet_id"), F.col("place").alias("ord"))
     return {"users": c.put(features.hour_histogram(features.tweet_authors(c.tweets(), posts), "ts", a.least), "temporal").count()}
 
 

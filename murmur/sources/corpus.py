@@ -26,12 +26,11 @@ class Corpus:
 
     def _json(self, stem: str, schema: str) -> DataFrame:
         path = scans.resolve(self.spark, self.root, f"{stem}.jsonl", f"{stem}.json")
-        return scans.read_records(self.spark, path, schema)
+        return scans.read_records(self.spark, path, schema, "place")
 
     def maps(self, name: str) -> DataFrame:
-        rows = scans.read_csv(self.spark, scans.resolve(self.spark, self.root, f"{name}.csv"))
+        rows = scans.read_csv(self.spark, scans.resolve(self.spark, self.root, f"{name}.csv"), "_order")
         clean = N.label(name) if name == "label" else N.split(name)
-        rows = rows.withColumn("_order", F.monotonically_increasing_id())
         return scans.read_map(rows, name, "_order").select(N.canonical_user_id("id").alias("user_id"), clean.alias(name))
 
     def users(self) -> DataFrame:
@@ -41,8 +40,9 @@ class Corpus:
         rows = u.select(
             N.canonical_user_id(N.user_id("id", "user_id", "id_str", "rest_id")).alias("user_id"), "username", "description", N.parse_timestamp("created_at").alias("created"),
             N.verified_bucket("verified").alias("verified_bucket"), N.followers("followers_count", f"{m}.followers_count").alias("followers_count"),
-            N.followings("friends_count", "following_count", f"{m}.following_count").alias("following_count"), N.tweet_counts("statuses_count", "tweet_count", f"{m}.tweet_count").alias("tweet_count_hint"),
-        ).dropDuplicates(["user_id"])
+            N.followings("friends_count", "following_count", f"{m}.following_count").alias("following_count"), N.tweet_counts("statuses_count", "tweet_count", f"{m}.tweet_count").alias("tweet_count_hint"), "place",
+        )
+        rows = scans.first_of(rows, "user_id")
         rows = rows.withColumn("degree_proxy", N.degree_proxy("followers_count", "following_count")).withColumn("pool", N.pool("tweet_count_hint"))
         rows = rows.withColumn("primary_pool", F.col("pool") == "primary").withColumn("sparse_pool", F.col("pool") == "sparse").drop("pool")
         for name in ("split", "label"):
@@ -55,19 +55,20 @@ class Corpus:
         if shards:
             t = None
             for path in shards:
-                part = scans.read_records(self.spark, path, TWEET)
+                part = scans.read_records(self.spark, path, TWEET, "place")
                 t = part if t is None else t.unionByName(part)
         else:
             t = self._json("tweet", TWEET)
         empty = lambda kind: F.from_json(F.lit("[]"), kind)
-        return t.select(
+        rows = t.select(
             N.user_id("id", "tweet_id", "id_str").alias("tweet_id"), N.canonical_user_id("author_id").alias("user_id"), "text", N.parse_timestamp("created_at").alias("ts"), "lang", "source", "in_reply_to_user_id",
             F.coalesce("referenced_tweets", empty("array<struct<id:string,type:string>>")).alias("references"), F.coalesce("entities.urls", empty("array<struct<expanded_url:string,display_url:string,url:string>>")).alias("urls"),
-            F.col("public_metrics").isNotNull().alias("has_metrics"),
-        ).dropDuplicates(["tweet_id"])
+            F.col("public_metrics").isNotNull().alias("has_metrics"), "place",
+        )
+        return scans.first_of(rows, "tweet_id")
 
     def raw_edges(self) -> DataFrame:
-        return scans.read_csv(self.spark, scans.resolve(self.spark, self.root, "edge.csv")).select("source_id", "target_id", "relation")
+        return scans.read_csv(self.spark, scans.resolve(self.spark, self.root, "edge.csv"), "place").select("source_id", "target_id", "relation", "place")
 
     def follows(self) -> DataFrame:
         """(source, target): follower to followed, canonical."""
@@ -76,15 +77,15 @@ class Corpus:
         return rows.select(N.canonical_user_id("e.source").alias("source"), N.canonical_user_id("e.target").alias("target"))
 
     def tweet_edges(self) -> DataFrame:
-        """(source_id, target_id, relation) of posts, retweets, quotes, replies and mentions; users' ids canonical."""
+        """(source_id, target_id, relation, place) of posts, retweets, quotes, replies and mentions; users' ids canonical."""
         kind = N.tweet_relation("relation")
-        rows = self.raw_edges().select("source_id", "target_id", kind.alias("relation")).where("relation is not null")
+        rows = self.raw_edges().select("source_id", "target_id", kind.alias("relation"), "place").where("relation is not null")
         source = F.when(F.col("relation") == "post", N.canonical_user_id("source_id")).otherwise(F.col("source_id"))
         target = F.when(F.col("relation") == "mention", N.canonical_user_id("target_id")).otherwise(F.col("target_id"))
-        return rows.select(source.alias("source_id"), target.alias("target_id"), "relation")
+        return rows.select(source.alias("source_id"), target.alias("target_id"), "relation", "place")
 
     def edges(self) -> DataFrame:
-        return self.tweet_edges().unionByName(self.follows().select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("following").alias("relation")))
+        return self.tweet_edges().drop("place").unionByName(self.follows().select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("following").alias("relation")))
 
     # --- stages' tables
 

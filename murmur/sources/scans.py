@@ -37,48 +37,63 @@ def shards(spark: SparkSession, folder: str, stem: str = "tweet_*") -> list[str]
     return sorted({f for suffix in ("json", "jsonl") for f in _files(spark, f"{folder}/{stem}.{suffix}")})
 
 
-def read_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All cells as strings; null cells are empty strings."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"').na.fill("")
+def _placed(df: DataFrame, place: str | None) -> DataFrame:
+    """df, as a reader gives it, with a column that ascends in the order of the files' records: path, start of the split, number in the split."""
+    if place is None:
+        return df
+    parts = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("nth")
+    return df.select("*", F.struct(*parts).alias(place))
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None) -> DataFrame:
+def first_of(df: DataFrame, key: str, place: str = "place") -> DataFrame:
+    """The first record of each key by `place`, which is dropped."""
+    columns = [c for c in df.columns if c not in (key, place)]
+    return df.groupBy(key).agg(F.min_by(F.struct(*columns), place).alias("r")).select(key, *[F.col(f"r.`{c}`") for c in columns])
+
+
+def read_csv(spark: SparkSession, path: str | list[str], place: str | None = None) -> DataFrame:
+    """All cells as strings; null cells are empty strings. place: a column for the order of records, as in the further readers."""
+    return _placed(spark.read.csv(path, header=True, inferSchema=False, multiLine=False, escape='"'), place).na.fill("")
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, place: str | None = None) -> DataFrame:
     """One record a line; blank lines are skipped, a broken line raises."""
     reader = spark.read.option("mode", "FAILFAST")
-    return (reader.schema(schema) if schema else reader).json(path)
+    return _placed((reader.schema(schema) if schema else reader).json(path), place)
 
 
-def read_json_array(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str | list[str], schema: str | T.StructType | None = None, place: str | None = None) -> DataFrame:
     """A file that is one array of records. Such a file is read by one task: convert it once."""
     reader = spark.read.option("mode", "FAILFAST").option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
+    return _placed((reader.schema(schema) if schema else reader).json(path), place)
 
 
-def read_json_object(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
+def read_json_object(spark: SparkSession, path: str | list[str], schema: str | T.StructType, place: str | None = None) -> DataFrame:
     """An object that wraps records under a known key, as an array or by id; or else each value that is an object, with `id` from its key."""
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    text = spark.read.text(path, wholetext=True)
+    text = _placed(spark.read.text(path, wholetext=True), "place")
     inner = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in WRAPPERS])
-    body = text.select(F.coalesce(inner, F.col("value")).alias("body"))
-    array = body.where(F.ltrim("body").startswith("[")).select(F.explode(F.from_json("body", T.ArrayType(kind))).alias("r"), F.lit(None).cast("string").alias("k"))
-    named = body.where(F.ltrim("body").startswith("{")).select(F.explode(F.from_json("body", T.MapType(T.StringType(), T.StringType()))).alias("k", "v"))
-    named = named.where(F.ltrim("v").startswith("{")).select(F.from_json("v", kind).alias("r"), "k")
+    body = text.select(F.coalesce(inner, F.col("value")).alias("body"), "place")
+    array = body.where(F.ltrim("body").startswith("[")).select("place", F.posexplode(F.from_json("body", T.ArrayType(kind))).alias("n", "r")).withColumn("k", F.lit(None).cast("string"))
+    named = body.where(F.ltrim("body").startswith("{")).select("place", F.posexplode(F.from_json("body", T.MapType(T.StringType(), T.StringType()))).alias("n", "k", "v"))
+    named = named.where(F.ltrim("v").startswith("{")).select("place", "n", F.from_json("v", kind).alias("r"), "k")
     rows = array.unionByName(named)
     fields = [F.coalesce(F.col("r.id").cast("string"), F.col("k")).alias("id") if f.name == "id" else F.col(f"r.`{f.name}`").alias(f.name) for f in kind.fields]
-    return rows.select(*fields)
+    nth = F.struct("place.path", "place.start", F.col("n").cast("long").alias("nth"))
+    return rows.select(*fields, *([nth.alias(place)] if place else []))
 
 
-def read_records(spark: SparkSession, path: str, schema: str | T.StructType | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str | T.StructType | None = None, place: str | None = None) -> DataFrame:
     """JSON of any of these forms, told apart by suffix and the first character that is not blank."""
     if path.endswith((".jsonl", ".ndjson")):
-        return read_jsonl(spark, path, schema)
+        return read_jsonl(spark, path, schema, place)
     head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
     first = head[0].value.lstrip()[:1] if head else "["
     if first == "[":
-        return read_json_array(spark, path, schema)
+        return read_json_array(spark, path, schema, place)
     if schema is None:
         raise ValueError("a JSON object needs a schema")
-    return read_json_object(spark, path, schema)
+    return read_json_object(spark, path, schema, place)
 
 
 def with_raw(df: DataFrame) -> DataFrame:

@@ -70,3 +70,28 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(events) s from types").first().s <= events.count()
+
+
+def test_first_and_last_records_follow_the_files(spark, tmp_path):
+    """Over files cut into many splits, which tasks take by size and not in order."""
+    rows = [(f"u{k * 7 % 50}", f"v{k}" + "x" * (k % 30)) for k in range(600)]
+    (tmp_path / "label.csv").write_text("id,label\n" + "\n".join(map(",".join, rows)))
+    for name, part in (("tweet_1.jsonl", rows[:250]), ("tweet_2.jsonl", rows[250:])):
+        (tmp_path / name).write_text("\n".join(json.dumps({"id": a, "name": b}) for a, b in part))
+    (tmp_path / "a.json").write_text(json.dumps([{"id": a, "name": b} for a, b in rows]))
+    (tmp_path / "w.json").write_text(json.dumps({"data": [{"id": a, "name": b} for a, b in rows]}))
+    first = {}
+    for a, b in rows:
+        first.setdefault(a, b)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        cells = scans.read_csv(spark, str(tmp_path / "label.csv"), "at")
+        assert cells.rdd.getNumPartitions() > 8
+        assert dict(map(tuple, scans.read_map(cells, "label", "at").collect())) == dict(rows)
+        shards = scans.read_jsonl(spark, scans.shards(spark, str(tmp_path)), KIND, "place")
+        assert dict(map(tuple, scans.first_of(shards, "id").collect())) == first
+        for name in ("a.json", "w.json"):
+            assert dict(map(tuple, scans.first_of(scans.read_records(spark, str(tmp_path / name), KIND, "place"), "id").collect())) == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
