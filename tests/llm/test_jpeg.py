@@ -170,3 +170,33 @@ def test_files_of_other_writers(spark):
         assert [(r.first_frame, r.n_frames, r.start_s, r.error) for r in got if r.doc_id == k] == [(0, 3, 0.0, None), (3, 2, 0.12, None)]
     assert {r.doc_id: r.clip for r in got if r.error} == {9: None, 12: None, 13: None}
     assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 9, 12, 13}
+
+
+def plain_feature(payload: bytes) -> str:
+    """Clips of the stored levels, frame by frame: start and end in seconds and mean level."""
+    size = min(4096, len(payload) // 64 * 64)
+    payload += bytes(-len(payload) % size)
+    frames = [payload[k : k + size] for k in range(0, len(payload), size)]
+    share = [[sum(v // 16 == b for v in f) / size for b in range(16)] for f in frames]
+    clips, seen = [[0]], []
+    for k in range(1, len(frames)):
+        apart = sum(abs(x - y) for x, y in zip(share[k], share[k - 1], strict=True)) / 2
+        mean = sum(seen) / len(seen) if seen else 0.0
+        spread = math.sqrt(sum((x - mean) ** 2 for x in seen) / len(seen)) if seen else 0.0
+        if apart > max(0.1, mean + 3 * spread):
+            clips.append([])
+            seen = []
+        else:
+            seen.append(apart)
+        clips[-1].append(k)
+    level = lambda part: sum(sum(frames[k]) / size for k in part) / len(part)
+    return ";".join(f"{part[0] / 25:.2f}-{(part[-1] + 1) / 25:.2f}:{level(part):.3f}" for part in clips)
+
+
+def test_features_equal_a_plain_version(spark):
+    long = "".join(c * 4096 * n for c, n in (("a", 3), ("é", 2), ("~", 1), ("0", 4))) + "abc ~é" * 3000
+    texts = [None, "", "x", "a" * 64, long, "word " * 5000]
+    got = {r.doc_id: r for r in media.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].feature == plain_feature(media.padded((t or "").encode())), k
+    assert got[4].n_clips > 3
