@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.llm import bpe, mixing, near_dup, secrets, toxicity
-from murmur.llm.base import table, written
+from murmur.llm.base import ordered, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture: files by ranges of its places, rows in each by place.
+    """All documents, in the order of the mixture: files by ranges of its places, rows in each by place. `encode` reads that order.
 
     Null and unknown sources share a weight; rows that share a doc_id, or have none, go by the digests of their texts; equal rows are
     interchangeable. No row is left out, an empty table stays empty, and further columns stay as they are.
@@ -63,14 +63,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 and mix_position of each document, in the order of the mixture.
+    """doc_id, source, n_tokens, ids_sha256, decoded_sha256 and mix_position of each document, in the order in which mixing wrote the documents.
 
-    Readers split and reorder files, so the place of each row comes from the mixture's schedule of the same rows, over narrow columns. Null and
-    empty texts have no ids; repeated rows each get a row; an empty table gives none.
+    Readers split and reorder files, so each row takes its file's number and its place in the file with it: the result is sorted by them, and
+    the places of the mixture are dealt to the rows of a source in that order. Null and empty texts have no ids; repeated rows each get a row; an
+    empty table gives none.
     """
-    # written, as sorting by place reads it twice
-    out = mixing.positions(written(bpe.digests(docs, *bpe.default_vocabulary(), keep=("source",)), "digests"), "decoded_sha256")
-    return out.repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+    docs = ordered(docs, "doc_id", "text", "source")
+    # written, as sorting reads it twice
+    found = written(bpe.digests(docs, *bpe.default_vocabulary(), keep=("source", "run", "row")), "digests")
+    return mixing.positions(found, "run", "row").repartitionByRange("run", "row").sortWithinPartitions("run", "row").drop("run", "row")
 
 
 STAGES = [

@@ -7,10 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from murmur.sources.shared import drop_written, shared_dir, written
 
-__all__ = ["drop_written", "fresh", "partitions", "pieces", "raw", "shared_dir", "table", "written"]
+__all__ = ["drop_written", "fresh", "ordered", "partitions", "pieces", "raw", "shared_dir", "table", "written"]
+
+#: Rows of a file that `ordered` puts in one run at most.
+RUN = 1 << 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +58,20 @@ def fresh(columns: list[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def ordered(df: DataFrame, *columns: str) -> DataFrame:
+    """These columns of df, and the order of its rows: `run`, texts in that order, of at most RUN rows each, and `row`, numbers in a run.
+
+    Rows of a Parquet table go as they were written: by the numbers Spark gave the files, then by path, then by place in the file; readers deal
+    them out otherwise. Any other frame is written first, so its rows go by partition and by place in it.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    hidden = plan.metadataOutput()  # a frame with more than the scan has the scan's too, but not its own order in it
+    if not plan.children().isEmpty() or hidden.isEmpty() or "row_index:" not in hidden.apply(0).dataType().simpleString():
+        df = written(df.select(*[F.col(f"`{c}`") for c in columns]), "ordered")
+    at = df.metadataColumn("_metadata")
+    number = lambda pattern: F.lpad(F.regexp_extract(at["file_name"], pattern, 1), 10, "0")
+    within = F.lpad(F.floor(at["row_index"] / RUN).cast("string"), 10, "0")
+    run = F.concat_ws("/", number(r"^part-(\d+)"), number(r"-c(\d+)\."), at["file_path"], within)
+    return df.select(*[F.col(f"`{c}`") for c in columns], run.alias("run"), at["row_index"].alias("row"))

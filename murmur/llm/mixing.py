@@ -68,11 +68,12 @@ def period_table(spark: SparkSession, parts: dict[str, int]) -> DataFrame:
 
 def mix(
     df: DataFrame, weights: dict[str, float], other: float = OTHER_WEIGHT, block: int = BLOCK, period: int = 1000,
-    source: str = "source", key: str = "doc_id", digits: int = DIGITS, ties: Column | None = None, digested: bool = False,
+    source: str = "source", key: str = "doc_id", digits: int = DIGITS, ties: Column | None = None, at: tuple[str, str] | None = None,
 ) -> DataFrame:
     """df with `stream`, `block_no`, `slot`, `release`, `deadline` and `mix_position`, which orders the mixture.
 
-    ties: what orders rows of one key instead, a text or (digested) a digest. A null source counts as unlisted; unlisted sources form one stream with weight `other`, and are left out where that is 0. Repeated
+    ties: a text that orders rows of one key instead. at: two columns that order the rows instead of the key, a part (a window holds one, of one
+    source) and a place in it, as `ordered` gives them. A null source counts as unlisted; unlisted sources form one stream with weight `other`, and are left out where that is 0. Repeated
     keys each keep their own place, in the order of a digest of the whole row, so only rows that are equal in all columns can change places; a
     null key orders as an empty one. An empty table gives no rows. Columns of df that have one of the new names are replaced; all others,
     whatever their names, stay as they are.
@@ -83,17 +84,17 @@ def mix(
     keep = [c for c in df.columns if c.lower() not in NEW]
     stream_, order_, tie_, part_, n_, before_, nth_, no_, q_, slot_ = fresh([*df.columns, *NEW], "stream_", "order", "tie", "part", "n", "before", "nth", "no", "q", "slot0")
     stream: Column = F.when(named(source).isin(listed), named(source)).otherwise(F.lit(OTHER)).alias(stream_)
-    order = F.md5(F.coalesce(named(key).cast("string"), F.lit(""))).alias(order_)
+    order = F.md5(F.coalesce(named(key).cast("string"), F.lit("")))
+    part = named(at[0]) if at else F.substring(order, 1, digits)
     whole = F.to_json(F.struct(*[F.struct(named(c).alias("v")).alias(f"c{k}") for k, c in enumerate(keep)])) if ties is None else ties
-    tie = (whole if digested else F.sha2(whole, 256)).alias(tie_)
-    rows = df.select(*[named(c) for c in keep], stream, order, tie)
-    rows = rows.where(F.col(stream_).isin(list(parts))).withColumn(part_, F.substring(order_, 1, digits))
+    by = [named(at[1]).alias(order_), F.lit(None).alias(tie_)] if at else [order.alias(order_), F.sha2(whole, 256).alias(tie_)]
+    rows = df.select(*[named(c) for c in keep], stream, part.alias(part_), *by).where(F.col(stream_).isin(list(parts)))
     # a row's number within its stream: the rows of the parts before its part, and its number within the part
-    counts = df.select(stream, order).groupBy(stream_, F.substring(order_, 1, digits).alias(part_)).agg(F.count(F.lit(1)).alias(n_))
+    counts = df.select(stream, part.alias(part_)).groupBy(stream_, part_).agg(F.count(F.lit(1)).alias(n_))
     before = counts.withColumn(before_, F.sum(n_).over(Window.partitionBy(stream_).orderBy(part_)) - F.col(n_)).drop(n_)
     within = Window.partitionBy(stream_, part_).orderBy(order_, tie_)
     rows = rows.withColumn(nth_, F.row_number().over(within) - 1).drop(order_, tie_)
-    # streams x 16**digits rows at most, and one row for each slot of a period
+    # streams x parts rows at most (16**digits parts, or those of `at`), and one row for each slot of a period
     rows = rows.join(F.broadcast(before), [stream_, part_])
     q = F.create_map(*[F.lit(x) for k, v in parts.items() for x in (k, v)])[F.col(stream_)].cast("long")
     rows = rows.withColumn(no_, (F.col(before_) + F.col(nth_)).cast("long")).withColumn(q_, q).drop(nth_)
@@ -116,7 +117,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def in_order(df: DataFrame) -> DataFrame:
     """The rows of df (doc_id, source, text, ...) in the order of the mixture: range-partitioned and sorted by mix_position, with the columns of df.
 
-    Rows that share a doc_id go by the digest of their text, so that `positions` of a narrow table gives them the same places.
+    Rows that share a doc_id go by the digest of their text.
     """
     (place,) = fresh(df.columns, "mix_position")
     out = mix(df.drop("mix_position"), WEIGHTS, ties=F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -126,9 +127,12 @@ def in_order(df: DataFrame) -> DataFrame:
     return out.select(*[F.col(place).alias(c) if c == "mix_position" else F.col(f"`{c}`") for c in df.columns])
 
 
-def positions(df: DataFrame, text_digest: str) -> DataFrame:
-    """df (doc_id, source, ...) with mix_position: the places that `in_order` gives these rows, whose texts have the SHA-256 digest in a column of df."""
-    out = mix(df, WEIGHTS, ties=F.col(f"`{text_digest}`"), digested=True)
+def positions(df: DataFrame, part: str, place: str) -> DataFrame:
+    """df (doc_id, source, ...) with mix_position: the schedule's places for each source's rows in the order of two columns, as `ordered` gives them.
+
+    For a table that `in_order` has put in order and that was written since, these are the places it found.
+    """
+    out = mix(df, WEIGHTS, at=(part, place))
     return out.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != "mix_position"], "mix_position")
 
 

@@ -4,6 +4,7 @@ import hashlib
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from murmur.llm import base, bpe, mixing, registry, secrets, toxicity
@@ -105,6 +106,45 @@ def test_mixture_holds_over_many_files(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_encoding_follows_the_order_that_mixing_hands_on(spark, tmp_path):
+    """Any other order of the same rows, over files of several sizes, gives that order and other places, not the mixture's found anew."""
+    docs = base.table(spark, f"{DATA}/sf0.001", "documents").orderBy(F.desc("doc_id"))
+    pdf = docs.toPandas()
+    cut = [0, 20, 27, 150, len(pdf)]
+    for k, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
+        spark.createDataFrame(pdf[lo:hi], docs.schema).coalesce(1).write.parquet(str(tmp_path / str(k)))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        for f in (tmp_path / str(k)).glob("*.parquet"):
+            f.rename(tmp_path / "all" / f.name.replace("part-00000", f"part-{99998 + k:05d}"))  # 100000 comes after 99999
+    other = spark.read.parquet(str(tmp_path / "all"))
+    parts = mixing.shares(mixing.WEIGHTS, mixing.OTHER_WEIGHT, 1000)
+    slots = {}
+    for slot, i in enumerate(pfair(list(parts.values()))):
+        slots.setdefault(list(parts)[i], []).append(slot)
+    counts, want = {}, {}
+    for i, s in zip(pdf.doc_id, pdf.source, strict=True):
+        s = s if s in parts else mixing.OTHER
+        n = counts[s] = counts.get(s, -1) + 1
+        block = n // mixing.BLOCK
+        want[i] = (block // parts[s] * 1000 + slots[s][block % parts[s]]) * mixing.BLOCK + n % mixing.BLOCK
+    # a table that was read, and frames whose partitions have an order but whose files have none or another
+    mixed = {r.doc_id: r.mix_position for r in mixing.mix(docs, mixing.WEIGHTS).collect()}
+    for frame, places, order in ((other, want, list(pdf.doc_id)), (docs, want, list(pdf.doc_id)), (corpus_pipeline.mix_sources(spark, other, ""), mixed, sorted(mixed, key=mixed.get))):
+        rows = corpus_pipeline.encode(spark, frame, "").collect()
+        assert [r.doc_id for r in rows] == order
+        assert {r.doc_id: r.mix_position for r in rows} == places
+
+
+def test_runs_of_one_large_file_are_split(spark, monkeypatch):
+    monkeypatch.setattr(base, "RUN", 16)
+    docs = base.table(spark, f"{DATA}/sf0.001", "documents")
+    mixed = base.written(corpus_pipeline.mix_sources(spark, docs, "").withColumnRenamed("lang", "_metadata").coalesce(1), "test")
+    runs = base.ordered(mixed, "doc_id").groupBy("run").count().collect()
+    assert len(runs) == -(-docs.count() // 16) and max(r["count"] for r in runs) == 16
+    place = {r.doc_id: r.mix_position for r in mixing.mix(docs, mixing.WEIGHTS).collect()}
+    assert [(r.doc_id, r.mix_position) for r in corpus_pipeline.encode(spark, mixed, "").collect()] == sorted(place.items(), key=lambda x: x[1])
+
+
 def test_one_row_of_a_repeated_document_stays(spark):
     rng = common.random.Random(3)
     t, u = common.sentence(rng, 80), common.sentence(rng, 70)
