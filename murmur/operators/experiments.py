@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler, Word2Vec
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import normalize as N
 from murmur.operators import community, evaluate, features, graph
-from murmur.sources.shared import written
+from murmur.sources.shared import numbered, written
 
 # --- error analysis ----------------------------------------------------------------------------------------------------------------------
 
@@ -227,6 +230,9 @@ def baseline_summary(results: dict[str, DataFrame]) -> DataFrame:
 
 # --- walks -------------------------------------------------------------------------------------------------------------------------------
 
+#: Directed edges of a graph that each task of walks() holds, 600 MB; nodes whose walks it makes at once; neighbours it weighs at once.
+WALK_EDGES, WALK_BLOCK, WALK_CELLS = 150_000_000, 2_000, 1_000_000
+
 
 def walk_graph(follows: DataFrame, labelled: DataFrame) -> DataFrame:
     """(node, neighbours): the follow graph of labelled users, undirected, without self-loops; neighbours sorted."""
@@ -237,11 +243,107 @@ def walk_graph(follows: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def walks(near: DataFrame, number: int = 10, length: int = 40, seed: int = 42, p: float = 1.0, q: float = 1.0, stride: int = 10) -> DataFrame:
-    """(node, walk): `number` walks of `length` nodes from each node; with p = q = 1 uniform, else biased: 1/p back, 1 to a common neighbour, 1/q on.
+    """(node, nth, walk): `number` walks of `length` nodes from each node; with p = q = 1 uniform, else biased: 1/p back, 1 to a common neighbour, 1/q on.
 
-    All walks step at once, a join a step on the walk's last node; a hash of seed, walk and step picks the neighbour, so walks don't depend on
-    partitioning. Every `stride` steps the walks so far are a table in the shared folder.
+    Neighbours are taken in the order of their ids; a hash of seed, start, walk and step picks one, so walks don't depend on partitioning. Each
+    task gets the whole graph as numbers once and walks from its own nodes, so that no step moves anything. A graph of more than WALK_EDGES
+    directed edges is walked in joins.
     """
+    near = written(near.select("node", F.coalesce("neighbours", F.array().cast(near.schema["neighbours"].dataType)).alias("neighbours")), "walk-graph")
+    edges = near.agg(F.sum(F.size("neighbours")).alias("m")).first().m or 0
+    if edges > WALK_EDGES:
+        return _walks_in_joins(near, number, length, seed, p, q, stride)
+    links = near.select("node", F.explode("neighbours").alias("other"))
+    ids = numbered(near.select("node").unionByName(links.select(F.col("other").alias("node"))).distinct(), "node")
+    ids = written(ids, "walk-nodes")
+    lists = links.join(ids.withColumnsRenamed({"node": "other", "number": "_to"}), "other").join(ids, "node").groupBy("number").agg(F.array_sort(F.collect_list("_to")).alias("near"))
+    rows = ids.join(near.select("node", F.lit(True).alias("starts")), "node", "left").join(lists, "number", "left")
+    tasks = near.sparkSession.sparkContext.defaultParallelism
+    kind, nodes = near.schema["node"].dataType.simpleString(), ids.count()
+    walk = partial(_walk, nodes=nodes, edges=edges, tasks=tasks, number=number, length=length, seed=seed, p=p, q=q)
+    return graph.copied(rows.select("number", "node", F.coalesce("starts", F.lit(False)).alias("starts"), F.coalesce("near", F.array().cast("array<int>")).alias("near")), tasks).mapInArrow(walk, f"node {kind}, nth int, walk array<{kind}>")
+
+
+def _walk(batches: Iterator[pa.RecordBatch], nodes: int, edges: int, tasks: int, number: int, length: int, seed: int, p: float, q: float) -> Iterator[pa.RecordBatch]:
+    """The walks of one task from a whole graph's rows (number, node, starts, near, _task)."""
+    first, degree, flat, starts = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64), np.empty(edges, np.int32), np.zeros(nodes, bool)
+    names, places, filled, task = [], [], 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at, near = batch["number"].to_numpy(), batch["near"]
+        offsets = near.offsets.to_numpy()
+        size = np.diff(offsets)
+        first[at], degree[at] = filled + offsets[:-1] - offsets[0], size
+        flat[filled : filled + size.sum()] = near.values.to_numpy()[offsets[0] : offsets[-1]]
+        starts[at] = batch["starts"].to_numpy(zero_copy_only=False)
+        names.append(batch["node"])
+        places.append(at)
+        filled, task = filled + int(size.sum()), batch["_task"][0].as_py()
+    if task is None:
+        return
+    node = pa.concat_arrays(names).take(pa.array(np.argsort(np.concatenate(places))))
+    own = np.flatnonzero(starts)
+    own = own[own % tasks == task]
+    for lo in range(0, len(own), WALK_BLOCK):
+        start = np.repeat(own[lo : lo + WALK_BLOCK], number)
+        nth = np.tile(np.arange(1, number + 1, dtype=np.int32), len(start) // number)
+        text = [f"{seed}|{x}|{k}|".encode() for x, k in zip(node.take(pa.array(start)).cast(pa.string()).to_pylist(), nth.tolist(), strict=True)]
+        trace, steps = np.empty((len(start), length), np.int32), np.ones(len(start), np.int64)
+        trace[:, 0], going = start, np.arange(len(start))
+        for step in range(1, length):
+            going = going[degree[trace[going, step - 1]] > 0]
+            if not len(going):
+                break
+            now, end = trace[going, step - 1].astype(np.int64), str(step).encode()
+            h = np.array([int.from_bytes(hashlib.sha1(text[k] + end).digest()[:6], "big") for k in going.tolist()], np.int64)
+            if p == q == 1.0:
+                place = h % degree[now]
+            else:
+                place = _biased(first, degree, flat, now, trace[going, step - 2].astype(np.int64) if step > 1 else None, h / float(16**12), p, q)
+            trace[going, step] = flat[first[now] + place]
+            steps[going] += 1
+        ends = np.concatenate([[0], np.cumsum(steps)]).astype(np.int32)
+        found = node.take(pa.array(trace[np.arange(length) < steps[:, None]]))
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(start)), pa.array(nth), pa.ListArray.from_arrays(pa.array(ends), found)], ["node", "nth", "walk"])
+
+
+def _biased(first: np.ndarray, degree: np.ndarray, flat: np.ndarray, now: np.ndarray, before: np.ndarray | None, share: np.ndarray, p: float, q: float) -> np.ndarray:
+    """For each walk the place of the first neighbour whose cumulated weight is more than its share of all weights. Walks of like degrees are
+    laid out as a matrix of some million cells; neighbours are sorted, so those in common are found by binary search."""
+    place, nodes = np.empty(len(now), np.int64), len(degree)
+    order = np.argsort(degree[now], kind="stable")
+    reach = degree[now[order]] if before is None else degree[now[order]] + degree[before[order]]
+    lo = 0
+    while lo < len(order):
+        # as many walks as have WALK_CELLS neighbours, one at least; the widest of them is the last
+        hi = lo + max(1, int(np.searchsorted(np.cumsum(reach[lo : lo + WALK_CELLS]), WALK_CELLS)))
+        part = order[lo:hi]
+        size = degree[now[part]]
+        column = np.arange(int(size.max()))
+        inside = column < size[:, None]
+        other = flat[np.where(inside, first[now[part]][:, None] + column, 0)].astype(np.int64)
+        if before is None:
+            weight = inside.astype(np.float64)
+        else:
+            last = before[part]
+            reached = degree[last]
+            owner = np.repeat(np.arange(len(part)), reached)
+            known = owner * nodes + flat[first[last][owner] + np.arange(int(reached.sum())) - (np.cumsum(reached) - reached)[owner]]
+            key = np.arange(len(part))[:, None] * nodes + other
+            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            common = known[at] == key if len(known) else np.zeros(key.shape, bool)
+            weight = np.where(inside, np.where(other == last[:, None], 1 / p, np.where(common, 1.0, 1 / q)), 0.0)
+        grown = np.cumsum(weight, axis=1)
+        passed = (grown <= (grown[:, -1] * share[part])[:, None]) & inside
+        place[part] = np.minimum(passed.sum(axis=1), size - 1)
+        lo = hi
+    return place
+
+
+def _walks_in_joins(near: DataFrame, number: int, length: int, seed: int, p: float, q: float, stride: int) -> DataFrame:
+    """The same walks of any graph: all of them step at once, a join a step on the walk's last node. Every `stride` steps the walks so far are a table in the shared folder."""
+    near = near.withColumn("neighbours", F.array_sort("neighbours"))
     rows = near.select(F.col("node").alias("start"), F.explode(F.sequence(F.lit(1), F.lit(number))).alias("nth")).withColumn("walk", F.array("start"))
     biased = p != 1.0 or q != 1.0
     for step in range(1, length):
@@ -251,8 +353,9 @@ def walks(near: DataFrame, number: int = 10, length: int = 40, seed: int = 42, p
             choice = F.element_at("_next", (h % F.size("_next") + 1).cast("int"))
         else:
             at = at.withColumn("_prev", F.try_element_at("walk", F.lit(-2))).join(near.withColumnsRenamed({"node": "_prev", "neighbours": "_before"}), "_prev", "left")
-            weight = lambda x: F.when(F.col("_prev").isNull(), 1.0).when(x == F.col("_prev"), 1 / p).when(F.array_contains("_before", x), 1.0).otherwise(1 / q)
-            at = at.withColumn("_weights", F.transform("_next", weight))
+            # intersected once by hash: only what is common is searched for each neighbour
+            weight = lambda x: F.when(F.col("_prev").isNull(), 1.0).when(x == F.col("_prev"), 1 / p).when(F.array_contains("_common", x), 1.0).otherwise(1 / q)
+            at = at.withColumn("_common", F.array_intersect("_next", "_before")).withColumn("_weights", F.transform("_next", weight))
             at = at.withColumn("_cut", F.aggregate("_weights", F.lit(0.0), lambda s, x: s + x) * (h / F.lit(float(16**12))))
             found = F.aggregate(
                 F.arrays_zip("_next", "_weights"), F.struct(F.lit(0.0).alias("s"), F.element_at("_next", -1).alias("c"), F.lit(False).alias("done")),

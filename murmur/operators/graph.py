@@ -64,6 +64,11 @@ def cosine_topk(vectors: DataFrame, k: int, key: str = "id", vector: str = "vect
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def copied(rows: DataFrame, tasks: int) -> DataFrame:
+    """rows once for each of some tasks, whose number is in _task: the partition of that number has them, and nothing else."""
+    return rows.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartitionById(tasks, F.col("_task"))
+
+
 def _union(sources: tuple[DataFrame, ...]) -> DataFrame:
     out = sources[0].select("source", "target")
     for s in sources[1:]:

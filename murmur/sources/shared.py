@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,12 @@ def drop_written(df: DataFrame) -> None:
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         at, fs = _fs(df.sparkSession, folder)
         fs.delete(at, True)
+
+
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows (distinct keys) with their number from 0 in the order of the key. Ranges of keys are numbered for themselves, so no task has all rows."""
+    parts = written(rows.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    first = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    number = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1 + F.col("_first")
+    return parts.join(F.broadcast(first), "_part").withColumn("number", number.cast("int")).drop("_part", "_first")
