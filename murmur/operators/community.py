@@ -15,12 +15,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.operators.components import components
 from murmur.operators.graph import adjacency
-from murmur.sources.shared import drop_written, written
+from murmur.sources.shared import drop_written, numbered, written
 
 EPS = 1e-12
 #: Edges of a component that one task takes: some 2 GB as Python dictionaries.
@@ -383,10 +384,11 @@ def community_ids(labels: DataFrame) -> DataFrame:
 
 
 def mutual_best(edges: DataFrame) -> DataFrame:
-    """Approximate agglomeration in joins: each community picks its best positive gain (ties by id), and pairs that pick each other merge. (node, community).
+    """Approximate agglomeration in rounds: each community picks its best positive gain (ties by id), and pairs that pick each other merge. (node, community).
 
     Rounds end when no merger has a positive gain. The best pair of all always merges, as a pair's gain is computed once for both of its ends. A
-    hub merges with one neighbour a round, so rounds may be as many as a hub has neighbours.
+    hub merges with one neighbour a round, so rounds may be as many as a hub has neighbours. A round is some joins while there are more than
+    LARGEST links; what is left then is finished by the same rounds over arrays in one task.
     """
     total = 2 * (edges.where("a <> b").agg(F.sum("weight").alias("w")).first().w or 0.0)
     both = adjacency(edges.where("a <> b"))
@@ -394,7 +396,7 @@ def mutual_best(edges: DataFrame) -> DataFrame:
     stats = written(both.groupBy(F.col("node").alias("c")).agg(F.sum("weight").alias("v")).withColumn("i", F.lit(0.0)), "mutual")
     links = written(both.groupBy(F.col("node").alias("x"), F.col("other").alias("y")).agg(F.sum("weight").alias("w")), "mutual")
     term = lambda v, i: entropy_term(v, i, F.lit(total))
-    while True:
+    while links.count() > 2 * LARGEST:
         pair = links.where("x < y").join(stats.selectExpr("c as x", "v as vx", "i as ix"), "x").join(stats.selectExpr("c as y", "v as vy", "i as iy"), "y")
         gain = term(F.col("vx"), F.col("ix")) + term(F.col("vy"), F.col("iy")) - term(F.col("vx") + F.col("vy"), F.col("ix") + F.col("iy") + F.col("w"))
         pair = pair.select("x", "y", F.round(gain, 12).alias("g")).where(F.col("g") > EPS)
@@ -413,3 +415,64 @@ def mutual_best(edges: DataFrame) -> DataFrame:
         links = written(moved.where("x <> y").groupBy("x", "y").agg(F.sum("w").alias("w")), "mutual")
         for df in old:
             drop_written(df)
+    ids = written(numbered(stats.select("c"), "c"), "mutual")
+    number = lambda c: ids.withColumnsRenamed({"c": c, "number": f"_{c}"})
+    pairs = links.where("x < y").join(number("x"), "x").join(number("y"), "y").selectExpr("_x as x", "_y as y", "w", "0D as i")
+    rows = pairs.unionByName(stats.join(number("c"), "c").selectExpr("_c as x", "-1 as y", "v as w", "i"))
+    found = rows.repartition(1).mapInArrow(lambda batches: _mutual_rounds(batches, total), "number int, _to int")
+    ends = found.join(ids.withColumnRenamed("c", "community"), "number").join(ids.selectExpr("number as _to", "c as _new"), "_to").select("community", "_new")
+    return labels.join(ends, "community").selectExpr("node", "_new as community")
+
+
+def _mutual_rounds(batches: Iterator[pa.RecordBatch], total: float) -> Iterator[pa.RecordBatch]:
+    """(number, _to): the last community of each, by the rounds of mutual_best. Rows are links (x < y, w) and, with y = -1, communities with volume w and internal weight i.
+
+    A link's gain changes only when one of its ends has merged, so others keep theirs, and only links of positive gain are sorted.
+    """
+    read = [b for b in batches if b.num_rows]
+    if not read:
+        return
+    x, y, w, i = (np.concatenate([b[c].to_numpy() for b in read]) for c in ("x", "y", "w", "i"))
+    alone = y < 0
+    n = int(alone.sum())
+    volume, inner = np.zeros(n), np.zeros(n)
+    volume[x[alone]], inner[x[alone]] = w[alone], i[alone]
+    x, y, w = x[~alone].astype(np.int64), y[~alone].astype(np.int64), w[~alone]
+
+    def term(v: np.ndarray, k: np.ndarray) -> np.ndarray:
+        at = np.where(v > 0, v, 1.0)
+        return np.where(v > 0, -(np.maximum(v - 2 * k, 0.0) / total) * np.log2(at / total) + (at / total) * np.log2(at), 0.0)
+
+    def gains(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.round(term(volume[x], inner[x]) + term(volume[y], inner[y]) - term(volume[x] + volume[y], inner[x] + inner[y] + w), 12)
+
+    label, gain = np.arange(n), gains(x, y, w)
+    while True:
+        live = np.flatnonzero(gain > EPS)
+        live = live[np.lexsort((y[live], x[live], gain[live]))]
+        best = np.full(n, -1)
+        place = np.arange(len(live))
+        best[x[live]] = place  # of several the last, which is the best
+        other = np.full(n, -1)
+        other[y[live]] = place
+        best = np.maximum(best, other)
+        chosen = live[(best[x[live]] == place) & (best[y[live]] == place)]
+        if not len(chosen):
+            break
+        new, old = x[chosen], y[chosen]
+        volume[new] += volume[old]
+        inner[new] += inner[old] + w[chosen]
+        to = np.arange(n)
+        to[old] = new
+        label = to[label]
+        merged = np.zeros(n, bool)
+        merged[new] = merged[old] = True
+        near = merged[x] | merged[y]
+        a, b = to[x[near]], to[y[near]]
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        apart = lo != hi
+        key, back = np.unique(lo[apart] * n + hi[apart], return_inverse=True)
+        joined = np.bincount(back, w[near][apart], minlength=len(key))
+        a, b = key // n, key % n
+        x, y, w, gain = (np.concatenate(z) for z in ((x[~near], a), (y[~near], b), (w[~near], joined), (gain[~near], gains(a, b, joined))))
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(label.astype(np.int32))], ["number", "_to"])
