@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -43,6 +43,22 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
 
 
+def bit_sets(rows: DataFrame, key: str, value: Column, size: int) -> DataFrame:
+    """(key, bits): each key's set of values 0 to size - 1 as an array of longs, 64 values in each. Nulls are no members; other values raise."""
+    out = F.raise_error(F.concat(F.lit("not within the set: "), value.cast("string"))).cast("long")
+    at = F.when((value >= 0) & (value < size), value.cast("long")).when(value.isNotNull(), out)
+    word = lambda k: F.bit_or(F.when(F.floor(at / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).otherwise(F.lit(0).cast("long")))
+    return rows.groupBy(key).agg(F.array(*[word(k) for k in range(-(-size // 64))]).alias("bits"))
+
+
+def jaccard_of_bits(a: str | Column, b: str | Column, words: int = 1) -> Column:
+    """The same of sets from bit_sets."""
+    a, b = col(a), col(b)
+    both = sum((F.bit_count(a[k].bitwiseAND(b[k])) for k in range(words)), F.lit(0))
+    either = sum((F.bit_count(a[k].bitwiseOR(b[k])) for k in range(words)), F.lit(0))
+    return both / F.nullif(either, F.lit(0))
+
+
 def distribution(a: str | Column) -> Column:
     """Negative parts cut off, the rest summing to 1; null without mass."""
     cut = F.transform(col(a).cast("array<double>"), lambda x: F.greatest(x, F.lit(0.0)))
