@@ -1,67 +1,145 @@
 """Similarity graphs: exact top-k cosine, candidates, four-channel late fusion, symmetrising and degrees.
 
-The exact all-pairs search is a grid of block pairs: vectors are cut into blocks of bounded size, each task gets one pair of blocks, multiplies
-them in numpy, keeps each vector's local top k, and a window merges the lists. Nothing is broadcast and no row pair leaves a task.
+The exact all-pairs search deals the vectors to as many blocks as there are tasks. All vectors pass through each task in the order of their ids, and
+the task keeps the k best of its block's vectors, so each vector moves once a task and nothing else does. Nothing is broadcast.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions import vectors as V
-from murmur.sources.shared import written
+from murmur.sources.shared import numbered, written
 
-#: Vectors of a block: 4096 of 64 doubles are 2 MB.
-BLOCK = 4096
+#: Vectors of a task's block at most: 131,072 of 64 doubles are 67 MB. Products that a task holds at once.
+BLOCK, PRODUCTS = 131_072, 4_000_000
 CHANNELS = ("content", "behaviour", "temporal", "network")
 
 
 def cosine_topk(vectors: DataFrame, k: int, key: str = "id", vector: str = "vector", least: float | None = None, block: int = BLOCK, rows: int | None = None) -> DataFrame:
     """(source, target, weight, rank): each vector's k nearest by cosine, ties by target. Vectors of norm 0 have no neighbours.
 
-    rows: the number of vectors, if known, which saves a count. Sums are in double precision, so equal inputs give equal ranks.
+    rows: the number of vectors, if known, which saves a count. Sums are in double precision, so equal inputs give equal ranks; equal products may
+    differ in the last bits by the block's shape, and twelve places decide ranks.
     """
     n = vectors.count() if rows is None else rows
-    blocks = max(1, -(-n // block))
-    own = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where(V.has_signal("v"))
-    own = own.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    grid = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    # each block goes to a row and a column of the grid: n * blocks rows move
-    left = own.select("b", "id", "v", grid.alias("o"), F.lit(0).alias("side")).selectExpr("b as i", "o as j", "side", "id", "v")
-    right = own.select("b", "id", "v", grid.alias("o"), F.lit(1).alias("side")).selectExpr("o as i", "b as j", "side", "id", "v")
+    tasks = max(1, min(max(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // block)), n))
+    own = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(V.has_signal("v"))
+    if dict(own.dtypes)["v"] not in ("array<float>", "array<double>"):
+        own = own.withColumn("v", F.col("v").cast("array<double>"))
     kind = own.schema["id"].dataType.simpleString()
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id", kind="stable")
-        out = {"source": [], "target": [], "weight": []}
-        if len(a) and len(b):
-            x, y = (np.stack(d["v"].to_numpy()) for d in (a, b))
-            x, y = (m / np.sqrt((m * m).sum(axis=1))[:, None] for m in (x, y))
-            ids, other = a["id"].to_numpy(), b["id"].to_numpy()
-            place = {v: p for p, v in enumerate(other)}
-            own_place = np.array([place.get(v, -1) for v in ids])
-            keep = len(other) - min(k, len(other))
-            for lo in range(0, len(x), 512):
-                s = x[lo : lo + 512] @ y.T
-                here = own_place[lo : lo + 512]
-                itself = np.flatnonzero(here >= 0)
-                s[itself, here[itself]] = -np.inf
-                edge = np.partition(s, keep, axis=1)[:, keep, None]
-                row, at = np.nonzero((s >= edge - 1e-12) & np.isfinite(s))
-                out["source"].append(ids[lo + row])
-                out["target"].append(other[at])
-                out["weight"].append(s[row, at])
-        return pd.DataFrame({c: np.concatenate(v) if v else v for c, v in out.items()})
-
-    found = left.unionByName(right).groupBy("i", "j").applyInPandas(local, f"source {kind}, target {kind}, weight double")
-    if least is not None:
-        found = found.where(F.col("weight") >= least)
-    # equal products may differ in the last bits by the block's shape; twelve places decide ranks
-    order = Window.partitionBy("source").orderBy(F.round("weight", 12).desc(), "target")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        own = own.withColumn("n", F.col("id").cast("long"))
+    else:
+        own = written(own, "vectors")
+        own = own.join(numbered(own.select("id").distinct(), "id").select("id", F.col("number").cast("long").alias("n")), "id")
+    block_rows = own.withColumn("_task", F.pmod(F.xxhash64("id"), F.lit(tasks)).cast("int")).withColumn("_side", F.lit(0))
+    all_rows = own.withColumn("_task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).withColumn("_side", F.lit(1))
+    dealt = block_rows.unionByName(all_rows).repartitionById(tasks, F.col("_task")).sortWithinPartitions("_side", "n")
+    found = dealt.mapInArrow(partial(_nearest, k=k), f"source {kind}, target {kind}, weight double, rank int")
+    return found if least is None else found.where(F.col("weight") >= least)
+
+
+def _matrix(v: pa.Array) -> np.ndarray:
+    """The vectors of a batch as rows of doubles of norm 1."""
+    offsets = v.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    if (sizes != sizes[0]).any():
+        raise ValueError("vectors differ in length")
+    m = v.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.float64).reshape(len(sizes), -1)
+    return m / np.sqrt((m * m).sum(axis=1))[:, None]
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best targets of a block's vectors. First come the block's rows (_side 0), then all vectors by their number n.
+
+    As targets come in order, one whose rounded product is not above that of a source's k-th so far can't be among its k best.
+    """
+    x, ids, numbers, names, passed = [], [], [], [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        side = batch["_side"].to_numpy()
+        cut = int((side == 0).sum())
+        if cut:
+            x.append(_matrix(batch["v"].slice(0, cut)))
+            ids.append(batch["id"].slice(0, cut))
+            numbers.append(batch["n"].slice(0, cut).to_numpy())
+        if cut == batch.num_rows or not x:
+            continue
+        if not passed:
+            block, mine, source = np.concatenate(x), np.concatenate(numbers), pa.concat_arrays(ids)
+            best = _Best(len(block), k)
+        y, number = _matrix(batch["v"].slice(cut)), batch["n"].slice(cut).to_numpy()
+        if y.shape[1] != block.shape[1]:
+            raise ValueError("vectors differ in length")
+        lo, times = np.searchsorted(mine, number, "left"), np.searchsorted(mine, number, "right") - np.searchsorted(mine, number, "left")
+        mate = np.repeat(np.arange(len(number)), times)  # of which a row of the block has the id
+        itself = lo[mate] + np.arange(len(mate)) - (np.cumsum(times) - times)[mate]
+        wrong = np.flatnonzero(np.isnan(y[:, 0]))
+        step = max(1, PRODUCTS // len(number))
+        for at in range(0, len(block), step):
+            s = block[at : at + step] @ y.T
+            own = slice(*np.searchsorted(itself, [at, at + step]))
+            s[itself[own] - at, mate[own]] = -np.inf
+            s[:, wrong] = -np.inf
+            best.add(s, at, passed)
+        names.append(batch["id"].slice(cut))
+        passed += len(number)
+    if passed:
+        row, place, weight, rank = best.ranked()
+        target = pa.concat_arrays(names)
+        for at in range(0, len(row), 100_000):
+            some = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([source.take(pa.array(row[some])), target.take(pa.array(place[some])), pa.array(weight[some]), pa.array(rank[some].astype(np.int32))], ["source", "target", "weight", "rank"])
+
+
+class _Best:
+    """The k best places of each row so far, by rounded weight and then place, which only grows."""
+
+    def __init__(self, rows: int, k: int):
+        self.k, self.limit = k, max(rows * k, 1_000_000)
+        self.floor = np.full(rows, -np.inf)
+        self.kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def add(self, s: np.ndarray, row: int, place: int) -> None:
+        floor = self.floor[row : row + len(s)]
+        over = s > floor[:, None]
+        if np.count_nonzero(over) > 2 * self.k * len(s) and s.shape[1] > self.k:
+            edge = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+            over = s > np.maximum(floor, edge - 1e-12)[:, None]
+        r, c = np.nonzero(over)
+        self.kept.append((r + row, c + place, s[r, c]))
+        self.waiting += len(r)
+        if self.waiting > self.limit:
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.kept:
+            self.kept, self.rank = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], np.empty(0, np.int64)
+            return
+        r, c, w = (np.concatenate(x) for x in zip(*self.kept, strict=True))
+        order = np.lexsort((c, -np.round(w, 12), r))
+        r, c, w = r[order], c[order], w[order]
+        first = np.searchsorted(r, r)
+        at = np.arange(len(r)) - first
+        keep = at < self.k
+        self.kept, self.waiting = [(r[keep], c[keep], w[keep])], 0
+        full = at == self.k - 1
+        # what rounds to no more than the k-th is no better
+        self.floor[r[full]] = np.round(w[full], 12) + 4e-13
+        self.rank = at[keep] + 1
+
+    def ranked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        self._merge()
+        return *self.kept[0], self.rank
 
 
 def copied(rows: DataFrame, tasks: int) -> DataFrame:
