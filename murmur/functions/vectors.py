@@ -83,7 +83,7 @@ def js_similarity(a: str | Column, b: str | Column) -> Column:
     return 1 - js_divergence(a, b)
 
 
-def _warp(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def warp(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Average cost of the cheapest warping path of each pair of rows; of equally cheap paths the shortest.
 
     The cells of an anti-diagonal do not depend on each other, so each is one step over all pairs; diagonals are indexed by the place in x.
@@ -127,7 +127,7 @@ def _warped(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             rows = np.flatnonzero((n == i) & (m == j))
             for k in range(0, len(rows), 512):
                 part = rows[k : k + 512]
-                out[part] = _warp(x[x_at[part, None] + np.arange(i)], y[y_at[part, None] + np.arange(j)])
+                out[part] = warp(x[x_at[part, None] + np.arange(i)], y[y_at[part, None] + np.arange(j)])
         yield pa.array(out, mask=~have)
 
 

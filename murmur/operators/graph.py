@@ -6,7 +6,7 @@ the task keeps the k best of its block's vectors, so each vector moves once a ta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -160,46 +160,163 @@ def candidates(*sources: DataFrame) -> DataFrame:
     return out.unionByName(out.selectExpr("target as source", "source as target")).where("source <> target").distinct()
 
 
-def _measured(bundles: DataFrame) -> DataFrame:
-    """Bundles with what a channel needs of one side alone, so that it is found once a user and not once a pair."""
-    sized = [V.norm(c).alias(f"{c}_norm") for c in ("embedding", "behaviour", "degrees_unit")]
-    return bundles.select("user_id", "embedding", "behaviour", "degrees_unit", "hours", "followed", *sized, V.distribution("type_mix").alias("mix"), F.size(F.array_distinct("followed")).alias("n_followed"))
+def _known(bundles: DataFrame) -> DataFrame:
+    """Bundles as a table by number: users and those they follow as numbers in the order of their ids, type mixes as distributions."""
+    followed = bundles.select("user_id", F.explode("followed").alias("other"))
+    ids = bundles.select("user_id").unionByName(followed.select(F.col("other").alias("user_id"))).distinct()
+    ids = written(numbered(ids, "user_id"), "user-numbers")
+    sets = followed.join(ids.withColumnsRenamed({"user_id": "other", "number": "_other"}), "other").groupBy("user_id").agg(F.array_sort(F.collect_set("_other")).alias("_set"))
+    known = bundles.join(ids, "user_id").join(sets, "user_id", "left")
+    sets = F.when(F.col("followed").isNotNull(), F.coalesce("_set", F.array().cast("array<int>")))
+    return written(known.select("number", "user_id", "embedding", "behaviour", "degrees_unit", "hours", V.distribution("type_mix").alias("mix"), sets.alias("followed")), "known")
+
+
+def _by_number(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    ids = known.select("user_id", "number")
+    out = pairs.select("source", "target").distinct().join(ids.withColumnsRenamed({"user_id": "source", "number": "_s"}), "source").join(ids.withColumnsRenamed({"user_id": "target", "number": "_t"}), "target")
+    return out.selectExpr("_s as source", "_t as target")
 
 
 def score_pairs(pairs: DataFrame, bundles: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Unordered pairs (a, b) with four channels, null where either side lacks one, and the weighted mean of those that are there.
 
     bundles: user_id, embedding, behaviour, type_mix, hours (null if too few dated tweets), degrees_unit, followed. Each unordered pair
-    is scored once; pairs of a user with itself go. Pairs are few bytes and much work, so they keep all shuffle partitions.
+    is scored once; pairs of a user with itself go.
     """
+    known = _known(bundles)
+    return _scored(_by_number(pairs, known), known, weights)
+
+
+def _scored(pairs: DataFrame, known: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """score_pairs by numbers. The users are dealt to tasks; a task gets its users' bundles and the pairs (a, b) of its users a, then all bundles pass by
+    in order of their numbers. So a bundle moves once a task and a pair moves as two numbers."""
     weights = weights or {c: 0.25 for c in CHANNELS}
-    unordered = pairs.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    unordered = unordered.repartition(int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    known = _measured(bundles)
-    side = lambda p: known.select(*[F.col(c).alias(p if c == "user_id" else f"{p}_{c}") for c in known.columns])
-    rows = unordered.join(side("a"), "a").join(side("b"), "b")
-
-    def cosine(c: str) -> Column:
-        x, y, norms = F.col(f"a_{c}"), F.col(f"b_{c}"), F.col(f"a_{c}_norm") * F.col(f"b_{c}_norm")
-        same = F.when(F.size(x) != F.size(y), F.raise_error(F.lit("vectors differ in length")).cast("double")).otherwise(V.dot(x, y) / norms)
-        return F.when(norms > 0, same)
-
-    shared = F.size(F.array_intersect("a_followed", "b_followed"))
-    parts = {
-        "content": cosine("embedding"), "actions": cosine("behaviour"), "degrees": cosine("degrees_unit"), "types": 1 - V.js_of_distributions("a_mix", "b_mix"),
-        "apart": V.dtw_average_distance("a_hours", "b_hours"), "shared": shared, "sets": F.col("a_n_followed") + F.col("b_n_followed"),
-    }
-    rows = rows.select("a", "b", *[e.alias(c) for c, e in parts.items()])
-    unit = lambda c: F.when(F.col(c).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) + 1) / 2)))
-    channels = {
-        "content": unit("content"), "behaviour": V.combine("types", unit("actions")), "temporal": 1 / (1 + F.col("apart")),
-        "network": V.combine(F.col("shared") / F.nullif(F.col("sets") - F.col("shared"), F.lit(0)), unit("degrees"), 0.7, 0.3),
-    }
-    rows = rows.select("a", "b", *[channels[c].alias(c) for c in CHANNELS])
+    tasks = max(known.sparkSession.sparkContext.defaultParallelism, -(-known.count() // BLOCK))
+    of = lambda c: F.pmod(F.xxhash64(F.col(c).cast("int")), F.lit(tasks)).cast("int")
+    parts = known.select(F.struct(*[c for c in known.columns if c != "number"]).alias("bundle"), F.col("number").cast("int").alias("b"))
+    none = F.lit(None).cast(parts.schema["bundle"].dataType)
+    a, b = F.least("source", "target").cast("int"), F.greatest("source", "target").cast("int")
+    own = parts.select(of("b").alias("_task"), F.lit(-1).alias("n"), F.lit(0).alias("_side"), "b", "bundle")
+    passing = parts.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_task"), F.col("b").alias("n"), F.lit(2).alias("_side"), "b", "bundle")
+    two = pairs.where("source <> target").select(a.alias("b"), b.alias("n"))
+    two = two.select(of("b").alias("_task"), "n", F.lit(1).alias("_side"), "b", none.alias("bundle"))
+    # first a task's own bundles, then each user's pairs before its bundle
+    dealt = own.unionByName(two).unionByName(passing).repartitionById(tasks, F.col("_task")).sortWithinPartitions("n", "_side", "b")
+    kind = known.schema["user_id"].dataType.simpleString()
+    rows = dealt.mapInArrow(_channels, f"a {kind}, b {kind}, content double, behaviour double, temporal double, network double")
     fused, mass = V.weighted_available([(c, weights[c]) for c in CHANNELS])
     return rows.withColumn("weight", fused).withColumn("available_weight", mass).withColumn("channels", sum((F.col(c).isNotNull().cast("int") for c in CHANNELS), F.lit(0)))
 
 
+class _Lists:
+    """The lists of an Arrow column: values, starts and lengths, and which are not null."""
+
+    def __init__(self, column: pa.Array):
+        self.there = column.is_valid().to_numpy(zero_copy_only=False)
+        self.start, self.size = column.offsets.to_numpy()[:-1].astype(np.int64), np.where(self.there, np.diff(column.offsets.to_numpy()), 0)
+        self.values = column.values.to_numpy(zero_copy_only=False)
+
+    def rows(self, at: np.ndarray, size: int) -> np.ndarray:
+        return self.values[self.start[at][:, None] + np.arange(size)].astype(np.float64, copy=False)
+
+
+def _by_size(x: _Lists, i: np.ndarray, y: _Lists, j: np.ndarray, value: Callable, same: bool = True) -> np.ndarray:
+    """value(rows of x, rows of y) for pairs of lists of the same two sizes, some hundreds at once; NaN where either is null or empty. same: unequal sizes are an error."""
+    out, n, m = np.full(len(i), np.nan), x.size[i], y.size[j]
+    have = (n > 0) & (m > 0)
+    for p, q in np.unique(np.stack([n, m], axis=1)[have], axis=0):
+        if same and p != q:
+            raise ValueError("vectors differ in length")
+        at = np.flatnonzero(have & (n == p) & (m == q))
+        for lo in range(0, len(at), 512):
+            part = at[lo : lo + 512]
+            out[part] = value(x.rows(i[part], p), y.rows(j[part], q))
+    return out
+
+
+def _cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(cosine + 1) / 2 within 0 and 1; NaN where a norm is 0."""
+    norms = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
+    at = norms > 0
+    return np.where(at, np.clip(((x * y).sum(axis=1) / np.where(at, norms, 1.0) + 1) / 2, 0.0, 1.0), np.nan)
+
+
+def _js_similarity(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    mean = np.where(p + q > 0, (p + q) / 2, 1.0)
+    part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1.0) / mean), 0.0)
+    return 1 - np.clip((0.5 * part(p) + 0.5 * part(q)).sum(axis=1), 0.0, 1.0)
+
+
+def _shared(x: _Lists, i: np.ndarray, y: _Lists, j: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of pairs of sorted lists of distinct numbers; NaN where either is null or both are empty."""
+    out = np.full(len(i), np.nan)
+    size = x.size[i] + y.size[j]
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(i):  # as many pairs as have a million numbers, one at least
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, "right")))
+        keys = []
+        for lists, at in ((x, i[lo:hi]), (y, j[lo:hi])):
+            n = lists.size[at]
+            owner = np.repeat(np.arange(len(at)), n)
+            keys.append((owner << 32) + lists.values[lists.start[at][owner] + np.arange(int(n.sum())) - (np.cumsum(n) - n)[owner]])
+        one, other = keys
+        hit = other[np.minimum(np.searchsorted(other, one), max(len(other) - 1, 0))] == one if len(other) else np.zeros(len(one), bool)
+        both = np.bincount(one[hit] >> 32, minlength=hi - lo)
+        either = size[lo:hi] - both
+        out[lo:hi] = np.where(x.there[i[lo:hi]] & y.there[j[lo:hi]] & (either > 0), both / np.maximum(either, 1), np.nan)
+        lo = hi
+    return out
+
+
+def _combined(a: np.ndarray, b: np.ndarray, wa: float = 0.5, wb: float = 0.5) -> np.ndarray:
+    return np.where(np.isnan(a), b, np.where(np.isnan(b), a, (wa * a + wb * b) / (wa + wb)))
+
+
+def _channels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, channels) of a task's pairs: rows are its own bundles, then by number each user's pairs (a in column b, b in column n) and its bundle."""
+    fields = ("embedding", "behaviour", "degrees_unit", "hours", "mix", "followed")
+    numbers, own, waiting, block = [], [], np.empty((2, 0), np.int64), None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        side, n, b = (batch[c].to_numpy() for c in ("_side", "n", "b"))
+        cut = int((side == 0).sum())
+        if cut:
+            numbers.append(b[:cut])
+            own.append(batch["bundle"].slice(0, cut))
+        if cut == len(side) or not numbers:
+            continue
+        if block is None:
+            mine, order = np.sort(np.concatenate(numbers)), np.argsort(np.concatenate(numbers))
+            bundle = pa.concat_arrays(own).take(pa.array(order))
+            block, names = {c: _Lists(bundle.field(c)) for c in fields}, bundle.field("user_id")
+        two = side == 1
+        waiting = np.concatenate([waiting, np.stack([b[two], n[two]]).astype(np.int64)], axis=1)
+        passing = np.flatnonzero(side == 2)
+        if not len(passing):
+            continue
+        known = n[passing]
+        ready = int(np.searchsorted(waiting[1], known[-1], "right"))
+        a, c = waiting[:, :ready]
+        waiting = waiting[:, ready:]
+        first = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])[: len(a)]  # a pair may be there several times
+        a, c = a[first], c[first]
+        i, j = np.minimum(np.searchsorted(mine, a), len(mine) - 1), np.minimum(np.searchsorted(known, c), len(known) - 1)
+        found = (mine[i] == a) & (known[j] == c)
+        i, j = i[found], j[found]
+        if not len(i):
+            continue
+        bundle = batch["bundle"].take(pa.array(passing))
+        now = {f: _Lists(bundle.field(f)) for f in fields}
+        on = lambda f, value, same=True: _by_size(block[f], i, now[f], j, value, same)  # noqa: B023, E731
+        channels = {
+            "content": on("embedding", _cosines), "behaviour": _combined(on("mix", _js_similarity), on("behaviour", _cosines)), "temporal": 1 / (1 + on("hours", V.warp, False)),
+            "network": _combined(_shared(block["followed"], i, now["followed"], j), on("degrees_unit", _cosines), 0.7, 0.3),
+        }
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), bundle.field("user_id").take(pa.array(j)), *[pa.array(channels[c], mask=np.isnan(channels[c])) for c in CHANNELS]], ["a", "b", *CHANNELS])
+
+
 def directed_topk(scored: DataFrame, k: int, least: float = 0.0) -> DataFrame:
     """Both directions of scored pairs, each source's k heaviest, ties by target."""
     both = scored.withColumnsRenamed({"a": "source", "b": "target"}).unionByName(scored.withColumnsRenamed({"b": "source", "a": "target"}), allowMissingColumns=False)
@@ -248,9 +365,10 @@ def early_fusion(vectors: DataFrame, k: int, least: float, size: int) -> DataFra
 
 def late_fusion(bundles: DataFrame, follows: DataFrame, k: int = 10, candidate_k: int = 100, weights: dict[str, float] | None = None, least: float = 0.0, mode: str = "union_max") -> dict[str, DataFrame]:
     """The whole graph build: candidates from content, behaviour and follows; channels; top k; undirected edges. bundles must be cheap to read again."""
-    content = cosine_topk(bundles.where("embedding is not null"), candidate_k, "user_id", "embedding")
-    behaviour = cosine_topk(bundles.where("behaviour is not null"), candidate_k, "user_id", "behaviour")
-    scored = written(score_pairs(_union((content, behaviour, follows)), bundles, weights), "scored")  # warped once
+    known = _known(bundles)
+    content = cosine_topk(known.where("embedding is not null"), candidate_k, "number", "embedding")
+    behaviour = cosine_topk(known.where("behaviour is not null"), candidate_k, "number", "behaviour")
+    scored = written(_scored(_union((content, behaviour, _by_number(follows, known))), known, weights), "scored")  # warped once
     directed = directed_topk(scored, k, least)
     return {"scored": scored, "directed": directed, "edges": symmetrize(directed, mode, (*CHANNELS, "available_weight"))}
 
