@@ -63,27 +63,29 @@ def change_summary(changes: DataFrame, by: Sequence[str] = ("community_id",)) ->
 def logistic_gradient_descent(rows: DataFrame, dims: int, rate: float = 0.05, epochs: int = 300, l2: float = 0.001, patience: int = 25) -> tuple[list[float], float, int]:
     """Full-batch gradient descent from zero on (split, y, z): weights, bias and epochs run. L2 on weights only; the weights of the least valid loss are kept.
 
-    Each epoch is one pass in which tasks add up gradients in numpy; the driver sees one row of dims + 4 sums.
+    Rows are packed once into matrices of one task each. An epoch is one pass over these in which tasks add up gradients; the driver sees a row of
+    dims + 4 sums a task.
     """
-    rows = rows.where("split in ('train', 'valid')").select("split", F.col("y").cast("double").alias("y"), "z").repartition(rows.sparkSession.sparkContext.defaultParallelism).cache()
+    rows = rows.where("split in ('train', 'valid')").select((F.col("split") == "train").cast("double").alias("train"), F.col("y").cast("double").alias("y"), "z")
+    packed = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).mapInArrow(partial(_packed, dims=dims), "rows binary").cache()
     w, b = np.zeros(dims), 0.0
     best, best_loss, stale, epoch = (w, b), np.inf, 0, 0
-    sums = ", ".join(f"g{k} double" for k in range(dims))
 
     def one_pass(grad_w: np.ndarray, grad_b: float) -> tuple[np.ndarray, float, float, float, float]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(dims + 4)
-            for pdf in batches:
-                if len(pdf):
-                    x, y, train = np.stack(pdf["z"].to_numpy()), pdf["y"].to_numpy(), (pdf["split"] == "train").to_numpy()
+            for batch in batches:
+                for block in batch["rows"]:
+                    m = np.frombuffer(block.as_buffer(), np.float64).reshape(-1, dims + 2)
+                    train, y, x = m[:, 0] == 1, m[:, 1], m[:, 2:]
                     p = 1 / (1 + np.exp(-np.clip(x @ grad_w + grad_b, -500, 500)))
                     q = np.clip(p, 1e-8, 1 - 1e-8)
                     loss = -(y * np.log(q) + (1 - y) * np.log(1 - q))
                     total += np.concatenate([(p - y)[train] @ x[train], [(p - y)[train].sum(), train.sum(), loss[~train].sum(), (~train).sum()]])
-            yield pd.DataFrame([total], columns=[*[f"g{k}" for k in range(dims)], "gb", "n", "loss", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
 
-        r = rows.mapInPandas(run, f"{sums}, gb double, n double, loss double, m double").groupBy().sum().first()
-        return np.array([float(x or 0) for x in r[:dims]]), float(r[dims] or 0), float(r[dims + 1] or 0), float(r[dims + 2] or 0), float(r[dims + 3] or 0)
+        r = np.sum([np.zeros(dims + 4), *(x.sums for x in packed.mapInArrow(run, "sums array<double>").collect())], axis=0)
+        return r[:dims], float(r[dims]), float(r[dims + 1]), float(r[dims + 2]), float(r[dims + 3])
 
     for epoch in range(1, epochs + 2):  # a pass gives the gradient at the weights and the valid loss of the step before
         g, gb, n, loss, m = one_pass(w, b)
@@ -98,10 +100,19 @@ def logistic_gradient_descent(rows: DataFrame, dims: int, rate: float = 0.05, ep
         if epoch > epochs:
             break
         w, b = w - rate * (g / max(n, 1) + l2 * w), b - rate * gb / max(n, 1)
-    rows.unpersist()
+    packed.unpersist()
     return best[0].tolist(), best[1], epoch - 1
 
 
+def _packed(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """Batches of (train, y, z) as one matrix of doubles each."""
+    for batch in batches:
+        if batch.num_rows:
+            z = batch["z"].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dims)
+            m = np.column_stack([batch["train"].to_numpy(zero_copy_only=False), batch["y"].to_numpy(zero_copy_only=False), z]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([m.tobytes()], pa.binary())], ["rows"])
+
+
 def probability(z: str, weights: list[float], bias: float) -> Column:
     logit = F.aggregate(F.zip_with(F.col(z), F.array(*[F.lit(float(x)) for x in weights]), lambda a, b: a * b), F.lit(float(bias)), lambda s, x: s + x)
     return 1 / (1 + F.exp(-logit))
